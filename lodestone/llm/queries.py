@@ -6,18 +6,63 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import tokens
+from lodestone.llm import formatting, packing, splitting, tokens
 from lodestone.session import table
 
 
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Every copy of a memory in another formatting, with the first of its group."""
+    return formatting.copies(table(spark, sf, "memories"))
+
+
+def p4_records(spark: SparkSession, sf: str) -> DataFrame:
+    """One row per distinct memory with the number of its copies."""
+    return formatting.records(table(spark, sf, "memories"))
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    """The oversized memories, and whether a stretch of theirs had to be cut inside."""
+    pieces = splitting.split_texts(table(spark, sf, "memories"))
+    return pieces.where("piece_no = 0").select("id", "forced")
+
+
+def p5_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    """The pieces of the oversized memories, in order."""
+    return splitting.split_texts(table(spark, sf, "memories"))
+
+
 def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
     """The ids of every document by byte_bpe_50k."""
     return tokens.encode_corpus(table(spark, sf, "documents"))
 
 
+def p7_containers(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents assigned to containers of 2,048 tokens."""
+    return packing.pack(tokens.count_tokens(table(spark, sf, "documents")))
+
+
+_P5_FOUND = r"""
+WITH stretches AS (
+  SELECT id, unnest(string_split_regex(regexp_replace(text, '([.!?])[ \t]+', '\1' || chr(10), 'g'), '[\r\n]+')) AS stretch
+  FROM memories
+), sizes AS (
+  SELECT id, len(regexp_extract_all(stretch, '[^ \t\r\n]+')) AS words FROM stretches
+)
+SELECT id, CAST(CASE WHEN max(words) > 128 THEN 1 ELSE 0 END AS BIGINT) AS forced
+FROM sizes GROUP BY id HAVING sum(words) > 128
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p6_ids": p6_ids}
+    return {
+        "p4_found": p4_found,
+        "p4_records": p4_records,
+        "p5_found": p5_found,
+        "p5_pieces": p5_pieces,
+        "p6_ids": p6_ids,
+        "p7_containers": p7_containers,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p5_found": _P5_FOUND}

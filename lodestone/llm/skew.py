@@ -1,0 +1,26 @@
+"""Joins that stay even when one key holds a large share of the rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: A key is hot when it has more rows than this, and more than one row in HOT_SHARE of all.
+HOT_ROWS = 10_000
+HOT_SHARE = 1_000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], n: str, total: int, spread: str) -> DataFrame:
+    """Inner join of ``rows`` with one row per key; ``groups.n`` counts the key's rows.
+
+    Rows of hot keys are spread over salts by the column ``spread``, and the row of
+    the group is repeated for each salt. Fewer than HOT_SHARE keys can be hot, since
+    each holds more than that share of all rows, so the list of hot keys that is
+    broadcast has a proven bound.
+    """
+    limit = max(HOT_ROWS, total // HOT_SHARE)
+    salts = F.when(F.col(n) > limit, F.ceil(F.col(n) / limit)).otherwise(F.lit(1)).cast("int")
+    hot = F.broadcast(groups.where(F.col(n) > limit).select(*on, salts.alias("_salts")))
+    left = rows.join(hot, on, "left").withColumn("_salt", F.pmod(F.xxhash64(spread), F.coalesce("_salts", F.lit(1)).cast("long")).cast("int")).drop("_salts")
+    right = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    return left.join(right, [*on, "_salt"]).drop("_salt")
