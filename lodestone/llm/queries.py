@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import formatting, packing, splitting, tokens
+from lodestone.llm import formatting, packing, splitting, tokens, vectors
 from lodestone.session import table
 
 
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of memories of which either is among the 10 nearest of the other."""
+    return vectors.neighbour_pairs(table(spark, sf, "candidates"))
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     """Every copy of a memory in another formatting, with the first of its group."""
     return formatting.copies(table(spark, sf, "memories"))
@@ -55,6 +60,7 @@ FROM sizes GROUP BY id HAVING sum(words) > 128
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "p1_found": p1_found,
         "p4_found": p4_found,
         "p4_records": p4_records,
         "p5_found": p5_found,
