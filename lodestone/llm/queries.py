@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import formatting, packing, splitting, tokens, vectors
+from lodestone.llm import formatting, neardup, packing, splitting, tokens, vectors
 from lodestone.session import table
 
 
@@ -15,6 +15,11 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return vectors.neighbour_pairs(table(spark, sf, "candidates"))
 
 
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of memories that share at least 3/4 of their words."""
+    return neardup.similar_pairs(table(spark, sf, "memories"))
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     """Every copy of a memory in another formatting, with the first of its group."""
     return formatting.copies(table(spark, sf, "memories"))
@@ -58,9 +63,21 @@ FROM sizes GROUP BY id HAVING sum(words) > 128
 """
 
 
+_P3_FOUND = r"""
+WITH sets AS (
+  SELECT id, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS words FROM memories
+), long_sets AS (SELECT id, words FROM sets WHERE len(words) >= 20)
+SELECT a.id AS id_a, b.id AS id_b
+FROM long_sets a JOIN long_sets b ON a.id < b.id
+ AND 4 * len(a.words) >= 3 * len(b.words) AND 4 * len(b.words) >= 3 * len(a.words)
+WHERE 7 * len(list_intersect(a.words, b.words)) >= 3 * (len(a.words) + len(b.words))
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
+        "p3_found": p3_found,
         "p4_found": p4_found,
         "p4_records": p4_records,
         "p5_found": p5_found,
@@ -71,4 +88,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p5_found": _P5_FOUND}
+    return {"p3_found": _P3_FOUND, "p5_found": _P5_FOUND}
