@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import formatting, neardup, packing, splitting, tokens, vectors
+from lodestone.llm import formatting, neardup, packing, splitting, tokens, truncation, vectors
 from lodestone.session import table
 
 
@@ -63,6 +63,16 @@ FROM sizes GROUP BY id HAVING sum(words) > 128
 """
 
 
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents that were cut off."""
+    return truncation.score(table(spark, sf, "documents")).where(f"p >= {truncation.THRESHOLD}").select("doc_id").distinct()
+
+
+def p8_sources(spark: SparkSession, sf: str) -> DataFrame:
+    """How often each source cuts its documents off."""
+    return truncation.by_source(table(spark, sf, "documents"))
+
+
 _P3_FOUND = r"""
 WITH sets AS (
   SELECT id, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS words FROM memories
@@ -84,6 +94,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p5_pieces": p5_pieces,
         "p6_ids": p6_ids,
         "p7_containers": p7_containers,
+        "p8_found": p8_found,
+        "p8_sources": p8_sources,
     }
 
 
