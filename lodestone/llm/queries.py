@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import formatting, neardup, packing, splitting, tokens, truncation, vectors
+from lodestone.llm import formatting, names, neardup, packing, splitting, tokens, truncation, vectors
 from lodestone.session import table
 
 
@@ -15,6 +15,11 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return vectors.neighbour_pairs(table(spark, sf, "candidates"))
 
 
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of rows that name the same person, organisation or place."""
+    return names.same_entity(table(spark, sf, "entities"), table(spark, sf, "given_name_forms"))
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs of memories that share at least 3/4 of their words."""
     return neardup.similar_pairs(table(spark, sf, "memories"))
@@ -87,6 +92,7 @@ WHERE 7 * len(list_intersect(a.words, b.words)) >= 3 * (len(a.words) + len(b.wor
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
+        "p2_found": p2_found,
         "p3_found": p3_found,
         "p4_found": p4_found,
         "p4_records": p4_records,
