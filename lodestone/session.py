@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,3 +56,23 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` once in the shared folder; survives the loss of executors."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the package to Python workers that do not have it on their path; once for each context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_lodestone_shipped", False):
+        return
+    import zipfile
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent
+    # the driver serves this file to the executors for as long as it runs
+    folder = tempfile.mkdtemp(prefix="lodestone-ship-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = Path(folder, "lodestone.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, str(p.relative_to(root.parent)))
+    sc.addPyFile(str(path))
+    sc._lodestone_shipped = True
