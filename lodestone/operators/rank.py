@@ -73,11 +73,14 @@ def zscore(rows: DataFrame, value: str = "base", out: str = "normalized") -> Dat
 def attribute_boost(query_text: Column, query_tokens: Column, memory_type: Column, metadata: Column) -> Column:
     """The boosts of the query's attributes that the memory's type or its metadata show."""
     meta = F.coalesce(metadata, F.create_map().cast(store.METADATA))
+
+    def shows(name: str) -> Column:
+        return F.exists(F.map_entries(meta), lambda e: F.contains(F.lower(e["key"]), F.lit(name)) | F.coalesce(F.contains(F.lower(e["value"]), F.lit(name)), F.lit(False)))
+
     total = F.lit(0.0)
     for name, boost, aliases in vocab.ATTRIBUTES:
         detected = F.arrays_overlap(query_tokens, F.array(*[F.lit(a) for a in aliases.split()]))
-        in_meta = F.exists(F.map_entries(meta), lambda e, name=name: F.contains(F.lower(e["key"]), F.lit(name)) | F.coalesce(F.contains(F.lower(e["value"]), F.lit(name)), F.lit(False)))
-        total = total + F.when(detected & (memory_type == name), boost).otherwise(0.0) + F.when(detected & in_meta, boost * 0.5).otherwise(0.0)
+        total = total + F.when(detected & (memory_type == name), boost).otherwise(0.0) + F.when(detected & shows(name), boost * 0.5).otherwise(0.0)
     return total
 
 
