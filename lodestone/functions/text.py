@@ -30,6 +30,12 @@ def normalize(text: Column) -> Column:
     return F.trim(F.regexp_replace(fold_ascii(text), r"\s+", " "))
 
 
+def listed(words_: list[str] | tuple[str, ...] | str) -> Column:
+    """A constant array of words; one expression to build, folded to a literal by the optimizer."""
+    joined = words_ if isinstance(words_, str) else "\u0001".join(words_)
+    return F.split(F.lit(joined), " " if isinstance(words_, str) else "\u0001")
+
+
 def words(text: Column) -> Column:
     """The analyzer: runs of letters, digits and underscores of the lower-cased text, in order."""
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(1))
@@ -47,7 +53,7 @@ def index_tokens(text: Column) -> Column:
 
 def keywords(text: Column) -> Column:
     """The distinct words that are no stop words, in order."""
-    stop = F.array(*[F.lit(w) for w in vocab.STOPWORDS])
+    stop = listed(vocab.STOPWORDS)
     return F.array_distinct(F.filter(words(text), lambda w: ~F.array_contains(stop, w)))
 
 
@@ -58,7 +64,7 @@ def quoted_phrases(text: Column) -> Column:
 
 def entities(text: Column, stopwords: tuple[str, ...] = ()) -> Column:
     """Maximal runs of capitalised words, trimmed of punctuation; distinct, in order."""
-    stop = F.array(*[F.lit(w) for w in stopwords]) if stopwords else F.array().cast("array<string>")
+    stop = listed(stopwords) if stopwords else F.array().cast("array<string>")
     trimmed = F.transform(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: F.regexp_replace(w, r"""^[.,!?()\[\]{}"']+|[.,!?()\[\]{}"']+$""", ""))
     parts = F.filter(trimmed, lambda w: w != "")
 
@@ -121,16 +127,16 @@ def truncate(text: Column, max_tokens: int) -> Column:
     return F.when(F.length(text) <= limit, text).otherwise(F.concat(cut, F.lit("...")))
 
 
-def attribute_of(text: Column, substring: bool = False) -> Column:
-    """The first attribute, in order, one of whose words occurs; as a whole word by default."""
-    found = words(text)
+def attribute_of(text: Column, substring: bool = False, tokens: Column | None = None) -> Column:
+    """The first attribute, in order, one of whose words occurs; as a whole word by default. tokens: the text's words, if at hand."""
+    found = words(text) if tokens is None else tokens
     out = F.lit(None).cast("string")
     for name, _, aliases in reversed(vocab.ATTRIBUTES):
         each = aliases.split()
         hit = (
             F.greatest(*[F.contains(F.lower(text), F.lit(a)) for a in each])
             if substring
-            else F.arrays_overlap(found, F.array(*[F.lit(a) for a in each]))
+            else F.arrays_overlap(found, listed(aliases))
         )
         out = F.when(hit, F.lit(name)).otherwise(out)
     return out

@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
+from lodestone.session import spread
 
 
 def tokens(docs: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """(id, tokens, dl) of each text that has a word."""
-    return docs.select(F.col(id_col).alias("id"), T.words(F.col(text_col)).alias("tokens")).withColumn("dl", F.size("tokens")).where("dl > 0")
+    return spread(docs).select(F.col(id_col).alias("id"), T.words(F.col(text_col)).alias("tokens")).withColumn("dl", F.size("tokens")).where("dl > 0")
 
 
 def postings(docs: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
@@ -29,7 +30,7 @@ def document_frequency(docs: DataFrame, id_col: str = "id", text_col: str = "tex
 
 def query_terms(queries: DataFrame, query_id: str, text_col: str, stopwords: list[str]) -> DataFrame:
     """(query_id, term, qtf): the words of each query but stop words, with their number."""
-    stop = F.array(*[F.lit(w) for w in stopwords]) if stopwords else F.array().cast("array<string>")
+    stop = T.listed(stopwords) if stopwords else F.array().cast("array<string>")
     terms = F.filter(T.words(F.col(text_col)), lambda w: ~F.array_contains(stop, w))
     return queries.select(F.col(query_id).alias("query_id"), F.explode(terms).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
 
@@ -56,7 +57,9 @@ def bm25(docs: DataFrame, terms: DataFrame, k1: float = 1.5, b: float = 0.75) ->
     idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     weights = terms.join(df, "term").crossJoin(F.broadcast(stats)).select("query_id", "term", (F.col("qtf") * idf).alias("w"), "avgdl")
     gain = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return tf.join(weights, "term").groupBy("query_id", "id").agg(F.round(F.sum(F.col("w") * gain), 6).alias("score"))
+    hits = tf.join(weights, "term").select("query_id", "id", (F.col("w") * gain).alias("gain"))
+    # few rows meet in one (query, text), so one exchange by query serves the sum and the ranking after it
+    return hits.repartition("query_id").groupBy("query_id", "id").agg(F.round(F.sum("gain"), 6).alias("score"))
 
 
 def tfidf(docs: DataFrame, terms: DataFrame) -> DataFrame:
@@ -65,7 +68,8 @@ def tfidf(docs: DataFrame, terms: DataFrame) -> DataFrame:
     size = terms.groupBy("query_id").agg(F.count("*").alias("q_terms"))
     idf = F.log((F.col("n_docs") + 1) / (F.col("df") + 1)) + 1
     weights = terms.join(df, "term").join(size, "query_id").crossJoin(F.broadcast(stats)).select("query_id", "term", (idf / F.col("q_terms")).alias("w"))
-    return tf.join(weights, "term").groupBy("query_id", "id").agg(F.round(F.sum(F.col("w") * F.col("tf") / F.col("dl")), 6).alias("score"))
+    hits = tf.join(weights, "term").select("query_id", "id", (F.col("w") * F.col("tf") / F.col("dl")).alias("gain"))
+    return hits.repartition("query_id").groupBy("query_id", "id").agg(F.round(F.sum("gain"), 6).alias("score"))
 
 
 def boolean_or(docs: DataFrame, terms: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from lodestone.functions import text as T
 from lodestone.functions import vocab
 from lodestone.functions.vocab import Settings
 from lodestone.operators import store
+from lodestone.session import spread
 
 STOP = tuple(vocab.STOPWORDS) + tuple(vocab.INTERROGATIVES)
 
@@ -21,8 +22,9 @@ def understand(questions: DataFrame, id_col: str = "question_id", text_col: str
     q = F.coalesce(F.col(text_col), F.lit(""))
     rows = questions.select(F.col(id_col).alias("query_id"), q.alias("q"))
     rows = rows.withColumns(
-        {"q_tokens": T.words(F.col("q")), "q_keywords": T.keywords(F.col("q")), "q_entities": T.entities(F.col("q"), STOP), "q_phrases": T.quoted_phrases(F.col("q")), "q_attribute": T.attribute_of(F.col("q"))}
+        {"q_tokens": T.words(F.col("q")), "q_keywords": T.keywords(F.col("q")), "q_entities": T.entities(F.col("q"), STOP), "q_phrases": T.quoted_phrases(F.col("q"))}
     )
+    rows = rows.withColumns({"q_attribute": T.attribute_of(F.col("q"), tokens=F.col("q_tokens")), "q_asked": attributes_asked(F.col("q_tokens"))})
     return rows.withColumn("q_subject", F.get("q_entities", F.lit(0)))
 
 
@@ -40,7 +42,7 @@ def candidate_rows(candidates: DataFrame) -> DataFrame:
 
 def signals(candidates: DataFrame, memories: DataFrame, queries: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Candidates of live memories with one column for each signal."""
-    mem = store.decode(store.live(memories)).select("id", F.col("text").alias("m_text"), "memory_type", F.col("metadata").alias("m_metadata"), F.col("entities").alias("m_entities"), F.col("importance").alias("importance_score"), F.col("subject").alias("m_subject"), F.col("attribute").alias("m_attribute"), "created_at")
+    mem = store.decode(store.live(spread(memories))).select("id", F.col("text").alias("m_text"), "memory_type", F.col("metadata").alias("m_metadata"), F.col("entities").alias("m_entities"), F.col("importance").alias("importance_score"), F.col("subject").alias("m_subject"), F.col("attribute").alias("m_attribute"), "created_at")
     joined = candidates.join(mem, "id").join(queries, "query_id")
     equal = lambda a, b: F.when(a == b, 1.0).otherwise(0.0)
     return joined.withColumns(
@@ -70,18 +72,22 @@ def zscore(rows: DataFrame, value: str = "base", out: str = "normalized") -> Dat
     return rows.join(stats, "query_id").withColumn(out, F.round((F.col(value) - F.col("_mean")) / std, 6)).drop("_mean", "_std")
 
 
-def attribute_boost(query_text: Column, query_tokens: Column, memory_type: Column, metadata: Column) -> Column:
-    """The boosts of the query's attributes that the memory's type or its metadata show."""
+def attributes_asked(query_tokens: Column) -> Column:
+    """The attributes that a question's words point to, as structs of name and boost."""
+    entries = ", ".join(f"named_struct('name', '{n}', 'boost', {b}D, 'words', split('{a}', ' '))" for n, b, a in vocab.ATTRIBUTES)
+    return F.filter(F.expr(f"array({entries})"), lambda x: F.arrays_overlap(x["words"], query_tokens))
+
+
+def attribute_boost(asked: Column, memory_type: Column, metadata: Column) -> Column:
+    """The boosts of the attributes asked for that the memory's type or its metadata show."""
     meta = F.coalesce(metadata, F.create_map().cast(store.METADATA))
+    parts = F.transform(F.concat(F.map_keys(meta), F.map_values(meta)), lambda x: F.lower(F.coalesce(x, F.lit(""))))
 
-    def shows(name: str) -> Column:
-        return F.exists(F.map_entries(meta), lambda e: F.contains(F.lower(e["key"]), F.lit(name)) | F.coalesce(F.contains(F.lower(e["value"]), F.lit(name)), F.lit(False)))
+    def add(total: Column, x: Column) -> Column:
+        shown = F.exists(parts, lambda part: F.contains(part, x["name"]))
+        return total + F.when(memory_type == x["name"], x["boost"]).otherwise(0.0) + F.when(shown, x["boost"] * 0.5).otherwise(0.0)
 
-    total = F.lit(0.0)
-    for name, boost, aliases in vocab.ATTRIBUTES:
-        detected = F.arrays_overlap(query_tokens, F.array(*[F.lit(a) for a in aliases.split()]))
-        total = total + F.when(detected & (memory_type == name), boost).otherwise(0.0) + F.when(detected & shows(name), boost * 0.5).otherwise(0.0)
-    return total
+    return F.when(F.size(asked) > 0, F.aggregate(asked, F.lit(0.0), add)).otherwise(0.0)
 
 
 def finalize(rows: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -129,7 +135,7 @@ def recall(questions: DataFrame, candidates: DataFrame, memories: DataFrame, set
     queries = understand(questions)
     rows = signals(candidate_rows(candidates), memories, queries, settings)
     rows = base_score(rows)
-    rows = rows.withColumn("boost", attribute_boost(F.col("q"), F.col("q_tokens"), F.col("memory_type"), F.col("m_metadata"))).withColumn("cost", T.token_estimate(F.col("m_text")))
+    rows = rows.withColumn("boost", attribute_boost(F.col("q_asked"), F.col("memory_type"), F.col("m_metadata"))).withColumn("cost", T.token_estimate(F.col("m_text")))
     rows = finalize(zscore(rows.select("query_id", "id", "base", "importance", "recency", "boost", "bm25", "cost")), settings)
     return respond(context(rows, settings), settings.response_limit).select("query_id", "id", "base", "normalized", "final", "rank")
 

@@ -290,7 +290,7 @@ def zscore_per_query(spark, sf):
 
 def _finals(spark, sf):
     rows = _signals(spark, sf)
-    boost = rank.attribute_boost(F.col("q"), F.col("q_tokens"), F.col("memory_type"), F.col("m_metadata"))
+    boost = rank.attribute_boost(F.col("q_asked"), F.col("memory_type"), F.col("m_metadata"))
     rows = rows.withColumn("boost", boost).withColumn("cost", T.token_estimate(F.col("m_text")))
     return rank.finalize(rank.zscore(rows), S)
 

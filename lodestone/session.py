@@ -19,6 +19,9 @@ def local_session(cpus: str | int = "*", partitions: int = 8, app: str = "lodest
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        # small inputs still use all threads
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
+        .config("spark.sql.files.openCostInBytes", "128k")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -30,6 +33,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The same rows over all threads, if they come in fewer partitions than there are; large inputs stay as they are.
+
+    For scans that feed costly functions: one small file would otherwise be one task.
+    """
+    sc = df.sparkSession.sparkContext
+    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= sc.defaultParallelism else df.repartition(sc.defaultParallelism)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder that all executors share for intermediate tables.
 
