@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.skew import join_groups
+from lodestone.operators.skew import join_groups
 from lodestone.session import cut_lineage
 
 _MASK = (1 << 62) - 1

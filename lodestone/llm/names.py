@@ -37,7 +37,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.skew import join_groups
+from lodestone.operators.skew import join_groups
 from lodestone.session import cut_lineage
 
 #: Rows of one entity up to which all their pairs come out.

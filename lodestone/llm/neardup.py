@@ -38,8 +38,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.skew import join_groups
-from lodestone.session import cut_lineage
+from lodestone.operators.skew import join_groups
+from lodestone.session import cut_lineage, spread
 
 MIN_WORDS = 20
 #: Least similarity, as a fraction: shared words times [1] >= all words times [0].
@@ -97,7 +97,7 @@ def word_sets(df: DataFrame, id_col: str = "id", text_col: str = "text", min_wor
 
     text = F.col(text_col).cast("string")
     rows = df.select(F.col(id_col).cast("long").alias("id"), text.alias("text")).where(F.length("text") >= 2 * min_words - 1)
-    return rows.mapInArrow(run, "id long, k1 long, k2 long, words array<long>")
+    return spread(rows).mapInArrow(run, "id long, k1 long, k2 long, words array<long>")
 
 
 def ball_keys(reps: DataFrame, symbols: int = SYMBOLS, segments: int = SEGMENTS, seed: int = 5) -> DataFrame:

@@ -29,6 +29,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.session import spread
+
 MAX_WORDS = 128
 OVERLAP = 16
 #: Penalties of a cut: paragraph break, line break, sentence end, inside a sentence.
@@ -110,7 +112,7 @@ def long_texts(df: DataFrame, id_col: str, text_col: str, max_words: int) -> Dat
     # a text of n words holds at least n - 1 separating characters: cheap first, exact after it
     separators = F.length(text) - F.length(F.translate(text, " \t\n\r", ""))
     words = F.size(F.filter(F.split(text, "[ \t\n\r]+"), lambda w: w != ""))
-    return df.where(separators >= max_words).where(words > max_words).select(F.col(id_col).cast("long").alias("id"), text.alias("text"))
+    return spread(df.select(id_col, text_col)).where(separators >= max_words).where(words > max_words).select(F.col(id_col).cast("long").alias("id"), text.alias("text"))
 
 
 def split_texts(df: DataFrame, id_col: str = "id", text_col: str = "text", max_words: int = MAX_WORDS, overlap: int = OVERLAP) -> DataFrame:

@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.arrow import utf8, windows8
+from lodestone.session import spread
 
 DEFAULT_TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How the tokenizer's own files split text before merging (a fixed value).
@@ -259,7 +260,7 @@ def _join(path: str, with_ids: bool):
 
 def _run(df: DataFrame, id_col: str, text_col: str, path: str, chunk_bytes: int, with_ids: bool, out: str) -> DataFrame:
     texts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    chunks = texts.mapInArrow(_chunks(chunk_bytes), _CHUNKS)
+    chunks = spread(texts).mapInArrow(_chunks(chunk_bytes), _CHUNKS)
     met = chunks.repartition("key", "salt").sortWithinPartitions("key", "salt")
     pieces = met.mapInArrow(_encode(path, with_ids), _PIECES)
     placed = pieces.repartition("row").sortWithinPartitions("row", "seq")

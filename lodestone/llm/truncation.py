@@ -32,8 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.arrow import utf8, windows8
-from lodestone.llm.skew import join_groups
-from lodestone.session import cut_lineage
+from lodestone.operators.skew import join_groups
+from lodestone.session import cut_lineage, spread
 
 #: Texts that the weights are fitted on, about, and cuts of each.
 TRAIN_TEXTS = 12_000
@@ -272,9 +272,9 @@ def _examples(limit: dict, step: int):
     return run
 
 
-def fit(x: np.ndarray, y: np.ndarray, rounds: int = 120, decay: float = 2e-5, rate: float = 0.25) -> np.ndarray:
+def fit(x: np.ndarray, y: np.ndarray, start: np.ndarray | None = None, rounds: int = 120, decay: float = 2e-5, rate: float = 0.25) -> np.ndarray:
     """Weights of a logistic regression over rows of feature numbers, by full-batch Adam."""
-    w, m, v = np.zeros(DIM), np.zeros(DIM), np.zeros(DIM)
+    w, m, v = np.zeros(DIM) if start is None else start.copy(), np.zeros(DIM), np.zeros(DIM)
     flat, n = x.ravel(), len(x)
     for i in range(1, rounds + 1):
         p = 1 / (1 + np.exp(-np.clip(w[x].sum(1), -30, 30)))
@@ -288,7 +288,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """(doc_id, source, p): the estimated probability that each text is cut; blank texts give no row."""
     spark = df.sparkSession
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(source_col).cast("string").alias("source"))
-    rows = rows.where(F.trim("text") != "")
+    rows = spread(rows.where(F.trim("text") != ""))
     total = df.count()
     limit = {r.source: (r.chars, r.bytes) for r in limits(rows).collect()}  # one row a source
     step = max(1, round(total / train_texts))
@@ -308,7 +308,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     w = fit(x, y)
     for _ in range(2):
         looks_cut = (y == 0) & (w[x].sum(1) > np.log(DOUBT / (1 - DOUBT)))
-        w = fit(x[~looks_cut], y[~looks_cut])
+        w = fit(x[~looks_cut], y[~looks_cut], w, rounds=60)
     sent = spark.sparkContext.broadcast(w.astype(np.float32))
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.skew import join_groups
+from lodestone.operators.skew import join_groups
 from lodestone.session import cut_lineage
 
 #: Most vectors that the hash functions are fitted on.
