@@ -8,13 +8,14 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from lodestone.functions import vocab
 
 WORD = r"([\p{L}\p{N}_]+)"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fold_case(text: pd.Series) -> pd.Series:
     """NFKD form in lower case, trimmed; null becomes an empty text."""
     return text.map(lambda t: "" if t is None else unicodedata.normalize("NFKD", t).lower().strip())
