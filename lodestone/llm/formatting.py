@@ -33,9 +33,17 @@ _BREAKS = "[;|\\r\\n\\x0b\\x0c\\x{85}\\x{2028}\\x{2029}]+"
 _FIELD = "(?s)^[^:=]*[\\p{L}\\p{N}][^:=]*[:=].*$"
 
 
+#: Letters that stand for several once their case is ignored.
+_FOLDED = (("ß", "ss"), ("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬅ", "st"), ("ﬆ", "st"))
+
+
 def letters(text: Column) -> Column:
     """The letters and digits of a text, case folded."""
-    return F.lower(F.upper(F.regexp_replace(text, "[^\\p{L}\\p{N}]+", "")))
+    low = F.lower(F.upper(F.regexp_replace(text, "[^\\p{L}\\p{N}]+", "")))
+    full = low
+    for one, several in _FOLDED:
+        full = F.replace(full, F.lit(one), F.lit(several))
+    return F.when(F.rlike(low, F.lit("[ßﬀ-ﬆ]")), full).otherwise(low)
 
 
 def fields(text: Column) -> Column:

@@ -87,10 +87,10 @@ def _chunks(chunk_bytes: int):
         for batch in batches:
             data, offsets = utf8(batch.column(1))
             ends = chunk_ends(data, offsets, chunk_bytes)
-            starts = np.concatenate([[0], ends[:-1]])
+            starts = np.concatenate([[0], ends[:-1]]) if len(ends) else np.zeros(0, np.int64)
             owner = np.searchsorted(offsets, starts, side="right") - 1
             first = np.searchsorted(starts, offsets[:-1])
-            seq = np.arange(len(ends)) - first[owner]
+            seq = np.arange(len(ends)) - first[owner] if len(ends) else np.zeros(0, np.int64)
             raw = data.tobytes()
             known: dict[bytes, int] = {}
             chunks: list[bytes] = []
