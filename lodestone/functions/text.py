@@ -123,8 +123,9 @@ def truncate(text: Column, max_tokens: int) -> Column:
     """At most max_tokens by the estimate, cut at the last space if that keeps over 80 %, with an ellipsis."""
     limit = max_tokens * 4
     head = F.substring(text, 1, limit)
-    at = F.lit(limit) - F.locate(" ", F.reverse(head)) + 1
-    cut = F.when(F.contains(head, F.lit(" ")) & (at - 1 > limit * 0.8), F.expr(f"substring(text, 1, {limit} - locate(' ', reverse(substring(text, 1, {limit}))))")).otherwise(head)
+    # characters before the last space
+    before = F.lit(limit) - F.locate(" ", F.reverse(head))
+    cut = F.when(F.contains(head, F.lit(" ")) & (before > limit * 0.8), F.substr(head, F.lit(1), before)).otherwise(head)
     return F.when(F.length(text) <= limit, text).otherwise(F.concat(cut, F.lit("...")))
 
 
