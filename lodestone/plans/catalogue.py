@@ -6,3 +6,4 @@ from lodestone.plans import retrieval_queries  # noqa: F401
 from lodestone.plans import graph_queries  # noqa: F401
 from lodestone.plans import learning_queries  # noqa: F401
 from lodestone.plans import source_queries  # noqa: F401
+from lodestone.plans import more_queries  # noqa: F401

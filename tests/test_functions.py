@@ -206,3 +206,40 @@ def test_engine_recalls_what_it_remembers(spark):
 def test_scores(spark):
     row = spark.range(1).select(S.sigmoid(F.lit(0.0)).alias("s"), S.semantic(F.lit(1.0)).alias("d"), S.mmr_lambda(F.lit(20)).alias("l"), S.cosine(F.array(F.lit(1.0), F.lit(0.0)), F.array(F.lit(0.0), F.lit(0.0))).alias("c"), S.l2_squared(F.array(F.lit(1.0)), F.array(F.lit(3.0))).alias("e")).first()
     assert tuple(row) == (0.5, 0.5, 1.0, 0.0, 4.0)
+
+
+def test_signal_registry(tmp_path):
+    from lodestone.operators.signals import SignalRegistry
+
+    reg = SignalRegistry()
+    assert reg.weight("token", "code") == 0.40 and reg.weight("importance", "code") == 0.08 and not reg.problems()
+    reg.disable("token")
+    reg.disable("entity", "code")
+    reg.register("new", 2.0, nonsense=0.1)
+    assert reg.weight("token") == 0 and reg.weight("entity", "code") == 0 and reg.weight("entity") > 0 and len(reg.problems()) == 2
+    reg.save(str(tmp_path / "s.json"))
+    again = SignalRegistry.load(str(tmp_path / "s.json"))
+    assert again.weights == reg.weights and again.off == reg.off and again.off_for == reg.off_for
+    assert abs(sum(again.normalized().values()) - 1) < 1e-9
+    again.enable("token")
+    again.unregister("new")
+    assert again.weight("token", "code") == 0.40 and not again.problems()
+
+
+def test_sinks(spark, tmp_path):
+    from lodestone.sources import sinks
+
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "id long, text string")
+    path = str(tmp_path / "t")
+    sinks.save(df, path)
+    sinks.add(df, path)
+    assert spark.read.parquet(path).count() == 4
+    sinks.clear(df, path)
+    assert spark.read.parquet(path).count() == 0
+    sinks.export_json(df, str(tmp_path / "j"))
+    sinks.export_csv(df, str(tmp_path / "c"))
+    assert spark.read.json(str(tmp_path / "j")).count() == 2 and spark.read.option("header", "true").csv(str(tmp_path / "c")).count() == 2
+    results = spark.createDataFrame([(1, i, i, 0.5) for i in range(1, 31)], "query_id long, id long, rank long, final double")
+    asked = spark.createDataFrame([(1, "q", "e"), (2, "r", None)], "question_id long, query_text string, expected string")
+    got = {r.query_id: r for r in sinks.record(results, asked).collect()}
+    assert got[1].candidate_count == 30 and len(got[1].candidates) == 20 and got[2].candidate_count == 0
