@@ -12,7 +12,7 @@ from lodestone.functions import text as T
 from lodestone.functions import vocab
 from lodestone.functions.vocab import Settings
 from lodestone.operators import store
-from lodestone.session import spread
+from lodestone.session import cut_lineage, spread
 
 STOP = tuple(vocab.STOPWORDS) + tuple(vocab.INTERROGATIVES)
 
@@ -136,7 +136,9 @@ def recall(questions: DataFrame, candidates: DataFrame, memories: DataFrame, set
     rows = signals(candidate_rows(candidates), memories, queries, settings)
     rows = base_score(rows)
     rows = rows.withColumn("boost", attribute_boost(F.col("q_asked"), F.col("memory_type"), F.col("m_metadata"))).withColumn("cost", T.token_estimate(F.col("m_text")))
-    rows = finalize(zscore(rows.select("query_id", "id", "base", "importance", "recency", "boost", "bm25", "cost")), settings)
+    # statistics, context and answer all start from these narrow rows: compute the signals once
+    rows = cut_lineage(rows.select("query_id", "id", "base", "importance", "recency", "boost", "bm25", "cost"))
+    rows = finalize(zscore(rows), settings)
     return respond(context(rows, settings), settings.response_limit).select("query_id", "id", "base", "normalized", "final", "rank")
 
 

@@ -8,7 +8,9 @@ from lodestone.functions import vocab
 from lodestone.functions.vocab import Settings
 from lodestone.operators import rank
 from lodestone.operators.signals import SignalRegistry
-from lodestone.plans.learning_queries import _PIPE, _ranks
+from lodestone.operators import evaluate, lexical
+from lodestone.plans import retrieval_queries as R
+from lodestone.plans.learning_queries import _PIPE, _RECALL, _ranks
 from lodestone.plans.storage_queries import EXPECTED, LIVE, expected_ids
 from lodestone.queries import register
 from lodestone.session import table
@@ -63,3 +65,34 @@ def evaluation_record(spark, sf):
 def memory_types(spark, sf):
     rows = table(spark, sf, "memories").where(F.coalesce("tombstone", F.lit(0)) == 0).groupBy(F.lower(F.coalesce("memory_type", F.lit("unknown"))).alias("memory_type"))
     return rows.agg(F.count("*").alias("n"), F.countDistinct("subject").alias("subjects"), F.round(F.avg("importance"), 6).alias("importance"))
+
+
+_OWN = (
+    f"{R._LEX}, {R._BM25}, own AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM bm25), "
+    + _PIPE.replace("c AS (SELECT query_id, memory_id AS id, min(distance) AS distance, max(coalesce(bm25_score, 0)) AS bm25 FROM candidates GROUP BY 1, 2)", "c AS (SELECT query_id, id, 1 / (score + 1e-6) AS distance, score AS bm25 FROM own WHERE r <= 150)")
+)
+
+
+@register("recall_of_own_retrieval", f"WITH RECURSIVE {_OWN} SELECT family, {_RECALL} FROM rk GROUP BY family")
+def recall_of_own_retrieval(spark, sf):
+    """Recall by family when the engine retrieves by words itself, instead of ranking the given candidates."""
+    questions, memories = table(spark, sf, "questions"), table(spark, sf, "memories")
+    found = lexical.top_k(lexical.bm25(R._docs(spark, sf), R._terms(spark, sf)), S.source_k)
+    rows = found.select("query_id", F.col("id").alias("memory_id"), (1.0 / (F.col("score") + 1e-6)).alias("distance"), F.col("score").alias("bm25_score"), F.lit(False).alias("graph_hit"))
+    shown = rank.recall(questions, rows, memories, S).join(memories.select("id", "text", "metadata"), "id")
+    return evaluate.recall_at(evaluate.expected_rank(shown, questions), by=["family"])
+
+
+@register("world_recall")
+def world_recall(spark, sf):
+    """Recall on a generated world of 200 people, whose questions have answers among its memories."""
+    from lodestone.api import Engine
+    from lodestone.session import cut_lineage
+    from lodestone.sources import ingest, readers
+
+    facts = readers.world(spark, 200)
+    rows = facts.select((F.col("person_id") * 16 + F.when(F.col("attribute") == "city", 0).when(F.col("attribute") == "job", 1).when(F.col("attribute") == "food", 2).otherwise(3)).alias("id"), "text")
+    memories = cut_lineage(ingest.enrich(rows).withColumn("last_accessed", F.col("created_at")))
+    questions = cut_lineage(readers.questions_of(facts).withColumn("expected_ids", F.array().cast("array<string>")))
+    engine = Engine(spark, memories)
+    return engine.evaluate(questions, engine.recall(questions))

@@ -38,7 +38,9 @@ def spread(df: DataFrame) -> DataFrame:
 
     For scans that feed costly functions: one small file would otherwise be one task.
     """
-    sc = df.sparkSession.sparkContext
+    sc, plan = df.sparkSession.sparkContext, df._jdf.queryExecution().executedPlan()
+    if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+        return df  # it exchanges rows anyway, and asking for its partitions would run it
     return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= sc.defaultParallelism else df.repartition(sc.defaultParallelism)
 
 
