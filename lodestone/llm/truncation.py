@@ -299,7 +299,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     # frequency on a log scale, apart for each sort of closing words
     level = (F.lit(DIM - CLOSING) + F.col("sort") * 16 + F.least(F.lit(15), F.floor(F.log2(F.col("n") + 1)))).cast("int")
     rated = cut_lineage(join_groups(made, known, ["word"], "k", total, "doc_id").select("doc_id", "source", "role", F.array_append("x", level).alias("x")))
-    sample = rated.where("role > 0").select("role", "x").toArrow()  # bounded by train_texts
+    sample = rated.where("role > 0").orderBy("doc_id", "role", "x").select("role", "x").toArrow()  # bounded by train_texts
     role = sample.column(0).to_numpy()
     if (role == 1).sum() < 20 or (role == 2).sum() < 20:
         return rated.where("role < 2").select("doc_id", "source", F.lit(0.0).alias("p"))

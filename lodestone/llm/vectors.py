@@ -188,7 +188,7 @@ def knn(vectors: DataFrame, k: int = 10, dim: int = 64, tables: int = 3, probes:
     spark = vectors.sparkSession
     total = vectors.count()
     step = max(1, -(-total // SAMPLE))
-    drawn = vectors.where(F.pmod(F.xxhash64(F.lit(11), "id"), F.lit(step)) == 0).select("vec").limit(2 * SAMPLE).toArrow()
+    drawn = vectors.where(F.pmod(F.xxhash64(F.lit(11), "id"), F.lit(step)) == 0).orderBy("id").limit(2 * SAMPLE).select("vec").toArrow()
     sample = _matrix(drawn.column(0).combine_chunks(), dim) if drawn.num_rows else np.zeros((0, dim))
     trees, scale = fit(sample, total, tables, bucket, k)
     reach = REACH * scale
