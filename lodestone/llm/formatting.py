@@ -49,7 +49,11 @@ def letters(text: Column) -> Column:
 def fields(text: Column) -> Column:
     """The distinct fields, each as its name and value with a colon between; null if the text is no list of fields."""
     trimmed = F.trim(F.regexp_replace(text, "^\\s+|\\s+$", ""))
-    parsed = F.when(F.startswith(trimmed, F.lit("{")) & F.endswith(trimmed, F.lit("}")), F.from_json(trimmed, "map<string,string>"))
+    parsed = F.when(F.startswith(trimmed, F.lit("{")) & F.endswith(trimmed, F.lit("}")), F.from_json(trimmed, "map<string,string>", {"allowSingleQuotes": "false"}))
+    # the parser stops after the first object: what stands behind it makes the text no object
+    size = F.aggregate(F.map_entries(parsed), F.lit(0), lambda n, e: n + F.length(letters(e["key"])) + F.length(letters(F.coalesce(e["value"], F.lit("null")))))
+    tail = F.rlike(trimmed, F.lit(r"\}\s*[^\s\]},]")) & (size < F.length(letters(trimmed)))
+    parsed = F.when(~tail, parsed)
     of_json = F.transform(F.map_entries(parsed), lambda e: F.concat(letters(e["key"]), F.lit(":"), letters(F.coalesce(e["value"], F.lit("")))))
     parts = F.filter(F.split(text, _BREAKS), lambda p: F.trim(p) != "")
     listed = (F.size(parts) >= 3) & F.forall(parts, lambda p: F.rlike(p, F.lit(_FIELD)))

@@ -91,6 +91,12 @@ def test_copies_in_other_formatting(spark):
     assert counts[0] == 3 and counts[8] == 3 and counts[3] == 1
 
 
+def test_what_is_an_object(spark):
+    rows = ['{"a": 1}', '{"a": 1} {"b": 2}', "{'a': 1}", '{"a": "}x"}', '{"A": "x"}', '{"a": 1.50, "b": [1, {"c": 2}]}', '{"b": [1, {"c": 2}], "a": 1.50}']
+    df = spark.createDataFrame(list(enumerate(rows)), "id long, text string")
+    assert {tuple(r) for r in formatting.copies(df).collect()} == {(3, 4), (5, 6)}
+
+
 def test_hot_groups_of_copies_are_whole(spark, monkeypatch):
     from lodestone.operators import skew
 
