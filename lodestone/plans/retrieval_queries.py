@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+import functools
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import scores as SC
@@ -12,7 +14,7 @@ from lodestone.functions.vocab import Settings
 from lodestone.operators import graph, learn, lexical, rank, store, vector
 from lodestone.plans.storage_queries import IMPORTANCE, KIND, LIVE, NOW
 from lodestone.plans.text_queries import WORDS, _TAU, attribute_sql, entities_sql, sql_list
-from lodestone.queries import register
+from lodestone.queries import _SQL, register
 from lodestone.session import table
 
 S = Settings()
@@ -214,23 +216,54 @@ _UNION = f"""{_BM25}, ranked AS (SELECT *, row_number() OVER (PARTITION BY query
   won AS (SELECT *, row_number() OVER (PARTITION BY query_id, id ORDER BY p DESC) AS rn FROM uni)"""
 
 
-def union_sources(spark, sf):
+#: The retrievers in the order of their priority, the last one first.
+SOURCES = ("vector", "bm25", "graph", "phrase", "attribute")
+
+
+def union_sources(spark, sf, sources: tuple[str, ...] = SOURCES):
     """(query_id, id, source, p, distance): the candidates of all sources; of several sources of one memory the last one wins."""
     asked = rank.understand(table(spark, sf, "questions"))
-    vec = table(spark, sf, "candidates").groupBy("query_id", F.col("memory_id").alias("id")).agg(F.min("distance").alias("distance")).withColumn("p", F.lit(0))
-    lex = lexical.top_k(lexical.bm25(_docs(spark, sf), _terms(spark, sf)), S.source_k).select("query_id", "id", SC.bm25_distance(F.col("score")).alias("distance"), F.lit(1).alias("p"))
     keys = asked.select("query_id", F.col("q_subject").alias("subject"), F.col("q_attribute").alias("attribute"))
-    att = store.live(table(spark, sf, "memories")).join(keys, ["subject", "attribute"]).select("query_id", "id", F.lit(0.0).alias("distance"), F.lit(4).alias("p"))
-    best = vec.unionByName(lex).unionByName(att).groupBy("query_id", "id").agg(F.max_by("distance", "p").alias("distance"), F.max("p").alias("p"))
-    names = F.create_map(*[x for i, s in enumerate(("vector", "bm25", "graph", "phrase", "attribute")) for x in (F.lit(i), F.lit(s))])
+    found = {
+        "vector": lambda: table(spark, sf, "candidates").groupBy("query_id", F.col("memory_id").alias("id")).agg(F.min("distance").alias("distance")),
+        "bm25": lambda: lexical.top_k(lexical.bm25(_docs(spark, sf), _terms(spark, sf)), S.source_k).select("query_id", "id", SC.bm25_distance(F.col("score")).alias("distance")),
+        "graph": lambda: graph_retrieval(spark, sf).select("query_id", "id", F.lit(0.0).alias("distance")),
+        "phrase": lambda: phrase_search(spark, sf).select("query_id", "id", F.lit(0.0).alias("distance")),
+        "attribute": lambda: store.live(table(spark, sf, "memories")).join(keys, ["subject", "attribute"]).select("query_id", "id", F.lit(0.0).alias("distance")),
+    }
+    rows = [found[s]().withColumn("p", F.lit(p)) for p, s in enumerate(SOURCES) if s in sources]
+    best = functools.reduce(DataFrame.unionByName, rows).groupBy("query_id", "id").agg(F.max_by("distance", "p").alias("distance"), F.max("p").alias("p"))
+    names = F.create_map(*[x for i, s in enumerate(SOURCES) for x in (F.lit(i), F.lit(s))])
     return best.withColumn("source", names[F.col("p")])
 
 
+#: The sources that the SQL of retriever_union and candidate_cap has.
+_THREE = ("vector", "bm25", "attribute")
+_UNION_ALL = f"""{_BM25}, graph AS ({_SQL["graph_retrieval"]}), phrase AS ({_SQL["phrase_search"]}),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM bm25),
+  uni AS (SELECT query_id, memory_id AS id, 0 AS p, min(distance) AS distance FROM candidates GROUP BY query_id, memory_id
+    UNION ALL SELECT query_id, id, 1, 1 / (score + 1e-6) FROM ranked WHERE rank <= 150
+    UNION ALL SELECT query_id, id, 2, CAST(0 AS DOUBLE) FROM graph
+    UNION ALL SELECT query_id, id, 3, CAST(0 AS DOUBLE) FROM phrase
+    UNION ALL SELECT query_id, m.id, 4, CAST(0 AS DOUBLE) FROM q JOIN memories m ON m.subject = q_subject AND m.attribute = q_attribute WHERE {LIVE}),
+  won AS (SELECT *, row_number() OVER (PARTITION BY query_id, id ORDER BY p DESC) AS rn FROM uni)"""
+
+
 @register(
     "retriever_union",
     f"WITH {_LEX}, {_Q}, {_UNION}, {_SOURCES} SELECT query_id, id, source, round(distance, 6) AS distance FROM won JOIN prio USING (p) WHERE rn = 1",
 )
 def retriever_union(spark, sf):
+    """The candidates of the three sources that the SQL has; those of all five are in retriever_union_all."""
+    return union_sources(spark, sf, _THREE).select("query_id", "id", "source", F.round("distance", 6).alias("distance"))
+
+
+@register(
+    "retriever_union_all",
+    f"WITH {_LEX}, {_Q}, {_UNION_ALL}, {_SOURCES} SELECT query_id, id, source, round(distance, 6) AS distance FROM won JOIN prio USING (p) WHERE rn = 1",
+)
+def retriever_union_all(spark, sf):
+    """The candidates of all five sources."""
     return union_sources(spark, sf).select("query_id", "id", "source", F.round("distance", 6).alias("distance"))
 
 
@@ -242,7 +275,7 @@ def retriever_union(spark, sf):
 def candidate_cap(spark, sf):
     """The first 100 candidates of each question, by the priority of their source, then distance, then id."""
     w = Window.partitionBy("query_id").orderBy(F.desc("p"), F.round("distance", 6), "id")
-    return union_sources(spark, sf).withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 100").select("query_id", "id", "rank")
+    return union_sources(spark, sf, _THREE).withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 100").select("query_id", "id", "rank")
 
 
 _W = {s: rank.weight(s, "general") for s in vocab.SIGNALS}
