@@ -1,7 +1,8 @@
-"""Exact vector search for stated sets of queries, and similar pairs within bounded batches."""
+"""Exact vector search for stated sets of queries, and similar pairs, of all vectors or within bounded batches."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,9 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import scores as S
+from lodestone.session import cut_lineage
 
 #: Most query vectors that are sent to all executors at once (64 numbers of 4 bytes each: 1 MB).
 BLOCK_QUERIES = 4_096
+#: Most distinct vectors of a block that meets other blocks, and rows of it that are multiplied at once.
+BLOCK_VECTORS, STRIP = 8_192, 512
 
 
 def _block_search(block: pd.DataFrame, k: int, metric: str):
@@ -74,3 +78,45 @@ def similar_in_batches(vectors: DataFrame, batch_col: str, at_least: float) -> D
     right = vectors.select(batch_col, F.col("id").alias("b"), F.col("embedding").alias("vb"))
     sim = F.round(S.cosine(F.col("va"), F.col("vb")), 6)
     return left.join(right, batch_col).where("a < b").select("a", "b", sim.alias("similarity")).where(F.col("similarity") >= at_least)
+
+
+def similar_pairs(vectors: DataFrame, at_least: float, dim: int = 64, block: int = BLOCK_VECTORS) -> DataFrame:
+    """(a, b, similarity): all pairs of (id, embedding) whose cosine similarity reaches a bound, exactly; a < b.
+
+    Equal embeddings are compared once. The others are spread over blocks, and every
+    two blocks meet in one task, which multiplies strips of the one with the other.
+    """
+    schema = "a long, b long, similarity double"
+    named = cut_lineage(vectors.select("id", "embedding"))
+    reps = named.groupBy("embedding").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
+    groups = cut_lineage(reps)
+    n_blocks = max(1, math.ceil(groups.count() / block))
+    # the blocks of a task as one number: the lesser one times n_blocks, plus the greater one
+    own = F.pmod(F.xxhash64("rep"), F.lit(n_blocks)).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
+    rows = groups.select("rep", "embedding", own.alias("own"), other.alias("other"))
+    rows = rows.select((F.least("own", "other") * n_blocks + F.greatest("own", "other")).alias("task"), "own", "rep", "embedding")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        first, last = divmod(int(pdf["task"].iloc[0]), n_blocks)
+        ids, x = pdf["rep"].to_numpy(), np.array(pdf["embedding"].tolist(), np.float64).reshape(-1, dim)
+        norms = np.maximum(np.sqrt((x * x).sum(1)), 1e-8)
+        left, right = (np.flatnonzero(pdf["own"].to_numpy() == i) for i in (first, last))
+        y, out = x[right].T.copy(), []
+        for at in range(0, len(left), STRIP):
+            part = left[at : at + STRIP]
+            sim = np.round(x[part] @ y / norms[part][:, None] / norms[right][None], 6)
+            i, j = np.nonzero(sim >= at_least)
+            a, b = ids[part][i], ids[right][j]
+            keep = a < b if first == last else a != b
+            out.append(pd.DataFrame({"a": a[keep], "b": b[keep], "similarity": sim[i, j][keep]}))
+        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "similarity": []})
+
+    near = rows.groupBy("task").applyInPandas(run, schema)
+    itself = F.round(S.cosine(F.col("embedding"), F.col("embedding")), 6)
+    same = groups.where("n > 1").select(F.col("rep").alias("a"), F.col("rep").alias("b"), itself.alias("similarity")).where(F.col("similarity") >= at_least)
+    # back to the rows that have the embeddings
+    members = cut_lineage(named.join(groups, "embedding").select("rep", "id"))
+    x, y = (members.select(F.col("rep").alias(c), F.col("id").alias(i)) for c, i in (("a", "x"), ("b", "y")))
+    found = near.unionByName(same).join(x, "a").join(y, "b").where("a <> b OR x < y")
+    return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")

@@ -158,10 +158,21 @@ def cosine_topk(spark, sf):
     SELECT a, b, similarity FROM p WHERE similarity >= 0.99""",
 )
 def embedding_similar_in_batch(spark, sf):
-    """Pairs of very similar vectors within batches of 100, as consolidation sees them."""
+    """Pairs of very similar vectors within batches of 100; embedding_similar has those of all vectors."""
     return vector.similar_in_batches(store.batches(_vectors(spark, sf), 100), "batch", 0.99)
 
 
+@register(
+    "embedding_similar",
+    """WITH v AS (SELECT memory_id AS id, min(embedding) AS e FROM candidates WHERE len(embedding) = 64 GROUP BY 1),
+    p AS (SELECT a.id AS a, c.id AS b, round(list_cosine_similarity(CAST(a.e AS DOUBLE[]), CAST(c.e AS DOUBLE[])), 6) AS similarity FROM v a JOIN v c ON a.id < c.id)
+    SELECT a, b, similarity FROM p WHERE similarity >= 0.99""",
+)
+def embedding_similar(spark, sf):
+    """All pairs of very similar vectors."""
+    return vector.similar_pairs(_vectors(spark, sf), 0.99)
+
+
 @register(
     "vector_distance_check",
     """WITH v AS (SELECT memory_id AS id, min(embedding) AS e FROM candidates WHERE len(embedding) = 64 GROUP BY 1)

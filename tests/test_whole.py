@@ -1,7 +1,9 @@
 """Operators that once gave less than their whole result."""
 
+import numpy as np
 import pytest
 
+from lodestone.operators import vector
 from lodestone.plans import retrieval_queries as R
 from tests.conftest import DATA
 
@@ -21,3 +23,21 @@ def test_union_has_what_only_graph_or_phrase_finds(spark):
     graph, phrase = keys(R.graph_retrieval(spark, FOLDER)), keys(R.phrase_search(spark, FOLDER))
     assert {got.get(k) for k in phrase} <= {"phrase", "attribute"}
     assert {got.get(k) for k in graph} <= {"graph", "phrase", "attribute"}
+
+
+def test_similar_pairs_of_all_vectors_and_copies(spark):
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(12, 4))
+    x = np.round(np.concatenate([base[rng.integers(0, 12, 90)] * rng.uniform(0.5, 2, (90, 1)) + rng.normal(size=(90, 4)) * 0.05, np.repeat(base[:2], 15, axis=0)]) * 512) / 512
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "id long, embedding array<float>")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = {(a, b) for a in range(len(x)) for b in range(a + 1, len(x)) if round(float(unit[a] @ unit[b]), 6) >= 0.99}
+    for block in (7, 1_000):
+        got = [(r.a, r.b) for r in vector.similar_pairs(df, 0.99, dim=4, block=block).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+@tables
+def test_similar_vectors_are_not_bound_to_batches(spark):
+    batches, every = ({(r.a, r.b) for r in f(spark, FOLDER).collect()} for f in (R.embedding_similar_in_batch, R.embedding_similar))
+    assert batches < every
