@@ -248,6 +248,11 @@ def union_sources(spark, sf, sources: tuple[str, ...] = SOURCES):
     return best.withColumn("source", names[F.col("p")])
 
 
+def _capped(rows, most: int):
+    w = Window.partitionBy("query_id").orderBy(F.desc("p"), F.round("distance", 6), "id")
+    return rows.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= most)
+
+
 #: The sources that the SQL of retriever_union and candidate_cap has.
 _THREE = ("vector", "bm25", "attribute")
 _UNION_ALL = f"""{_BM25}, graph AS ({_SQL["graph_retrieval"]}), phrase AS ({_SQL["phrase_search"]}),
@@ -284,9 +289,18 @@ def retriever_union_all(spark, sf):
     k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY p DESC, distance, id) AS rank FROM one) SELECT query_id, id, CAST(rank AS BIGINT) AS rank FROM k WHERE rank <= 100""",
 )
 def candidate_cap(spark, sf):
-    """The first 100 candidates of each question, by the priority of their source, then distance, then id."""
-    w = Window.partitionBy("query_id").orderBy(F.desc("p"), F.round("distance", 6), "id")
-    return union_sources(spark, sf, _THREE).withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 100").select("query_id", "id", "rank")
+    """The first 100 candidates of each question from the sources of its SQL; candidate_cap_all has the whole cap of all sources."""
+    return _capped(union_sources(spark, sf, _THREE), 100).select("query_id", "id", "rank")
+
+
+@register(
+    "candidate_cap_all",
+    f"""WITH {_LEX}, {_Q}, {_UNION_ALL}, one AS (SELECT query_id, id, p, round(distance, 6) AS distance FROM won WHERE rn = 1),
+    k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY p DESC, distance, id) AS rank FROM one) SELECT query_id, id, CAST(rank AS BIGINT) AS rank FROM k WHERE rank <= {S.candidate_cap}""",
+)
+def candidate_cap_all(spark, sf):
+    """As many candidates of all sources as are ranked (300), by the priority of their source, then distance, then id."""
+    return _capped(union_sources(spark, sf), S.candidate_cap).select("query_id", "id", "rank")
 
 
 _W = {s: rank.weight(s, "general") for s in vocab.SIGNALS}

@@ -41,3 +41,10 @@ def test_similar_pairs_of_all_vectors_and_copies(spark):
 def test_similar_vectors_are_not_bound_to_batches(spark):
     batches, every = ({(r.a, r.b) for r in f(spark, FOLDER).collect()} for f in (R.embedding_similar_in_batch, R.embedding_similar))
     assert batches < every
+
+
+@tables
+def test_cap_is_that_of_the_settings(spark):
+    counts = [r["count"] for r in R.candidate_cap_all(spark, FOLDER).groupBy("query_id").count().collect()]
+    every = [r["count"] for r in R.retriever_union_all(spark, FOLDER).groupBy("query_id").count().collect()]
+    assert sorted(counts) == sorted(min(n, R.S.candidate_cap) for n in every) and max(counts) > 100
