@@ -63,7 +63,7 @@ class Engine:
     def recall(self, questions: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
         """(query_id, id, base, normalized, final, rank) of all questions; their candidates are retrieved unless given."""
         self.plugins.notify("before_recall", questions)
-        rows = rank.recall(questions, self.retrieve(questions) if candidates is None else candidates, self.memories, self.settings)
+        rows = rank.recall(questions, self.retrieve(questions) if candidates is None else candidates, self.memories, self.settings, plugins=self.plugins)
         rows = self.plugins.rerank(rows)
         self.plugins.notify("after_recall", rows)
         return rows

@@ -33,6 +33,15 @@ def weight(signal: str, kind: str) -> float:
     return of.get(kind, of["default"])
 
 
+def weight_by(signal: str, kind: Column) -> Column:
+    """The weight of a signal for the type of each row."""
+    of = vocab.SIGNALS[signal]
+    out = F.lit(of["default"])
+    for name, value in of.items():
+        out = F.when(kind == name, value).otherwise(out)
+    return out
+
+
 def candidate_rows(candidates: DataFrame) -> DataFrame:
     """One row for each (query, memory): the least distance and the best lexical score of its deliveries."""
     return candidates.groupBy("query_id", F.col("memory_id").alias("id")).agg(
@@ -58,10 +67,10 @@ def signals(candidates: DataFrame, memories: DataFrame, queries: DataFrame, sett
     )
 
 
-def base_score(rows: DataFrame, kind: str = "general", extra: tuple[str, ...] = ()) -> DataFrame:
+def base_score(rows: DataFrame, kind: str | Column = "general", extra: tuple[str, ...] = ()) -> DataFrame:
     """The weighted sum of the signals that the plan has; a signal without a column is left out of the plan altogether."""
     used = ["semantic", "token", "entity", "subject", "attribute", "recency", "importance", *extra]
-    total = sum((F.coalesce(F.col(s), F.lit(0.0)) * weight(s, kind) for s in used), F.lit(0.0))
+    total = sum((F.coalesce(F.col(s), F.lit(0.0)) * (weight(s, kind) if isinstance(kind, str) else weight_by(s, kind)) for s in used), F.lit(0.0))
     return rows.withColumn("base", F.round(total, 6))
 
 
@@ -130,11 +139,27 @@ def respond(rows: DataFrame, limit: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= limit)
 
 
-def recall(questions: DataFrame, candidates: DataFrame, memories: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """(query_id, id, base, normalized, final, rank): the whole ranking of all questions in one plan."""
+def recall(
+    questions: DataFrame, candidates: DataFrame, memories: DataFrame, settings: Settings = Settings(),
+    kinds: DataFrame | None = None, tfidf: DataFrame | None = None, feedback: DataFrame | None = None, plugins=None,
+) -> DataFrame:
+    """(query_id, id, base, normalized, final, rank): the ranking of the given candidates of all questions in one plan.
+
+    Optional: kinds (query_id, kind) resolves the weights by type, ``general`` for questions that are not in it;
+    tfidf (query_id, id, tfidf) and feedback (id, feedback) are further signals; plugins is a registry with signals.
+    """
     queries = understand(questions)
     rows = signals(candidate_rows(candidates), memories, queries, settings)
-    rows = base_score(rows)
+    if kinds is not None:
+        rows = rows.join(kinds.select("query_id", "kind"), "query_id", "left")
+    if tfidf is not None:
+        rows = rows.join(tfidf, ["query_id", "id"], "left")
+    if feedback is not None:
+        rows = rows.join(feedback, "id", "left")
+    extra = tuple(name for name, given in (("tfidf", tfidf), ("feedback", feedback)) if given is not None)
+    rows = base_score(rows, "general" if kinds is None else F.coalesce("kind", F.lit("general")), extra)
+    if plugins is not None:
+        rows = plugins.add_signals(rows)
     rows = rows.withColumn("boost", attribute_boost(F.col("q_asked"), F.col("memory_type"), F.col("m_metadata"))).withColumn("cost", T.token_estimate(F.col("m_text")))
     # statistics, context and answer all start from these narrow rows: compute the signals once
     rows = cut_lineage(rows.select("query_id", "id", "base", "importance", "recency", "boost", "bm25", "cost"))

@@ -11,11 +11,11 @@ from lodestone.functions import scores as SC
 from lodestone.functions import text as T
 from lodestone.functions import vocab
 from lodestone.functions.vocab import Settings
-from lodestone.operators import graph, learn, lexical, rank, store, vector
+from lodestone.operators import graph, learn, lexical, rank, routing, store, vector
 from lodestone.plans.storage_queries import IMPORTANCE, KIND, LIVE, NOW
 from lodestone.plans.text_queries import WORDS, _TAU, attribute_sql, entities_sql, sql_list
 from lodestone.queries import _SQL, register
-from lodestone.session import table
+from lodestone.session import cut_lineage, table
 
 S = Settings()
 STOP = vocab.STOPWORDS + vocab.INTERROGATIVES
@@ -383,6 +383,20 @@ def recall_pipeline(spark, sf):
     return rank.recall(table(spark, sf, "questions"), table(spark, sf, "candidates"), table(spark, sf, "memories"), S)
 
 
+@register("recall_hybrid")
+def recall_hybrid(spark, sf):
+    """Recall from the engine's own retrieval: union and cap of all sources, then the ranking with tfidf and feedback, by the type of the question."""
+    questions, memories = table(spark, sf, "questions"), table(spark, sf, "memories")
+    docs, terms = _docs(spark, sf), _terms(spark, sf)
+    found = cut_lineage(_capped(union_sources(spark, sf), S.candidate_cap))
+    wanted = found.select("query_id", "id")
+    words = lexical.bm25(docs, terms, S.k1, S.b).join(wanted, ["query_id", "id"], "left_semi")
+    rows = found.join(words, ["query_id", "id"], "left").select("query_id", F.col("id").alias("memory_id"), "distance", F.col("score").alias("bm25_score"), (F.col("source") == "graph").alias("graph_hit"))
+    tfidf = lexical.tfidf(docs, terms).join(wanted, ["query_id", "id"], "left_semi").withColumnRenamed("score", "tfidf")
+    feedback = learn.feedback(table(spark, sf, "feedback_events"), S).select(F.col("mem_id").alias("id"), F.col("boost").alias("feedback"))
+    return rank.recall(questions, rows, memories, S, routing.classify(rank.understand(questions)), tfidf, feedback)
+
+
 @register("mmr_rerank")
 def mmr_rerank(spark, sf):
     rows = rank.zscore(_signals(spark, sf)).select("query_id", "id", "normalized")
