@@ -18,8 +18,7 @@ stand for, those that occur with the surname at all; the rewriting counts if jus
 does. Rows meet in an equi-join on (kind, core name, given name or line of business);
 a row that names one person under two surnames joins the two.
 
-All pairs within an entity come out, for entities of up to ``EXPAND`` rows; of larger
-ones every row is paired with the smallest id instead.
+All pairs within an entity come out; those of a large one are made by blocks of its rows.
 
 Defined cases: rows with a null name are in no pair; null, empty and general aliases
 (no name of two parts) only help to narrow a given name, if at all; an unknown type is
@@ -37,12 +36,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.operators.skew import join_groups
+from lodestone.operators.skew import join_groups, pairs_within
 from lodestone.session import cut_lineage
 
-#: Rows of one entity up to which all their pairs come out.
-EXPAND = 1_000
-
 TITLES = {"mr", "mrs", "ms", "mx", "miss", "dr", "prof", "professor", "sir", "rev", "hon", "jr", "sr", "phd", "md"}
 LEGAL = {"inc", "incorporated", "ltd", "limited", "corp", "corporation", "co", "company", "gmbh", "llc", "plc", "llp", "ag", "kg", "bv", "nv"}
 FILLERS = {"the", "and", "of", "for", "und", "et", "y"}
@@ -339,9 +335,6 @@ def resolve(
 def same_entity(entities: DataFrame, short_forms: DataFrame, **columns) -> DataFrame:
     """(id_a, id_b): all pairs of rows of one entity, the smaller id first."""
     members = cut_lineage(resolve(entities, short_forms, **columns))
-    sized = cut_lineage(members.groupBy("entity").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1"))
+    sized = cut_lineage(members.groupBy("entity").agg(F.count("*").alias("n")).where("n > 1"))
     each = join_groups(members, sized, ["entity"], "n", members.count(), "id")
-    few = each.where(F.col("n") <= EXPAND)
-    pairs = few.alias("x").join(few.alias("y"), "entity").where("x.id < y.id").select(F.col("x.id").alias("id_a"), F.col("y.id").alias("id_b"))
-    star = each.where((F.col("n") > EXPAND) & (F.col("id") > F.col("first"))).select(F.col("first").alias("id_a"), F.col("id").alias("id_b"))
-    return pairs.unionByName(star).distinct()
+    return pairs_within(each, "entity", "n", "id")

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 #: A key is hot when it has more rows than this, and more than one row in HOT_SHARE of all.
 HOT_ROWS = 10_000
 HOT_SHARE = 1_000
+#: Rows of a group whose pairs are made in one piece.
+PAIR_ROWS = 1_000
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], n: str, total: int, spread: str) -> DataFrame:
@@ -24,3 +26,17 @@ def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], n: str, total
     left = rows.join(hot, on, "left").withColumn("_salt", F.pmod(F.xxhash64(spread), F.coalesce("_salts", F.lit(1)).cast("long")).cast("int")).drop("_salts")
     right = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
     return left.join(right, [*on, "_salt"]).drop("_salt")
+
+
+def pairs_within(rows: DataFrame, key: str, n: str, id_col: str) -> DataFrame:
+    """(id_a, id_b): all pairs of rows (key, n, id) of one key, id_a < id_b; ``n`` counts the key's rows.
+
+    The rows of a large group are spread over blocks by their id, and block meets block,
+    so that no key of the join has more than about PAIR_ROWS rows on either side.
+    """
+    blocks = F.ceil(F.col(n) / PAIR_ROWS).cast("int")
+    own = rows.where(F.col(n) > 1).select(F.col(key).alias("_key"), F.col(id_col).alias("_id"), blocks.alias("_blocks"), F.pmod(F.xxhash64(id_col), blocks).cast("int").alias("_own"))
+    left = own.select("_key", F.col("_id").alias("_x"), F.col("_own").alias("_i"), F.explode(F.sequence("_own", F.col("_blocks") - 1)).alias("_j"))
+    right = own.select("_key", F.col("_id").alias("_y"), F.explode(F.sequence(F.lit(0), "_own")).alias("_i"), F.col("_own").alias("_j"))
+    met = left.join(right, ["_key", "_i", "_j"]).where("_i < _j OR _x < _y")
+    return met.select(F.least("_x", "_y").alias("id_a"), F.greatest("_x", "_y").alias("id_b"))
