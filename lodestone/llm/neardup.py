@@ -21,9 +21,9 @@ At similarity s a segment of 8 meets with s^8 + 8 s^7 (1 - s): 0.37 at 3/4 and 0
 at 0.8, so 16 segments find 99.93 % of the pairs at the bound itself and 99.999 % at
 0.8; unrelated texts at 0.1 meet with a probability of 1e-5.
 
-Pairs of copies: all pairs between and within sets of up to ``expand`` copies come
-out. Of larger sets every copy is paired with the representative instead (its
-smallest id), which together with ``classes`` says the same in linear size.
+Pairs of copies: all pairs between and within sets of equal words come out, those of
+large ones by blocks. With ``expand`` more than so many rows of equal text count as one,
+and each is paired with the smallest id instead; ``classes`` gives the rows it stands for.
 
 Defined cases: null and short texts are in no pair; equal rows are copies.
 """
@@ -38,15 +38,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.operators.skew import join_groups
+from lodestone.operators.skew import PAIR_ROWS, join_groups, pairs_within
 from lodestone.session import cut_lineage, spread
 
 MIN_WORDS = 20
 #: Least similarity, as a fraction: shared words times [1] >= all words times [0].
 SIMILARITY = (3, 4)
 SYMBOLS, SEGMENTS = 8, 16
-#: Copies of one set of words up to which all their pairs come out.
-EXPAND = 256
+#: Rows of one text up to which all their pairs come out; None: always.
+EXPAND = None
 
 _WORDS = re.compile(r"[^\W_]+")
 
@@ -150,24 +150,42 @@ def representative_pairs(reps: DataFrame, similarity: tuple[int, int] = SIMILARI
     return both.where(shared * (whole + least) >= (F.size("wa") + F.size("wb")) * least).select("a", "b")
 
 
+def classes(df: DataFrame, id_col: str = "id", text_col: str = "text", min_words: int = MIN_WORDS, expand: int | None = EXPAND) -> DataFrame:
+    """(id, first): the rows of equal text that ``similar_pairs`` gives as a star, each with the smallest id; none without ``expand``."""
+    if expand is None:
+        return df.sparkSession.createDataFrame([], "id long, first long")
+    taking = word_sets(df, id_col, text_col, min_words).select("id")
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.sha2(F.col(text_col).cast("string"), 256).alias("text"))
+    rows = cut_lineage(rows.join(taking, "id", "left_semi"))
+    groups = cut_lineage(rows.groupBy("text").agg(F.min("id").alias("first"), F.count("*").alias("n")).where(F.col("n") > expand))
+    return join_groups(rows, groups, ["text"], "n", rows.count(), "id").select("id", "first")
+
+
 def similar_pairs(
-    df: DataFrame, id_col: str = "id", text_col: str = "text", similarity: tuple[int, int] = SIMILARITY, min_words: int = MIN_WORDS, expand: int = EXPAND
+    df: DataFrame, id_col: str = "id", text_col: str = "text", similarity: tuple[int, int] = SIMILARITY, min_words: int = MIN_WORDS, expand: int | None = EXPAND
 ) -> DataFrame:
     """(id_a, id_b): all pairs of similar texts, the smaller id first."""
     sets = cut_lineage(word_sets(df, id_col, text_col, min_words))
+    if expand is None:
+        return _all_pairs(sets, similarity)
+    stars = cut_lineage(classes(df, id_col, text_col, min_words, expand))
+    left_out = stars.where("id <> first")
+    star = left_out.select(F.col("first").alias("id_a"), F.col("id").alias("id_b"))
+    return _all_pairs(cut_lineage(sets.join(left_out, "id", "left_anti")), similarity).unionByName(star)
+
+
+def _all_pairs(sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """(id_a, id_b): all pairs of similar texts among materialised word sets."""
     total = sets.count()
     groups = cut_lineage(sets.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("n")))
-    members = join_groups(sets.select("id", "k1", "k2"), groups, ["k1", "k2"], "n", total, "id").select("id", "rep", "n")
+    members = cut_lineage(join_groups(sets.select("id", "k1", "k2"), groups, ["k1", "k2"], "n", total, "id").select("id", "rep", "n"))
     reps = sets.select("id", "words").join(groups.select(F.col("rep").alias("id")), "id", "left_semi")
     pairs = representative_pairs(reps, similarity)
-    few = members.where(F.col("n") <= expand)
-    within = few.where("n > 1").alias("x").join(few.where("n > 1").alias("y"), "rep").where("x.id < y.id").select(F.col("x.id").alias("id_a"), F.col("y.id").alias("id_b"))
-    star = members.where((F.col("n") > expand) & (F.col("id") > F.col("rep"))).select(F.col("rep").alias("id_a"), F.col("id").alias("id_b"))
-    # a large set stands for itself by its representative
-    listed = few.select("rep", "id").unionByName(groups.where(F.col("n") > expand).select("rep", F.col("rep").alias("id")))
-    across = (
-        pairs.join(listed.select(F.col("rep").alias("a"), F.col("id").alias("x")), "a")
-        .join(listed.select(F.col("rep").alias("b"), F.col("id").alias("y")), "b")
-        .select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
-    )
-    return within.unionByName(star).unionByName(across)
+    # the blocks of a large set's rows meet the blocks of the other's
+    blocks = F.ceil(F.col("n") / PAIR_ROWS).cast("int")
+    sizes = groups.select("rep", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
+    listed = members.select("rep", "id", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"))
+    x, y = (listed.select(F.col("rep").alias(r), F.col("block").alias(b), F.col("id").alias(i)) for r, b, i in (("a", "i", "x"), ("b", "j", "y")))
+    tasks = pairs.join(sizes.select(F.col("rep").alias("a"), F.col("block").alias("i")), "a").join(sizes.select(F.col("rep").alias("b"), F.col("block").alias("j")), "b")
+    across = tasks.join(x, ["a", "i"]).join(y, ["b", "j"]).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
+    return pairs_within(members, "rep", "n", "id").unionByName(across)

@@ -1,6 +1,8 @@
 """Pairs of groups larger than what is joined in one piece."""
 
-from lodestone.llm import names
+import random
+
+from lodestone.llm import names, neardup
 from lodestone.operators import skew
 
 
@@ -19,3 +21,21 @@ def test_large_entities_come_out_with_all_their_pairs(spark):
     forms = spark.createDataFrame([("Robert", "Bob")], "given_name string, short_form string")
     found = names.same_entity(df, forms)
     assert found.count() == 1_101 * 1_100 // 2 and found.where("id_a >= id_b").count() == 0
+
+
+def test_large_sets_of_equal_words_come_out_with_all_their_pairs(spark, monkeypatch):
+    monkeypatch.setattr(skew, "PAIR_ROWS", 90)
+    monkeypatch.setattr(neardup, "PAIR_ROWS", 90)
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(30)]
+    texts = [" ".join(rng.sample(base, 30)) for _ in range(270)] + [" ".join(base[:-1] + [x]) for x in ("x", "y")] + [" ".join(base)] * 20
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = [tuple(r) for r in neardup.similar_pairs(df).collect()]
+    assert len(got) == len(set(got)) == len(texts) * (len(texts) - 1) // 2
+    # with expand only the equal texts are one, here the last twenty, and classes tells which
+    few = {tuple(r) for r in neardup.similar_pairs(df, expand=10).collect()}
+    assert few == {(a, b) for a, b in got if b <= 272} | {(272, i) for i in range(273, 292)} | {(a, 272) for a in range(272)}
+    assert {tuple(r) for r in neardup.classes(df, expand=10).collect()} == {(i, 272) for i in range(272, 292)}
+    # taken apart again, they give all pairs
+    first = {i: f if f is not None else i for i, f in ((r.id, r.first) for r in neardup.classes(df, expand=10).collect())}
+    assert {(a, b) for a, b in got if (min(first.get(a, a), first.get(b, b)), max(first.get(a, a), first.get(b, b))) in few or first.get(a, a) == first.get(b, b)} == set(got)
