@@ -321,7 +321,7 @@ def resolve(
     met = join_groups(rows, known, ["kind", "core"], "size", total, "id")
     seen = F.coalesce("known", empty)
     left = F.when(F.size("may") == 0, seen).otherwise(F.array_intersect("may", seen))
-    one = F.when(F.size("may") == 1, F.get("may", F.lit(0))).when(F.size(left) == 1, F.get(left, F.lit(0))).when(F.size(seen) == 0, F.concat_ws("/", F.lit("?"), F.col("may")))
+    one = F.when(F.size("may") == 1, F.get("may", F.lit(0))).when(F.size(left) == 1, F.get(left, F.lit(0))).when(F.size(left) == 0, F.concat_ws("/", F.lit("?"), F.col("may")))
     keyed = cut_lineage(met.select("id", "kind", "core", one.alias("one")).where("one IS NOT NULL").select("id", F.concat_ws("|", "kind", "core", "one").alias("key"), "one"))
     # one row under two core names joins them, if it is the same given name
     twice = keyed.select("id", F.col("key").alias("a"), "one").join(keyed.select("id", F.col("key").alias("b"), "one"), ["id", "one"]).where("a < b").select("a", "b").distinct()

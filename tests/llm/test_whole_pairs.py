@@ -39,3 +39,10 @@ def test_large_sets_of_equal_words_come_out_with_all_their_pairs(spark, monkeypa
     # taken apart again, they give all pairs
     first = {i: f if f is not None else i for i, f in ((r.id, r.first) for r in neardup.classes(df, expand=10).collect())}
     assert {(a, b) for a, b in got if (min(first.get(a, a), first.get(b, b)), max(first.get(a, a), first.get(b, b))) in few or first.get(a, a) == first.get(b, b)} == set(got)
+
+
+def test_rows_with_none_of_the_known_readings_are_linked_to_each_other(spark):
+    rows = [(1, "Margaret Rujamajasi"), (2, "Daniel Rujamajasi"), (3, "rujamajasi w."), (4, "W.Rujamajasi")]
+    df = spark.createDataFrame([(i, n, "person", None) for i, n in rows], "id long, name string, entity_type string, aliases array<string>")
+    forms = spark.createDataFrame([("William", "Bill"), ("Winifred", "Win"), ("Margaret", "Peggy"), ("Daniel", "Dan")], "given_name string, short_form string")
+    assert [tuple(r) for r in names.same_entity(df, forms).collect()] == [(3, 4)]
