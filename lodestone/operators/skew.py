@@ -28,9 +28,11 @@ def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], n: str, total
     return left.join(right, [*on, "_salt"]).drop("_salt")
 
 
-def pairs_within(rows: DataFrame, key: str, n: str, id_col: str) -> DataFrame:
+def pairs_within(rows: DataFrame, key: str, n: str, id_col: str, keep: str | None = None) -> DataFrame:
     """(id_a, id_b): all pairs of rows (key, n, id) of one key, id_a < id_b; ``n`` counts the key's rows.
 
+    With ``keep`` the key comes out as a further column of that name.
+
     The rows of a large group are spread over blocks by their id, and block meets block,
     so that no key of the join has more than about PAIR_ROWS rows on either side.
     """
@@ -39,4 +41,4 @@ def pairs_within(rows: DataFrame, key: str, n: str, id_col: str) -> DataFrame:
     left = own.select("_key", F.col("_id").alias("_x"), F.col("_own").alias("_i"), F.explode(F.sequence("_own", F.col("_blocks") - 1)).alias("_j"))
     right = own.select("_key", F.col("_id").alias("_y"), F.explode(F.sequence(F.lit(0), "_own")).alias("_i"), F.col("_own").alias("_j"))
     met = left.join(right, ["_key", "_i", "_j"]).where("_i < _j OR _x < _y")
-    return met.select(F.least("_x", "_y").alias("id_a"), F.greatest("_x", "_y").alias("id_b"))
+    return met.select(*([F.col("_key").alias(keep)] if keep else []), F.least("_x", "_y").alias("id_a"), F.greatest("_x", "_y").alias("id_b"))
