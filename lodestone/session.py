@@ -22,6 +22,8 @@ def local_session(cpus: str | int = "*", partitions: int = 8, app: str = "lodest
         # small inputs still use all threads
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.files.openCostInBytes", "128k")
+        # checkpoints go when nothing refers to them any more
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -60,16 +62,24 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if named:
         sc.setCheckpointDir(named)
     elif sc.master.startswith("local[") or sc.master == "local":
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="lodestone-checkpoint-"))
+        folder = tempfile.mkdtemp(prefix="lodestone-checkpoint-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        sc.setCheckpointDir(folder)
     else:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return sc._jsc.sc().getCheckpointDir().get()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` once in the shared folder; survives the loss of executors."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise ``df`` once in the shared folder; survives the loss of executors.
+
+    What a checkpoint keeps of the plan behind it (constraints, partitionings and their aliases) multiplies
+    from one to the next until planning takes longer than running; so the rows come back without it.
+    """
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    done = df._jdf.checkpoint(True)
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(done.queryExecution().toRdd(), done.schema(), False), spark)
 
 
 def ship(spark: SparkSession) -> None:
