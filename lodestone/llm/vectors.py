@@ -44,7 +44,9 @@ SAMPLE = 20_000
 #: Most vectors or queries in one block of distances.
 BLOCK = 8_192
 #: Vectors and visits of the buckets that one task searches, about.
-GROUP = 40_000
+GROUP = 120_000
+#: So many more than k are kept until the exact distances are known.
+SLACK = 4
 #: Perturbation sets farther than this many neighbour distances are not visited.
 REACH = 2.5
 #: Hash functions of one table; nodes of its tree share them.
@@ -219,19 +221,41 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
-def nearest(queries: np.ndarray, index: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(squared distances, ids) of the k nearest of each query by distance, then id; padded by inf and -1. ids ascend."""
-    n = len(ids)
-    sq, take = (index**2).sum(1), min(n, k + 8)
-    out_d, out_i = np.full((len(queries), k), np.inf), np.full((len(queries), k), -1, np.int64)
+def least(d: np.ndarray, at: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``most`` least of each row with their places, in no order; of equal ones at the bound those of the smaller places."""
+    if d.shape[1] <= most:
+        return d, np.broadcast_to(at, d.shape)
+    near = np.argpartition(d, most - 1, axis=1)[:, :most]
+    kept = np.take_along_axis(d, near, 1)
+    bound = kept.max(1)
+    tied = np.flatnonzero(((d <= bound[:, None]).sum(1) > most) & np.isfinite(bound))
+    every = np.broadcast_to(at, d.shape)
+    if len(tied):
+        near[tied] = np.lexsort((every[tied], d[tied]), axis=1)[:, :most]
+        kept[tied] = np.take_along_axis(d[tied], near[tied], 1)
+    return kept, np.take_along_axis(every, near, 1)
+
+
+def closer(queries: np.ndarray, index: np.ndarray, places: np.ndarray, d: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lists (d, at) of the queries after a bucket: the least distances, but for the square of the query, and their places."""
+    sq, most = (index**2).sum(1), d.shape[1]
+    out_d, out_at = np.empty_like(d), np.empty_like(at)
     for a in range(0, len(queries), 512):
-        q = queries[a : a + 512]
-        rough = sq[None] - 2 * (q @ index.T)
-        near = np.argpartition(rough, take - 1, axis=1)[:, :take] if take < n else np.broadcast_to(np.arange(n), (len(q), n))
-        exact = ((q[:, None, :] - index[near]) ** 2).sum(2)
-        best = np.lexsort((near, exact), axis=1)[:, :k]
-        out_d[a : a + 512, : best.shape[1]] = np.take_along_axis(exact, best, 1)
-        out_i[a : a + 512, : best.shape[1]] = ids[np.take_along_axis(near, best, 1)]
+        b = slice(a, a + 512)
+        near = least(sq[None] - 2 * (queries[b] @ index.T), places[None], most)
+        out_d[b], out_at[b] = least(*(np.concatenate(pair, axis=1) for pair in zip((d[b], at[b]), near)), most)
+    return out_d, out_at
+
+
+def ranked(vec: np.ndarray, ids: np.ndarray, rows: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(squared distances, ids) of the k nearest of the listed places by exact distance, then id; padded by inf and -1."""
+    out_d, out_i = np.full((len(rows), k), np.inf), np.full((len(rows), k), -1, np.int64)
+    for a in range(0, len(rows), 2048):
+        b = slice(a, a + 2048)
+        exact = np.where(at[b] >= 0, ((vec[rows[b], None, :] - vec[at[b]]) ** 2).sum(2), np.inf)
+        found = np.where(at[b] >= 0, ids[at[b]], -1)
+        best = np.lexsort((found, exact), axis=1)[:, :k]
+        out_d[b], out_i[b] = np.take_along_axis(exact, best, 1), np.take_along_axis(found, best, 1)
     return out_d, out_i
 
 
@@ -345,8 +369,6 @@ def knn(vectors: DataFrame, k: int = 10, dim: int = 64, tables: int = 4, probes:
                         ["key", "id", "leaf", "visits", "vec"],
                     )
 
-    empty = pa.table({"id": pa.array([], pa.int64()), "d": pa.array([], pa.list_(pa.float64())), "near": pa.array([], pa.list_(pa.int64()))})
-
     def search(group: pa.Table) -> pa.Table:
         group = group.combine_chunks().sort_by("id")
         vec, ids = _matrix(group.column("vec").combine_chunks(), dim), group.column("id").to_numpy()
@@ -354,26 +376,18 @@ def knn(vectors: DataFrame, k: int = 10, dim: int = 64, tables: int = 4, probes:
         lists = group.column("visits").combine_chunks()
         rows = np.repeat(np.arange(len(ids)), np.diff(np.asarray(lists.offsets)))
         leaves = lists.flatten().to_numpy()
-        held = np.argsort(lies, kind="stable")
-        asked = np.argsort(leaves, kind="stable")
-        found: list[tuple] = []
+        held, asked = np.argsort(lies, kind="stable"), np.argsort(leaves, kind="stable")
+        lies, leaves = lies[held], leaves[asked]
+        d, at = np.full((len(ids), k + SLACK), np.inf), np.full((len(ids), k + SLACK), -1, np.int64)
         for leaf in np.unique(leaves).tolist():
-            a, b = np.searchsorted(lies[held], [leaf, leaf + 1])
-            c, e = np.searchsorted(leaves[asked], [leaf, leaf + 1])
-            if a < b:
-                own, q = held[a:b], rows[asked[c:e]]
-                d, near = nearest(vec[q], vec[own], ids[own], k)
-                keep = near >= 0
-                found.append((np.repeat(q, keep.sum(1)), d[keep], near[keep]))
-        if not found:
-            return empty
-        q, d, near = (np.concatenate(c) for c in zip(*found))
-        order = np.lexsort((near, d, q))
-        q, d, near = q[order], d[order], near[order]
-        keep = np.arange(len(q)) - np.searchsorted(q, q) < k
-        q, d, near = q[keep], d[keep], near[keep]
-        of, n = np.unique(q, return_counts=True)
-        return pa.table({"id": ids[of], "d": _lists(n, pa.array(d)), "near": _lists(n, pa.array(near))})
+            own, q = held[slice(*np.searchsorted(lies, [leaf, leaf + 1]))], rows[asked[slice(*np.searchsorted(leaves, [leaf, leaf + 1]))]]
+            if len(own):
+                d[q], at[q] = closer(vec[q], vec[own], own, d[q], at[q])
+        some = np.flatnonzero((at >= 0).any(1))
+        d, near = ranked(vec, ids, some, at[some], k)
+        keep = near >= 0
+        n = keep.sum(1)
+        return pa.table({"id": ids[some], "d": _lists(n, pa.array(d[keep])), "near": _lists(n, pa.array(near[keep]))})
 
     placed = vectors.select("id", "vec", "ask").mapInArrow(place, "key long, id long, leaf int, visits array<int>, vec array<float>")
     found = placed.groupBy("key").applyInArrow(search, "id long, d array<double>, near array<long>")
