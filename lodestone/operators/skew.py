@@ -29,12 +29,11 @@ def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], n: str, total
 
 
 def pairs_within(rows: DataFrame, key: str, n: str, id_col: str, keep: str | None = None) -> DataFrame:
-    """(id_a, id_b): all pairs of rows (key, n, id) of one key, id_a < id_b; ``n`` counts the key's rows.
-
-    With ``keep`` the key comes out as a further column of that name.
+    """(id_a, id_b): all pairs of rows (key, n, id) of one key, id_a < id_b; ``n`` counts the key's rows, or estimates them.
 
     The rows of a large group are spread over blocks by their id, and block meets block,
     so that no key of the join has more than about PAIR_ROWS rows on either side.
+    With ``keep`` the key comes out as a further column of that name.
     """
     blocks = F.ceil(F.col(n) / PAIR_ROWS).cast("int")
     own = rows.where(F.col(n) > 1).select(F.col(key).alias("_key"), F.col(id_col).alias("_id"), blocks.alias("_blocks"), F.pmod(F.xxhash64(id_col), blocks).cast("int").alias("_own"))
@@ -42,3 +41,13 @@ def pairs_within(rows: DataFrame, key: str, n: str, id_col: str, keep: str | Non
     right = own.select("_key", F.col("_id").alias("_y"), F.explode(F.sequence(F.lit(0), "_own")).alias("_i"), F.col("_own").alias("_j"))
     met = left.join(right, ["_key", "_i", "_j"]).where("_i < _j OR _x < _y")
     return met.select(*([F.col("_key").alias(keep)] if keep else []), F.least("_x", "_y").alias("id_a"), F.greatest("_x", "_y").alias("id_b"))
+
+
+def frequent(sampled: DataFrame, key: str, of: int, step: int, least: int) -> DataFrame:
+    """(key, n): the keys that a sample of one in ``step`` of ``of`` sources shows to have at least ``least`` rows, with their estimated number.
+
+    Only keys in more than one of HOT_SHARE sampled sources count, so with m keys a source there are fewer than m * HOT_SHARE.
+    A key that the sample misses is merely not spread; results do not depend on it.
+    """
+    bound = max(4, -(-least // step), of // step // HOT_SHARE)
+    return sampled.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") >= bound).select(key, (F.col("n") * step).alias("n"))
