@@ -32,12 +32,12 @@ def test_large_sets_of_equal_words_come_out_with_all_their_pairs(spark, monkeypa
     df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
     got = [tuple(r) for r in neardup.similar_pairs(df).collect()]
     assert len(got) == len(set(got)) == len(texts) * (len(texts) - 1) // 2
-    # with expand only the equal texts are one, here the last twenty, and classes tells which
+    # with expand only the equal texts are one, here the last twenty, and stars tells which
     few = {tuple(r) for r in neardup.similar_pairs(df, expand=10).collect()}
     assert few == {(a, b) for a, b in got if b <= 272} | {(272, i) for i in range(273, 292)} | {(a, 272) for a in range(272)}
-    assert {tuple(r) for r in neardup.classes(df, expand=10).collect()} == {(i, 272) for i in range(272, 292)}
+    assert {tuple(r) for r in neardup.stars(df, expand=10).collect()} == {(i, 272) for i in range(272, 292)}
     # taken apart again, they give all pairs
-    first = {i: f if f is not None else i for i, f in ((r.id, r.first) for r in neardup.classes(df, expand=10).collect())}
+    first = {i: f if f is not None else i for i, f in ((r.id, r.first) for r in neardup.stars(df, expand=10).collect())}
     assert {(a, b) for a, b in got if (min(first.get(a, a), first.get(b, b)), max(first.get(a, a), first.get(b, b))) in few or first.get(a, a) == first.get(b, b)} == set(got)
 
 
@@ -46,3 +46,26 @@ def test_rows_with_none_of_the_known_readings_are_linked_to_each_other(spark):
     df = spark.createDataFrame([(i, n, "person", None) for i, n in rows], "id long, name string, entity_type string, aliases array<string>")
     forms = spark.createDataFrame([("William", "Bill"), ("Winifred", "Win"), ("Margaret", "Peggy"), ("Daniel", "Dan")], "given_name string, short_form string")
     assert [tuple(r) for r in names.same_entity(df, forms).collect()] == [(3, 4)]
+
+
+def test_texts_of_one_template_meet_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(skew, "PAIR_ROWS", 20)
+    monkeypatch.setattr(neardup, "PAIR_ROWS", 20)
+    frame = [f"t{i}" for i in range(60)]
+    # a third of all texts share most of their words, and so the keys of many segments
+    texts = [" ".join(frame + [f"own{i}"]) for i in range(80)] + [" ".join(f"x{i}y{j}" for j in range(30)) for i in range(160)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = [tuple(r) for r in neardup.similar_pairs(df).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(a, b) for a in range(80) for b in range(a + 1, 80)}
+
+
+def test_classes_and_links(spark):
+    base = [f"w{i}" for i in range(40)]
+    chain = [" ".join(base[i * 4 :] + [f"z{j}" for j in range(i * 4)]) for i in range(4)]
+    texts = [chain[0], chain[0] + "!", *chain[1:], "too short", None, " ".join(f"q{i}" for i in range(25))]
+    df = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)] + [(None, chain[0], 0)], "id long, text string, class_id int")
+    got = {r.id: (r.class_id, r.links) for r in neardup.classes(df.where("id IS NOT NULL")).collect()}
+    pairs = [tuple(r) for r in neardup.similar_pairs(df.where("id IS NOT NULL")).collect()]
+    links = {i: sum(i in p for p in pairs) for i in range(len(texts))}
+    assert {i: n for i, (_, n) in got.items()} == links
+    assert {c for i, (c, _) in got.items() if i < 5} == {0} and [got[i] for i in (5, 6, 7)] == [(5, 0), (6, 0), (7, 0)]
