@@ -15,9 +15,10 @@ and texts without a letter or digit are in no group; a repeated field counts onc
 a null or empty JSON value is an empty value; broken JSON is plain text; equal
 rows are copies of each other, whatever their other columns hold.
 
-At scale: the first aggregation carries only fingerprints and combines on the map
-side, so a group with a third of all rows stays small there; the comparison joins
-such groups over salts.
+At scale: the texts are read and normalised once; the first aggregation carries only
+fingerprints and combines on the map side, so a group with a third of all rows stays
+small there; only the fields of repeated fingerprints are exchanged, and the comparison
+joins such groups over salts.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from pyspark.sql import functions as F
 from lodestone.operators.skew import join_groups
 from lodestone.session import cut_lineage
 
+#: Most repeated fingerprints that are sent to all executors (32 bytes each).
+MOST_SENT = 100_000
 _MASK = (1 << 62) - 1
 _BREAKS = "[;|\\r\\n\\x0b\\x0c\\x{85}\\x{2028}\\x{2029}]+"
 _FIELD = "(?s)^[^:=]*[\\p{L}\\p{N}][^:=]*[:=].*$"
@@ -72,25 +75,49 @@ def _combined(parts: Column, seed: int) -> Column:
 def fingerprints(df: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """(id, parts, h1, h2) of every text with a letter or digit."""
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.where(F.rlike("text", F.lit("[\\p{L}\\p{N}]")))
+    rows = rows.where(F.rlike("text", F.lit("[\\p{L}\\p{N}]")) & F.col("id").isNotNull())
     rows = rows.select("id", F.coalesce(fields(F.col("text")), F.array(letters(F.col("text")))).alias("parts"))
     return rows.select("id", "parts", _combined(F.col("parts"), 1).alias("h1"), _combined(F.col("parts"), 2).alias("h2"))
 
 
+def _verified(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """((first_id, n) of each group of equal fingerprints, (first_id, copy_id) of all verified copies)."""
+    rows = cut_lineage(fingerprints(df, id_col, text_col))
+    groups = cut_lineage(rows.groupBy("h1", "h2").agg(F.min("id").alias("first_id"), F.count("*").alias("n")))
+    repeated = groups.where("n > 1")
+    total, many = rows.count(), repeated.count()
+    # the fields of single texts go nowhere; the list is sent whole only up to its checked size
+    if many <= MOST_SENT:
+        members = rows.join(F.broadcast(repeated), ["h1", "h2"])
+    else:
+        members = join_groups(rows, repeated, ["h1", "h2"], "n", total, "id")
+    members = cut_lineage(members)
+    firsts = members.where("id = first_id").select("h1", "h2", "n", "first_id", F.col("parts").alias("first_parts")).dropDuplicates(["h1", "h2"])
+    compared = cut_lineage(join_groups(members.drop("n", "first_id"), firsts, ["h1", "h2"], "n", total, "id").select("id", "first_id", "h1", "h2", "parts", _equal("parts", "first_parts").alias("same")))
+    found = compared.where("same AND id <> first_id").select("first_id", F.col("id").alias("copy_id"))
+    # other fields under the same fingerprint, if that ever happens: equal ones among themselves
+    odd = compared.where("NOT same").select("id", F.array_sort("parts").alias("parts"))
+    first = odd.groupBy("parts").agg(F.min("id").alias("first_id"))
+    apart = odd.join(first, "parts")
+    groups = groups.select("first_id", "n").unionByName(first.select("first_id", F.lit(1).cast("long").alias("n")))
+    return groups, found.unionByName(apart.where("id <> first_id").select("first_id", F.col("id").alias("copy_id")))
+
+
+def _equal(one: str, other: str) -> Column:
+    return (F.size(F.array_except(one, other)) == 0) & (F.size(F.array_except(other, one)) == 0)
+
+
 def copies(df: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """(first_id, copy_id): every copy with the smallest id of its group."""
-    rows = fingerprints(df, id_col, text_col)
-    groups = cut_lineage(rows.groupBy("h1", "h2").agg(F.min("id").alias("first_id"), F.count("*").alias("n")).where("n > 1"))
-    total = df.count()
-    members = cut_lineage(join_groups(rows, groups, ["h1", "h2"], "n", total, "id"))
-    firsts = members.where("id = first_id").select("h1", "h2", "n", "first_id", F.col("parts").alias("first_parts"))
-    rest = members.where("id <> first_id").drop("n", "first_id")
-    pairs = join_groups(rest, firsts, ["h1", "h2"], "n", total, "id")
-    equal = (F.size(F.array_except("parts", "first_parts")) == 0) & (F.size(F.array_except("first_parts", "parts")) == 0)
-    return pairs.where(equal).select("first_id", F.col("id").alias("copy_id"))
+    return _verified(df, id_col, text_col)[1]
 
 
 def records(df: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """(first_id, n_copies): one row per distinct memory with the number of its copies, itself counted."""
-    rows = fingerprints(df, id_col, text_col)
-    return rows.groupBy("h1", "h2").agg(F.min("id").alias("first_id"), F.count("*").alias("n_copies")).select("first_id", "n_copies")
+    """(first_id, n_copies): one row per distinct memory with the verified number of its copies, itself counted."""
+    groups, found = _verified(df, id_col, text_col)
+    counted = found.groupBy("first_id").agg(F.count("*").alias("more"))
+    # a group of one needs no look-up
+    several = groups.where("n > 1").join(counted, "first_id", "left").select("first_id", (F.coalesce("more", F.lit(0)) + 1).alias("n_copies"))
+    apart = counted.join(groups.where("n > 1").select("first_id"), "first_id", "left_anti").select("first_id", (F.col("more") + 1).alias("n_copies"))
+    single = groups.where("n = 1").select("first_id").join(apart.select("first_id"), "first_id", "left_anti").select("first_id", F.lit(1).cast("long").alias("n_copies"))
+    return several.unionByName(apart).unionByName(single)
