@@ -6,8 +6,9 @@ Method: content-defined chunk reuse.
    same passage gives the same chunks wherever it stands. One row per distinct
    chunk of a batch is sent on, with the list of its places.
 2. Rows are exchanged by the chunk's hash. Equal chunks meet and are encoded
-   once. A chunk that recurs very often within one batch is spread over a few
-   salts, so no single task gets all its places; it is then encoded once a salt.
+   once. A chunk that a sample of the texts shows to recur very often in the corpus
+   is spread over as many salts as its number of places asks for, so no single task gets
+   all its places; it is then encoded once a salt.
 3. The pieces are exchanged by text and joined. At a join the tokens of the two
    chunks need not be those of the whole text. Each chunk therefore gives its
    ids only between its first and its last *anchor*, and the bytes outside are
@@ -25,6 +26,7 @@ anchor are encoded whole; other columns of the input are ignored.
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -35,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.arrow import utf8, windows8
+from lodestone.operators.skew import frequent
 from lodestone.session import spread
 
 DEFAULT_TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -42,17 +45,22 @@ DEFAULT_TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Bytes of an average chunk, a power of two.
 CHUNK_BYTES = 1024
-#: Places of one chunk within one batch from which on the chunk is salted.
-HOT_PLACES = 64
-SALTS = 16
+#: Texts on which chunks that recur very often are looked for, and places of one chunk in one task, about.
+SAMPLE = 10_000
+PLACES = 20_000
 
 
 @lru_cache(maxsize=4)
 def encoder(path: str = DEFAULT_TOKENIZER):
-    """The tokenizer of a rank file, loaded once in each Python worker."""
+    """The tokenizer of a rank file, loaded once in each Python worker; from the job's files if it was shipped with them."""
     import tiktoken
+    from pyspark import SparkFiles
 
-    with open(path, "rb") as f:
+    try:
+        shipped = SparkFiles.get(os.path.basename(path))
+    except Exception:  # outside of a job
+        shipped = path
+    with open(shipped if os.path.exists(shipped) else path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     return tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
@@ -78,7 +86,7 @@ def chunk_ends(data: np.ndarray, offsets: np.ndarray, chunk_bytes: int = CHUNK_B
     return np.union1d(cut, offsets[1:][np.diff(offsets) > 0])
 
 
-def _chunks(chunk_bytes: int):
+def _chunks(chunk_bytes: int, salts: dict[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
@@ -105,7 +113,7 @@ def _chunks(chunk_bytes: int):
             keys = np.fromiter((xxhash.xxh3_64_intdigest(c) for c in chunks), np.uint64, len(chunks)).view(np.int64)
             order = np.argsort(slots, kind="stable")
             counts = np.bincount(slots, minlength=len(chunks))
-            salt = np.where(counts >= HOT_PLACES, 1 + task % SALTS, 0).astype(np.int32)
+            salt = np.array([row * 2654435761 % salts[x] if x in salts else 0 for x in keys.tolist()] if salts else np.zeros(len(keys)), np.int32)
             # texts without any byte still give a row each, spread by their row number
             empty = np.flatnonzero(np.diff(offsets) == 0)
             keys = np.concatenate([keys, (row + empty) * 2654435761 % (1 << 61)])
@@ -258,9 +266,38 @@ def _join(path: str, with_ids: bool):
     return run
 
 
+def _sampled_keys(chunk_bytes: int):
+    """The hashes of all chunks of the texts, one row a place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in batches:
+            data, offsets = utf8(batch.column(0))
+            ends = chunk_ends(data, offsets, chunk_bytes)
+            raw, starts = data.tobytes(), [0, *ends[:-1].tolist()]
+            keys = np.fromiter((xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(starts, ends.tolist())), np.uint64, len(ends))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64))], ["key"])
+
+    return run
+
+
+def _salts(texts: DataFrame, chunk_bytes: int) -> dict[int, int]:
+    """The number of salts of each chunk that recurs very often: fewer chunks than 1000 times those of a text, whatever the corpus."""
+    total = texts.count()
+    step = max(1, -(-total // SAMPLE))
+    if total < PLACES:
+        return {}
+    drawn = texts.where(F.pmod(F.xxhash64(F.lit(23), "doc_id"), F.lit(step)) == 0).select("text")
+    keys = drawn.mapInArrow(_sampled_keys(chunk_bytes), "key long")
+    return {r.key: -(-r.n // PLACES) for r in frequent(keys, "key", total, step, PLACES).collect()}
+
+
 def _run(df: DataFrame, id_col: str, text_col: str, path: str, chunk_bytes: int, with_ids: bool, out: str) -> DataFrame:
     texts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    chunks = spread(texts).mapInArrow(_chunks(chunk_bytes), _CHUNKS)
+    if os.path.exists(path):
+        df.sparkSession.sparkContext.addFile(path)
+    chunks = spread(texts).mapInArrow(_chunks(chunk_bytes, _salts(texts, chunk_bytes)), _CHUNKS)
     met = chunks.repartition("key", "salt").sortWithinPartitions("key", "salt")
     pieces = met.mapInArrow(_encode(path, with_ids), _PIECES)
     placed = pieces.repartition("row").sortWithinPartitions("row", "seq")
