@@ -14,6 +14,10 @@ about ``TRAIN_TEXTS`` ids drawn by hash, and ``CUTS`` cuts of each. As some of t
 supposedly intact ones were cut as well, those at their source's limit are left
 out, and those that look cut after a fit are left out of the next, twice.
 
+The texts are read twice: once for their features, lengths, hashes and artificial cuts, once
+to count words. Everything else works on those narrow rows; nothing is collected but the
+bounded sample.
+
 Defined cases: null, empty and blank texts are complete; equal texts of one source
 get equal scores, so a repost of a cut text is cut; a null source is a source of
 its own; with fewer than 20 training texts everything counts as complete.
@@ -28,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.arrow import utf8, windows8
@@ -52,6 +56,7 @@ NEAR = 24
 DOUBT, THRESHOLD = 0.25, 0.5
 
 _WORD = re.compile(r"[A-Za-z0-9\x80-\U0010ffff]+")
+_TAG = re.compile(r"<([A-Za-z][A-Za-z0-9]*)(?=[ >])")
 _K1, _K2, _K3 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9
 _ALL = (1 << 64) - 1
 _CLASS = {c: "9" for c in "0123456789"} | {c: "_" for c in " \t\r\n "} | {c: c for c in "!\"#$%&'()*+,-./:;<=>?@[\\]^`{|}~…"}
@@ -76,8 +81,8 @@ def word_hash(word: bytes) -> int:
     return (first * _K1 ^ second * _K2 ^ n * _K3) & _ALL
 
 
-def features(text: str, state: str) -> tuple[list[str], int, int]:
-    """Names of the features of a text, the hash of its closing word, and the sort of that word. state: how its length stands to the limit."""
+def features(text: str) -> tuple[list[str], list[str], int, int]:
+    """Names of the features of a text, what its length against the limit is combined with, the hash of its closing word, and the sort of that word."""
     t = text.rstrip()
     tail = t[-200:]
     cut = t.rfind("\n") + 1
@@ -108,7 +113,9 @@ def features(text: str, state: str) -> tuple[list[str], int, int]:
     parens = t.count("(") - t.count(")")
     square, curly, tags = t.count("[") - t.count("]"), t.count("{") - t.count("}"), t.count("<") - t.count(">")
     quotes = last.count('"') % 2
-    article = "<article" in t and not t.endswith("</article>")
+    # the first tag that is opened closes a whole page
+    tag = _TAG.search(t)
+    article = bool(tag) and not t.endswith(f"</{tag.group(1)}>")
     sign = lambda x: (x > 0) - (x < 0)
     capital = "A" if word[:1].isupper() else "9" if word[:1].isdigit() else "a"
     two = "A" if prior[:1].isupper() else "9" if prior[:1].isdigit() else "a"
@@ -139,16 +146,12 @@ def features(text: str, state: str) -> tuple[list[str], int, int]:
         "suf" + word[-3:] + str(bare),
         "cap" + two + capital + str(bare) + endc,
         "wl" + str(min(len(word), 14)) + capital + str(bare),
-        "lim" + state,
-        "lime" + state + endc,
-        "limb" + state + str(bare) + capital,
-        "limi" + state + inner,
-        "limk" + state + kind + endc,
         "space" + text[len(t) :][:2] + endc,
         "lone" + str(cut > 0) + line_end + str(min(words, 4)) + capital + endc,
     ]
     sort = 3 if not word else 4 if tagged else 5 if alone else 2 if word[-1].isdigit() else 1 if word[0].isupper() else 0
-    return out, word_hash(word.encode()) if word else 0, sort * 2 + (not bare)
+    beside = ["", "e" + endc, "b" + str(bare) + capital, "i" + inner, "k" + kind + endc]
+    return out, beside, word_hash(word.encode()) if word else 0, sort * 2 + (not bare)
 
 
 def _hashed(names: list[str]) -> list[int]:
@@ -157,17 +160,24 @@ def _hashed(names: list[str]) -> list[int]:
     return [xxhash.xxh32_intdigest(x) % (DIM - CLOSING) for x in names]
 
 
-def _state(chars: int, size: int, limit: tuple) -> str:
+def limit_features(beside: list[str], state: str) -> list[int]:
+    """The hashed features of how a text's length stands to its source's limit (at, near, under)."""
+    return _hashed(["lim" + state + x for x in beside])
+
+
+def _state(chars: Column, size: Column, most_chars: Column, most_bytes: Column) -> Column:
     """How a length stands to the limits of its source, in characters and in bytes."""
-    for at, most, slack in ((chars, limit[0], 0), (size, limit[1], BYTE_SLACK)):
-        if most is not None and at >= most - NEAR:
-            return "at" if at >= most - slack else "near"
-    return "under"
+    by = lambda at, most, slack: F.when(at >= most - NEAR, F.when(at >= most - slack, "at").otherwise("near"))
+    return F.coalesce(by(chars, most_chars, 0), by(size, most_bytes, BYTE_SLACK), F.lit("under"))
 
 
 def limits(df: DataFrame) -> DataFrame:
     """(source, chars, bytes): the limits of the sources; null where a source has none."""
-    rows = df.where(F.trim("text") != "").select("source", F.length("text").alias("c"), F.octet_length("text").alias("b"), F.xxhash64("text").alias("h"))
+    return _limits(df.where(F.trim("text") != "").select("source", F.length("text").alias("chars"), F.octet_length("text").alias("size"), F.xxhash64("text").alias("h")))
+
+
+def _limits(rows: DataFrame) -> DataFrame:
+    """(source, chars, bytes) from (source, chars, size, h) of each text."""
 
     def spike(col: str) -> DataFrame:
         sizes = rows.groupBy("source", F.col(col).alias("v")).agg(F.count("*").alias("n"), (F.min("h") != F.max("h")).alias("several"))
@@ -177,8 +187,8 @@ def limits(df: DataFrame) -> DataFrame:
         is_limit = F.col("x.several") & (F.col("x.n") >= LIMIT_TEXTS) & (F.col("x.n") >= F.col("x.all") * LIMIT_SHARE)
         return best.select("source", F.when(is_limit, F.col("x.v")).alias("v"), F.col("x.n").alias("n"))
 
-    chars = spike("c").select("source", F.col("v").alias("chars"), F.col("n").alias("nc"))
-    size = spike("b").select("source", F.col("v").alias("bytes"), F.col("n").alias("nb"))
+    chars = spike("chars").select("source", F.col("v").alias("chars"), F.col("n").alias("nc"))
+    size = spike("size").select("source", F.col("v").alias("bytes"), F.col("n").alias("nb"))
     joined = chars.join(size, chars["source"].eqNullSafe(size["source"])).drop(size["source"])
     by_chars = F.col("chars").isNotNull() & (F.col("bytes").isNull() | (F.col("nc") * 1.25 >= F.col("nb")))
     return joined.select("source", F.when(by_chars, F.col("chars")).alias("chars"), F.when(~by_chars, F.col("bytes")).alias("bytes"))
@@ -226,25 +236,39 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _examples(limit: dict, step: int):
+_MADE = "doc_id long, source string, role int, state string, chars int, size int, h long, dots boolean, word long, sort int, x array<int>, beside array<string>"
+
+
+def _examples(step: int):
+    """The features of each text (role 0; 1 if drawn for training) and of artificial cuts of the drawn ones (2; 3 for whole ones at the limit).
+
+    state is only known of artificial cuts; chars, size, h and dots are those of the whole text.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        names = ["doc_id", "source", "role", "state", "chars", "size", "h", "dots", "word", "sort", "x", "beside"]
         for batch in batches:
             out: list[tuple] = []
             for doc, text, source, draw in zip(*(c.to_pylist() for c in batch.columns)):
                 if not text.strip():
                     continue
-                own = limit.get(source, (None, None))
-                state = _state(len(text), len(text.encode()), own)
-                names, word, sort = features(text, state)
-                train = draw % step == 0 and state != "at" and not (state == "near" and text.rstrip()[-1:] in ".…")
-                out.append((doc, source, 1 if train else 0, word >> 1, sort, _hashed(names)))
+                raw = text.encode()
+                whole = (len(text), len(raw), xxhash.xxh3_64_intdigest(raw) >> 1, text.rstrip()[-1:] in ".…")
+
+                def add(role: int, state: str | None, t: str, doc=doc, source=source, whole=whole):
+                    own, beside, word, sort = features(t)
+                    out.append((doc, source, role, state, *whole, word >> 1, sort, _hashed(own), beside))
+
+                train = draw % step == 0
+                add(int(train), None, text)
                 if not train or len(text) < 20:
                     continue
                 rng = random.Random(draw)
                 if rng.random() < 0.05:
-                    names, word, sort = features(text, "at")
-                    out.append((doc, source, 3, word >> 1, sort, _hashed(names)))
-                for k in range(CUTS):
+                    add(3, "at", text)
+                for _ in range(CUTS):
                     p = rng.randrange(max(5, len(text) // 20), len(text))
                     left, right = text[:p], text[p:]
                     style = rng.random()
@@ -258,16 +282,13 @@ def _examples(limit: dict, step: int):
                         at = "near"
                     else:
                         at = "at" if style < 0.4 else "under"
-                    names, word, sort = features(left, at)
-                    out.append((doc, source, 2, word >> 1, sort, _hashed(names)))
+                    add(2, at, left)
             if out:
                 cols = list(zip(*out))
-                flat = np.array(cols[5], np.int32)
+                flat = np.array(cols[10], np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1, dtype=np.int32) * flat.shape[1]), pa.array(flat.ravel()))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int32()), lists],
-                    ["doc_id", "source", "role", "word", "sort", "x"],
-                )
+                kinds = (pa.int64(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.int32())
+                yield pa.RecordBatch.from_arrays([*[pa.array(c, k) for c, k in zip(cols, kinds)], lists, pa.array(cols[11], pa.list_(pa.string()))], names)
 
     return run
 
@@ -284,21 +305,41 @@ def fit(x: np.ndarray, y: np.ndarray, start: np.ndarray | None = None, rounds: i
     return w
 
 
+def _complete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with the features of their length against the limit added to the others."""
+    for batch in batches:
+        if batch.num_rows:
+            more = np.array([limit_features(b, s) for s, b in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())], np.int32)
+            x = np.concatenate([batch.column(5).flatten().to_numpy().reshape(batch.num_rows, -1), more], axis=1)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), lists], ["doc_id", "source", "role", "x"])
+
+
 def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", train_texts: int = TRAIN_TEXTS) -> DataFrame:
     """(doc_id, source, p): the estimated probability that each text is cut; blank texts give no row."""
     spark = df.sparkSession
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(source_col).cast("string").alias("source"))
     rows = spread(rows.where(F.trim("text") != ""))
     total = df.count()
-    limit = {r.source: (r.chars, r.bytes) for r in limits(rows).collect()}  # one row a source
     step = max(1, round(total / train_texts))
     drawn = rows.withColumn("draw", F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1 << 40)))
-    made = cut_lineage(drawn.mapInArrow(_examples(limit, step), "doc_id long, source string, role int, word long, sort int, x array<int>"))
+    made = cut_lineage(drawn.mapInArrow(_examples(step), _MADE))
+    texts = made.where("role < 2")
+    # one row a source; sources are many at most as texts, so they are joined and not collected
+    sized = texts.groupBy("source").agg(F.count("*").alias("n_source"))
+    most = cut_lineage(sized.join(_limits(texts).withColumnsRenamed({"source": "s", "chars": "most_chars", "bytes": "most_bytes"}), F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("source", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("-"))))
+    keyed = made.withColumn("own", F.col("source")).withColumn("source", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("-")))
+    placed = join_groups(keyed, most, ["source"], "n_source", total, "h")
+    is_at = _state(F.col("chars"), F.col("size"), F.col("most_chars"), F.col("most_bytes"))
+    placed = placed.withColumn("is_at", is_at).withColumn("whole", (F.col("is_at") != "at") & ~((F.col("is_at") == "near") & F.col("dots")))
+    placed = placed.where("role < 2 OR whole").withColumns({"role": F.when(F.col("whole"), F.col("role")).otherwise(0), "state": F.coalesce("state", "is_at")})
+    placed = placed.select("doc_id", F.col("own").alias("source"), "role", "state", "h", "word", "sort", "x", "beside")
     closing = made.groupBy("word").agg(F.count("*").alias("k"))
     known = closing.join(word_counts(rows), "word", "left").select("word", "k", F.coalesce("n", F.lit(0)).alias("n"))
     # frequency on a log scale, apart for each sort of closing words
     level = (F.lit(DIM - CLOSING) + F.col("sort") * 16 + F.least(F.lit(15), F.floor(F.log2(F.col("n") + 1)))).cast("int")
-    rated = cut_lineage(join_groups(made, known, ["word"], "k", total, "doc_id").select("doc_id", "source", "role", F.array_append("x", level).alias("x")))
+    met = join_groups(placed, known, ["word"], "k", total, "h").select("doc_id", "source", "role", "state", "beside", F.array_append("x", level).alias("x"))
+    rated = cut_lineage(met.mapInArrow(_complete, "doc_id long, source string, role int, x array<int>"))
     sample = rated.where("role > 0").orderBy("doc_id", "role", "x").select("role", "x").toArrow()  # bounded by train_texts
     role = sample.column(0).to_numpy()
     if (role == 1).sum() < 20 or (role == 2).sum() < 20:
