@@ -84,3 +84,11 @@ def pack(sizes: DataFrame, capacity: int = CAPACITY, quadratic: float = QUADRATI
     )
     schema = "container_id long, doc_id long, piece long, start_token long, n_tokens long"
     return items.groupBy("shard").applyInPandas(_pack(capacity, quadratic), schema)
+
+
+def fill(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """(containers, tokens, fill, least, waste): how full the containers are, and how many more there are than could hold all tokens at all."""
+    loads = packed.groupBy("container_id").agg(F.sum("n_tokens").alias("load"))
+    totals = loads.agg(F.count("*").alias("containers"), F.coalesce(F.sum("load"), F.lit(0)).cast("long").alias("tokens"))
+    least = F.ceil(F.col("tokens") / capacity).cast("long")
+    return totals.select("containers", "tokens", F.round(F.try_divide(F.col("tokens"), F.col("containers") * capacity), 6).alias("fill"), least.alias("least"), (F.col("containers") - least).alias("waste"))

@@ -85,3 +85,21 @@ def test_packing_places_each_text_once_and_cuts_only_oversized_ones(spark):
     assert 4 not in parts and sum(load.values()) == sum(n for _, n in rows if n)
     assert sum(load.values()) / (len(load) * 2048) > 0.9
     assert packing.pack(spark.createDataFrame([], "doc_id long, n_tokens long")).count() == 0
+
+
+def test_chunks_of_very_many_texts_are_salted_and_exact(spark, monkeypatch):
+    monkeypatch.setattr(tokens, "PLACES", 30)
+    monkeypatch.setattr(tokens, "SAMPLE", 100)
+    shared = " ".join(f"common{i}" for i in range(60))
+    texts = [shared + f" tail {i}" if i % 3 == 0 else f"text {i} " * 5 for i in range(600)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    salts = tokens._salts(df, 64)
+    assert salts and max(salts.values()) > 1
+    enc = tokens.encoder()
+    assert ids_of(spark, texts, chunk_bytes=64) == {i: enc.encode_ordinary(t) for i, t in enumerate(texts)}
+
+
+def test_fill_of_containers(spark):
+    packed = packing.pack(spark.createDataFrame([(i, 1000) for i in range(9)] + [(9, 48)], "doc_id long, n_tokens long"))
+    assert tuple(packing.fill(packed).first()) == (5, 9048, round(9048 / 10240, 6), 5, 0)
+    assert packing.fill(packed.limit(0)).first().containers == 0
