@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.operators.skew import join_spread
 from lodestone.session import cut_lineage
 
 
@@ -19,33 +20,66 @@ def undirected(adj: DataFrame) -> DataFrame:
     return adj.select("src", "dst").unionByName(adj.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
 
 
-def hops(adj: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
-    """(seed, node, hops): the least number of edges from each seed, the seed itself at 0.
+def hops(adj: DataFrame, seeds: DataFrame, depth: int | None = None) -> DataFrame:
+    """(seed, node, hops): the least number of edges from each seed, the seed itself at 0; without a depth of all that can be reached.
 
-    Each round expands only what is new; the depth is a parameter, so there are no open-ended loops.
+    Each round expands only what is new, so there are as many rounds as the longest shortest path has edges.
     """
-    links = adj.select("src", "dst").distinct()
+    links = cut_lineage(adj.select("src", "dst").distinct())
     seen = seeds.select(F.col("seed"), F.col("seed").alias("node"), F.lit(0).cast("long").alias("hops")).distinct()
-    edge = seen
-    for d in range(1, depth + 1):
-        step = edge.select("seed", F.col("node").alias("src")).join(links, "src").select("seed", F.col("dst").alias("node")).distinct()
-        edge = step.join(seen, ["seed", "node"], "left_anti").withColumn("hops", F.lit(d).cast("long"))
-        edge = cut_lineage(edge) if d > 1 else edge
+    edge, d = seen, 0
+    while depth is None or d < depth:
+        d += 1
+        step = join_spread(edge.select("seed", F.col("node").alias("src")), links, "src", "dst").select("seed", F.col("dst").alias("node")).distinct()
+        edge = cut_lineage(step.join(seen, ["seed", "node"], "left_anti").withColumn("hops", F.lit(d).cast("long")))
+        if edge.isEmpty():
+            break
         seen = seen.unionByName(edge)
+        if d % 8 == 0:
+            seen = cut_lineage(seen)
     return seen
 
 
-def weighted_paths(adj: DataFrame, seeds: DataFrame, rounds: int) -> DataFrame:
-    """(seed, node, cost): the cheapest path of at most ``rounds`` edges from each seed."""
-    links = adj.select("src", "dst", "weight")
-    best = seeds.select(F.col("seed"), F.col("seed").alias("node"), F.lit(0.0).alias("cost")).distinct()
-    for d in range(rounds):
-        step = best.withColumnRenamed("node", "src").join(links, "src").select("seed", F.col("dst").alias("node"), (F.col("cost") + F.col("weight")).alias("cost"))
-        best = best.unionByName(step).groupBy("seed", "node").agg(F.min("cost").alias("cost"))
-        best = cut_lineage(best) if d else best
+def weighted_paths(adj: DataFrame, seeds: DataFrame, rounds: int | None = None) -> DataFrame:
+    """(seed, node, cost): the cheapest path from each seed, of at most ``rounds`` edges if given; negative weights count as 0.
+
+    A round starts only from nodes that became cheaper in the one before, until none does.
+    """
+    links = cut_lineage(adj.select("src", "dst", F.greatest(F.lit(0.0), "weight").alias("weight")))
+    best = cut_lineage(seeds.select(F.col("seed"), F.col("seed").alias("node"), F.lit(0.0).alias("cost")).distinct())
+    moved, d = best, 0
+    while rounds is None or d < rounds:
+        d += 1
+        step = join_spread(moved.withColumnRenamed("node", "src"), links, "src", "dst").groupBy("seed", F.col("dst").alias("node")).agg(F.min(F.col("cost") + F.col("weight")).alias("new"))
+        moved = cut_lineage(step.join(best, ["seed", "node"], "left").where("cost IS NULL OR new < cost").select("seed", "node", F.col("new").alias("cost")))
+        if moved.isEmpty():
+            break
+        best = cut_lineage(best.unionByName(moved).groupBy("seed", "node").agg(F.min("cost").alias("cost")))
     return best
 
 
+def neighbour_relations(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(seed, neighbour, relation, direction): the edges that touch each seed, seen from it; names in lower case."""
+    ends = edges.select(F.lower(F.trim("source")).alias("a"), F.lower(F.trim("target")).alias("b"), "relation")
+    rows = ends.select(F.col("a").alias("seed"), F.col("b").alias("neighbour"), "relation", F.lit("out").alias("direction"))
+    rows = rows.unionByName(ends.select(F.col("b").alias("seed"), F.col("a").alias("neighbour"), "relation", F.lit("in").alias("direction")))
+    return rows.distinct().join(seeds.select("seed").distinct(), "seed", "left_semi")
+
+
+def explain(adj: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
+    """(seed, src, relation, dst): the edges between the nodes within ``depth`` edges of each seed."""
+    near = cut_lineage(hops(adj, seeds, depth).select("seed", "node"))
+    inner = join_spread(near.withColumnRenamed("node", "src"), cut_lineage(adj.select("src", "dst", "relation")), "src", "dst")
+    return inner.join(near.withColumnRenamed("node", "dst"), ["seed", "dst"], "left_semi").select("seed", "src", "relation", "dst")
+
+
+def export(adj: DataFrame) -> DataFrame:
+    """(group, data): the nodes and edges as the JSON elements that graph viewers read."""
+    nodes = adj.select(F.explode(F.array("src", "dst")).alias("id")).distinct().select(F.lit("nodes").alias("group"), F.to_json(F.struct("id", F.col("id").alias("label"))).alias("data"))
+    edges = adj.select(F.lit("edges").alias("group"), F.to_json(F.struct(F.col("src").alias("source"), F.col("dst").alias("target"), F.col("relation").alias("label"))).alias("data"))
+    return nodes.unionByName(edges)
+
+
 def entity_memories(edges: DataFrame) -> DataFrame:
     """(node, memory_id): the memories whose edges touch an entity."""
     ends = F.explode(F.array(F.lower(F.trim("source")), F.lower(F.trim("target"))))
@@ -55,4 +89,4 @@ def entity_memories(edges: DataFrame) -> DataFrame:
 def reachable_memories(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """(seed, memory_id, hops): memories of entities within ``depth`` edges, with the least number of edges."""
     near = hops(adjacency(edges), seeds, depth)
-    return near.join(entity_memories(edges), "node").groupBy("seed", "memory_id").agg(F.min("hops").alias("hops"))
+    return join_spread(near, cut_lineage(entity_memories(edges)), "node", "memory_id").groupBy("seed", "memory_id").agg(F.min("hops").alias("hops"))

@@ -1,4 +1,7 @@
-"""Inverted index, BM25, TF-IDF, and boolean and phrase search over whole corpora and batches of queries."""
+"""Inverted index, BM25, TF-IDF, and boolean and phrase search over whole corpora and batches of queries.
+
+All searches take texts (id, text), which are analysed once, or an ``Index`` built before.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.session import spread
+from lodestone.operators.skew import join_spread
+from lodestone.session import cut_lineage, spread
 
 
 def tokens(docs: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
@@ -35,14 +39,38 @@ def query_terms(queries: DataFrame, query_id: str, text_col: str, stopwords: lis
     return queries.select(F.col(query_id).alias("query_id"), F.explode(terms).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
 
 
-def _matched(docs: DataFrame, terms: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+class Index:
+    """Stored postings (term, id, dl, tf) and the one-row statistics (n_docs, avgdl) of a corpus."""
+
+    def __init__(self, postings: DataFrame, stats: DataFrame):
+        self.postings, self.stats = postings, stats
+
+    @classmethod
+    def build(cls, docs: DataFrame, id_col: str = "id", text_col: str = "text") -> Index:
+        toks = cut_lineage(tokens(docs, id_col, text_col))
+        words = toks.select("id", "dl", F.explode("tokens").alias("term")).groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
+        return cls(words, toks.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl")))
+
+    def save(self, path: str) -> None:
+        """Write the index; the postings are sorted by word within files, so that a search reads few row groups."""
+        self.postings.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{path}/postings")
+        self.stats.coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
+
+    @classmethod
+    def load(cls, spark, path: str) -> Index:
+        return cls(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/stats"))
+
+
+def _matched(docs: DataFrame | Index, terms: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The query's postings, their document frequencies, and the one-row statistics of the corpus."""
-    toks = tokens(docs)
-    stats = toks.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
     wanted = terms.select("term").distinct()
-    tf = toks.select("id", "dl", F.explode("tokens").alias("term")).join(wanted, "term", "left_semi").groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    return tf, df, stats
+    if isinstance(docs, Index):
+        tf, stats = cut_lineage(docs.postings.join(wanted, "term", "left_semi")), docs.stats
+    else:
+        toks = cut_lineage(tokens(docs))
+        stats = toks.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
+        tf = cut_lineage(toks.select("id", "dl", F.explode("tokens").alias("term")).join(wanted, "term", "left_semi").groupBy("term", "id", "dl").agg(F.count("*").alias("tf")))
+    return tf, tf.groupBy("term").agg(F.count("*").alias("df")), stats
 
 
 def top_k(scored: DataFrame, k: int, by: str = "score") -> DataFrame:
@@ -51,39 +79,39 @@ def top_k(scored: DataFrame, k: int, by: str = "score") -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def bm25(docs: DataFrame, terms: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+def bm25(docs: DataFrame | Index, terms: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(query_id, id, score) of every text that shares a word with a query; repeated words of a query count repeatedly."""
     tf, df, stats = _matched(docs, terms)
     idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     weights = terms.join(df, "term").crossJoin(F.broadcast(stats)).select("query_id", "term", (F.col("qtf") * idf).alias("w"), "avgdl")
     gain = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    hits = tf.join(weights, "term").select("query_id", "id", (F.col("w") * gain).alias("gain"))
+    hits = join_spread(weights, tf, "term", "id").select("query_id", "id", (F.col("w") * gain).alias("gain"))
     # few rows meet in one (query, text), so one exchange by query serves the sum and the ranking after it
     return hits.repartition("query_id").groupBy("query_id", "id").agg(F.round(F.sum("gain"), 6).alias("score"))
 
 
-def tfidf(docs: DataFrame, terms: DataFrame) -> DataFrame:
+def tfidf(docs: DataFrame | Index, terms: DataFrame) -> DataFrame:
     """(query_id, id, score): the mean over a query's distinct words of their share of the text times their rarity."""
     tf, df, stats = _matched(docs, terms)
     size = terms.groupBy("query_id").agg(F.count("*").alias("q_terms"))
     idf = F.log((F.col("n_docs") + 1) / (F.col("df") + 1)) + 1
     weights = terms.join(df, "term").join(size, "query_id").crossJoin(F.broadcast(stats)).select("query_id", "term", (idf / F.col("q_terms")).alias("w"))
-    hits = tf.join(weights, "term").select("query_id", "id", (F.col("w") * F.col("tf") / F.col("dl")).alias("gain"))
+    hits = join_spread(weights, tf, "term", "id").select("query_id", "id", (F.col("w") * F.col("tf") / F.col("dl")).alias("gain"))
     return hits.repartition("query_id").groupBy("query_id", "id").agg(F.round(F.sum("gain"), 6).alias("score"))
 
 
-def boolean_or(docs: DataFrame, terms: DataFrame) -> DataFrame:
+def boolean_or(docs: DataFrame | Index, terms: DataFrame) -> DataFrame:
     """(query_id, id): texts with any word of the query."""
     tf, _, _ = _matched(docs, terms)
-    return tf.join(terms.select("query_id", "term"), "term").select("query_id", "id").distinct()
+    return join_spread(terms.select("query_id", "term"), tf, "term", "id").select("query_id", "id").distinct()
 
 
-def boolean_and(docs: DataFrame, terms: DataFrame, known_only: bool = False) -> DataFrame:
+def boolean_and(docs: DataFrame | Index, terms: DataFrame, known_only: bool = False) -> DataFrame:
     """(query_id, id): texts with all words of the query; with known_only words that occur nowhere are ignored."""
     tf, df, _ = _matched(docs, terms)
     needed = terms.join(df.select("term"), "term", "left_semi") if known_only else terms
     needed = needed.groupBy("query_id").agg(F.count("*").alias("needed"))
-    hits = tf.join(terms.select("query_id", "term"), "term").groupBy("query_id", "id").agg(F.count("*").alias("hits"))
+    hits = join_spread(terms.select("query_id", "term"), tf, "term", "id").groupBy("query_id", "id").agg(F.count("*").alias("hits"))
     return hits.join(needed, "query_id").where("hits = needed").select("query_id", "id")
 
 

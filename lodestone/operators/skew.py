@@ -28,6 +28,20 @@ def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], n: str, total
     return left.join(right, [*on, "_salt"]).drop("_salt")
 
 
+def join_spread(left: DataFrame, right: DataFrame, on: str, spread: str) -> DataFrame:
+    """Inner join on one column, of which both sides may have many rows a value; ``right`` is materialised.
+
+    Rows of ``right`` with a hot value are spread over salts by the column ``spread``, and rows of ``left`` are
+    repeated for each salt of their value. Fewer than HOT_SHARE values can be hot, so their list may be broadcast.
+    """
+    limit = max(HOT_ROWS, right.count() // HOT_SHARE)
+    hot = F.broadcast(right.groupBy(on).agg(F.ceil(F.count("*") / limit).cast("int").alias("_salts")).where("_salts > 1"))
+    salts = F.coalesce("_salts", F.lit(1))
+    many = right.join(hot, on, "left").withColumn("_salt", F.pmod(F.xxhash64(spread), salts.cast("long")).cast("int")).drop("_salts")
+    few = left.join(hot, on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
+    return few.join(many, [on, "_salt"]).drop("_salt")
+
+
 def pairs_within(rows: DataFrame, key: str, n: str, id_col: str, keep: str | None = None) -> DataFrame:
     """(id_a, id_b): all pairs of rows (key, n, id) of one key, id_a < id_b; ``n`` counts the key's rows, or estimates them.
 

@@ -63,25 +63,61 @@ def multi_hop_memories(spark, sf):
     return graph.reachable_memories(_edges(spark, sf), _seeds(spark, sf), DEPTH)
 
 
+#: Shortest paths to the fixpoint: a node comes again only if it became nearer.
+_HOPS_TO_THE_END = """h(seed, node, hops) USING KEY (seed, node) AS (SELECT seed, seed, CAST(0 AS BIGINT) FROM seeds UNION
+    SELECT n.seed, n.node, min(n.hops) FROM (SELECT h.seed, a.dst AS node, h.hops + 1 AS hops FROM h JOIN adj a ON a.src = h.node) n
+    LEFT JOIN recurring.h r ON r.seed = n.seed AND r.node = n.node WHERE r.hops IS NULL OR n.hops < r.hops GROUP BY 1, 2)"""
+
+
 @register(
     "shortest_path_hops",
-    f"""WITH RECURSIVE {_ADJ}, {_SEEDS}, {_hops('adj')} SELECT a.seed AS source, b.seed AS target, n.hops FROM seeds a JOIN near n ON n.seed = a.seed JOIN seeds b ON b.seed = n.node""",
+    f"WITH RECURSIVE {_ADJ}, {_SEEDS}, {_HOPS_TO_THE_END} SELECT h.seed AS source, b.seed AS target, h.hops FROM h JOIN seeds b ON b.seed = h.node",
 )
 def shortest_path_hops(spark, sf):
-    """Least number of edges between the entities that searches start at; pairs farther apart give no row."""
-    near = graph.hops(graph.adjacency(_edges(spark, sf)), _seeds(spark, sf), DEPTH)
+    """Least number of edges between the entities that searches start at; pairs without a path give no row."""
+    near = graph.hops(graph.adjacency(_edges(spark, sf)), _seeds(spark, sf))
     ends = _seeds(spark, sf).select(F.col("seed").alias("target"))
     return near.join(ends, F.col("node") == F.col("target")).select(F.col("seed").alias("source"), "target", "hops")
 
 
 @register(
     "weighted_shortest_path",
-    f"""WITH RECURSIVE {_ADJ}, {_SEEDS}, p AS (SELECT seed, seed AS node, CAST(0 AS DOUBLE) AS cost, 0 AS n FROM seeds
-      UNION SELECT p.seed, a.dst, p.cost + a.weight, p.n + 1 FROM p JOIN adj a ON a.src = p.node WHERE p.n < {DEPTH})
-    SELECT seed, node, round(min(cost), 6) AS cost FROM p GROUP BY 1, 2""",
+    f"""WITH RECURSIVE {_ADJ}, {_SEEDS}, p(seed, node, cost) USING KEY (seed, node) AS (SELECT seed, seed, CAST(0 AS DOUBLE) FROM seeds UNION
+      SELECT n.seed, n.node, min(n.cost) FROM (SELECT p.seed, a.dst AS node, p.cost + greatest(0.0, a.weight) AS cost FROM p JOIN adj a ON a.src = p.node) n
+      LEFT JOIN recurring.p r ON r.seed = n.seed AND r.node = n.node WHERE r.cost IS NULL OR n.cost < r.cost GROUP BY 1, 2)
+    SELECT seed, node, round(cost, 6) AS cost FROM p""",
 )
 def weighted_shortest_path(spark, sf):
-    return graph.weighted_paths(graph.adjacency(_edges(spark, sf)), _seeds(spark, sf), DEPTH).select("seed", "node", F.round("cost", 6).alias("cost"))
+    """The cheapest path of any length to every node that can be reached."""
+    return graph.weighted_paths(graph.adjacency(_edges(spark, sf)), _seeds(spark, sf)).select("seed", "node", F.round("cost", 6).alias("cost"))
+
+
+@register(
+    "neighbour_relations",
+    f"""WITH {_EDGES}, {_SEEDS}, r AS (SELECT src AS seed, dst AS neighbour, relation, 'out' AS direction FROM e UNION SELECT dst, src, relation, 'in' FROM e)
+    SELECT * FROM r WHERE seed IN (SELECT seed FROM seeds)""",
+)
+def neighbour_relations(spark, sf):
+    return graph.neighbour_relations(_edges(spark, sf), _seeds(spark, sf))
+
+
+@register(
+    "graph_explain",
+    f"""WITH RECURSIVE {_ADJ}, {_SEEDS}, {_hops('adj', 2)} SELECT n.seed, a.src, a.relation, a.dst FROM near n JOIN adj a ON a.src = n.node JOIN near m ON m.seed = n.seed AND m.node = a.dst""",
+)
+def graph_explain(spark, sf):
+    """The edges within two edges of each start."""
+    return graph.explain(graph.adjacency(_edges(spark, sf)), _seeds(spark, sf), 2)
+
+
+@register(
+    "graph_export",
+    f"""WITH {_ADJ}, n AS (SELECT src AS id FROM adj UNION SELECT dst FROM adj)
+    SELECT 'nodes' AS "group", CAST(to_json(struct_pack(id := id, label := id)) AS VARCHAR) AS data FROM n
+    UNION ALL SELECT 'edges', CAST(to_json(struct_pack(source := src, target := dst, label := relation)) AS VARCHAR) FROM adj""",
+)
+def graph_export(spark, sf):
+    return graph.export(graph.adjacency(_edges(spark, sf)))
 
 
 @register("entity_memories", f"WITH {_EDGES} SELECT src AS node, memory_id FROM e WHERE memory_id IS NOT NULL UNION SELECT dst, memory_id FROM e WHERE memory_id IS NOT NULL")
