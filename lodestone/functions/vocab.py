@@ -101,14 +101,15 @@ SIGNALS = {
     "recency": dict(default=0.0268, semantic=0.02, episodic=0.35, procedural=0.10, code=0.01, science=0.05, general=0.05),
     "importance": dict(default=0.08),
     "feedback": dict(default=0.0268),
+    "graph": dict(default=0.0),
     "tfidf": dict(default=0.2929, semantic=0.15, episodic=0.02, procedural=0.25, code=0.30, science=0.20, general=0.15),
 }
-#: Days after which a memory's recency has fallen to 1/e, by its type; 30 for others.
+# Days after which a memory's recency has fallen to 1/e, by its type; 30 for others.
 RECENCY_DAYS = {"episodic": 7.0, "code": 730.0, "procedural": 30.0, "science": 90.0, "semantic": 365.0}
 OTHER_RECENCY_DAYS = 30.0
-#: Weights of the final score.
+# Weights of the final score.
 FINAL_WEIGHTS = {"relevance": 0.25, "importance": 0.10, "recency": 0.10, "diversity": 0.05, "attribute": 0.50, "bm25": 0.10}
-#: Weights that the adaptive weighter starts from.
+# Weights that the adaptive weighter starts from.
 START_WEIGHTS = {
     "semantic": 0.20, "importance": 0.08, "recency": 0.05, "token": 0.07, "feedback": 0.02,
     "entity": 0.23, "subject": 0.20, "attribute": 0.15, "tfidf": 0.08, "bm25": 0.10,

@@ -51,6 +51,10 @@ class Index:
         words = toks.select("id", "dl", F.explode("tokens").alias("term")).groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
         return cls(words, toks.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl")))
 
+    def narrow(self, terms: DataFrame) -> Index:
+        """The part of the index that queries (query_id, term, qtf) need, materialised."""
+        return Index(cut_lineage(self.postings.join(terms.select("term").distinct(), "term", "left_semi")), cut_lineage(self.stats))
+
     def save(self, path: str) -> None:
         """Write the index; the postings are sorted by word within files, so that a search reads few row groups."""
         self.postings.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{path}/postings")

@@ -52,20 +52,33 @@ def clusters(rows: DataFrame, settings: Settings = Settings()) -> DataFrame:
     return store.batches(rows.where(F.size("embedding") > 0), settings.cluster_batch).groupBy("batch").applyInPandas(run, "id long, cluster long")
 
 
+def _grouped(memories: DataFrame, labels: DataFrame) -> DataFrame:
+    """(cluster, keep_id, n, top, entities, relationships) of each cluster; what a cluster unites is made distinct before it is collected."""
+    rows = store.decode(store.live(memories)).select("id", "importance", "entities", "relationships").join(labels, "id")
+    best = rows.groupBy("cluster").agg(F.max_by("id", F.struct("importance", -F.col("id"))).alias("keep_id"), F.count("*").alias("n"), F.max("importance").alias("top"))
+    united = rows.select("cluster", F.explode("entities").alias("e")).distinct().groupBy("cluster").agg(F.sort_array(F.collect_list("e")).alias("entities"))
+    linked = rows.select("cluster", F.explode("relationships").alias("r")).distinct().groupBy("cluster").agg(F.sort_array(F.collect_list("r")).alias("relationships"))
+    return best.where("n > 1").join(united, "cluster", "left").join(linked, "cluster", "left")
+
+
 def merge_clusters(memories: DataFrame, labels: DataFrame) -> DataFrame:
-    """(cluster, keep_id, n, importance, entities): the merge of each cluster of more than one memory.
+    """(cluster, keep_id, n, importance, entities, relationships): the merge of each cluster of more than one memory.
 
-    The most important memory stays, a little more important than before; entities are united.
+    The most important memory stays, a little more important than before; entities and relationships are united.
     """
-    none = F.array().cast("array<string>")
-    rows = store.decode(store.live(memories)).select("id", "importance", F.coalesce("entities", none).alias("entities")).join(labels, "id")
-    merged = rows.groupBy("cluster").agg(
-        F.max_by("id", F.struct("importance", -F.col("id"))).alias("keep_id"),
-        F.count("*").alias("n"),
-        F.max("importance").alias("top"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("entities")))).alias("entities"),
-    )
-    return merged.where("n > 1").select("cluster", "keep_id", "n", F.round(F.least(F.lit(1.0), F.col("top") + 0.1), 6).alias("importance"), "entities")
+    importance = F.round(F.least(F.lit(1.0), F.col("top") + 0.1), 6).alias("importance")
+    entities = F.coalesce("entities", F.array().cast("array<string>")).alias("entities")
+    return _grouped(memories, labels).select("cluster", "keep_id", "n", importance, entities, F.coalesce("relationships", F.array()).alias("relationships"))
+
+
+def apply_merges(memories: DataFrame, labels: DataFrame) -> DataFrame:
+    """The table after the merges: the row that stays has what its cluster unites, the others are flagged as deleted."""
+    merged = merge_clusters(memories, labels)
+    kept = merged.select(F.col("keep_id").alias("id"), F.col("importance").alias("_i"), F.col("entities").alias("_e"), F.col("relationships").alias("_r"))
+    gone = labels.join(merged.select("cluster", "keep_id"), "cluster").where("id <> keep_id").select("id", F.lit(1).alias("_gone"))
+    rows = memories.join(kept, "id", "left").join(gone, "id", "left")
+    changed = {"importance": F.coalesce("_i", "importance"), "entities": F.coalesce("_e", "entities"), "relationships": F.coalesce("_r", "relationships"), "tombstone": F.coalesce("_gone", "tombstone")}
+    return rows.withColumns(changed).select(*memories.columns)
 
 
 def sync(left: DataFrame, right: DataFrame) -> DataFrame:

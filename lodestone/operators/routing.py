@@ -45,6 +45,14 @@ def routes(spark) -> DataFrame:
     return spark.createDataFrame(rows, "kind string, min_confidence double, graph_depth long, sources array<string>")
 
 
+def shards_of_query(kind: Column) -> Column:
+    """The shard that holds the memories of a question's type; null for a general one, which has to read all."""
+    out = F.lit(None).cast("long")
+    for name, at in SHARDS.items():
+        out = F.when(kind == name, at).otherwise(out)
+    return out.cast("long")
+
+
 def shard(memory_type: Column, shards: int = 5) -> Column:
     """The shard of a type; other types are spread by a hash, a missing one is in shard 0."""
     out = F.when(memory_type.isNull(), 0).otherwise(F.pmod(F.xxhash64(memory_type), F.lit(shards)))

@@ -37,8 +37,8 @@ class SignalRegistry:
     def weight(self, name: str, kind: str = "general") -> float:
         if name in self.off or (name, kind) in self.off_for:
             return 0.0
-        of = self.weights[name]
-        return of.get(kind, of["default"])
+        of = self.weights.get(name)
+        return of.get(kind, of["default"]) if of else 0.0
 
     def active(self, kind: str = "general", least: float = 0.001) -> dict[str, float]:
         """The signals worth computing for a type of query."""

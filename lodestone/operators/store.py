@@ -53,16 +53,8 @@ def latest(memories: DataFrame, n: int = 10) -> DataFrame:
 
 
 def batches(memories: DataFrame, size: int) -> DataFrame:
-    """Rows with the number of their batch of ``size`` rows in the order of ids.
-
-    Ids are ranked by the number of rows in the ranges below theirs, so no task sees all rows.
-    """
-    ranges = memories.withColumn("_range", F.floor(F.col("id") / 100_000))
-    counts = ranges.groupBy("_range").agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
-    counts = counts.select("_range", F.coalesce(before, F.lit(0)).alias("_before"))
-    at = F.row_number().over(Window.partitionBy("_range").orderBy("id")) + F.col("_before") - 1
-    return ranges.join(counts, "_range").withColumn("batch", F.floor(at / size).cast("long")).drop("_range", "_before")
+    """Rows with the number of their batch of ``size`` rows in the order of ids, however sparse these are."""
+    return number(memories, "id").withColumn("batch", F.floor((F.col("number") - 1) / size).cast("long")).drop("number")
 
 
 def number(rows: DataFrame, order: str) -> DataFrame:
@@ -81,11 +73,12 @@ def insert_many(memories: DataFrame, texts: DataFrame, order: str) -> DataFrame:
     return number(texts, order).crossJoin(F.broadcast(top)).withColumn("id", (F.col("_top") + F.col("number")).cast("long")).drop("_top", "number")
 
 
-def merge(memories: DataFrame, changes: DataFrame, columns: list[str], key: str = "id") -> DataFrame:
-    """Rows with the non-null values of ``changes`` in the given columns."""
-    new = changes.select(key, *[F.col(c).alias(f"_new_{c}") for c in columns])
+def merge(memories: DataFrame, changes: DataFrame, columns: list[str], key: str = "id", nulls: bool = False) -> DataFrame:
+    """Rows with the values of ``changes`` in the given columns; null values leave a column as it is, unless ``nulls``."""
+    new = changes.select(key, *[F.col(c).alias(f"_new_{c}") for c in columns], F.lit(True).alias("_hit"))
     joined = memories.join(new, key, "left")
-    return joined.withColumns({c: F.coalesce(f"_new_{c}", c) for c in columns}).drop(*[f"_new_{c}" for c in columns])
+    value = (lambda c: F.when(F.col("_hit"), F.col(f"_new_{c}")).otherwise(F.col(c))) if nulls else (lambda c: F.coalesce(f"_new_{c}", c))
+    return joined.withColumns({c: value(c) for c in columns}).drop("_hit", *[f"_new_{c}" for c in columns])
 
 
 def soft_delete(memories: DataFrame, ids: DataFrame) -> DataFrame:
@@ -146,6 +139,10 @@ def remove_alias(entities: DataFrame, alias: str) -> DataFrame:
     return entities.withColumn("aliases", F.array_remove("aliases", alias))
 
 
+def set_type(entities: DataFrame, entity_id: int, entity_type: str) -> DataFrame:
+    return entities.withColumn("entity_type", F.when(F.col("id") == entity_id, F.lit(entity_type)).otherwise(F.col("entity_type")))
+
+
 def add_vectors(rows: DataFrame, dim: int) -> DataFrame:
     """(id, embedding) cut to the dimension; rows without one are skipped."""
     vec = F.slice("embedding", 1, dim)

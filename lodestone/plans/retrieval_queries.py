@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-import functools
+import uuid
 
-from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import scores as SC
 from lodestone.functions import text as T
 from lodestone.functions import vocab
 from lodestone.functions.vocab import Settings
-from lodestone.operators import graph, learn, lexical, rank, routing, store, vector
-from lodestone.plans.storage_queries import IMPORTANCE, KIND, LIVE, NOW
+from lodestone.operators import learn, lexical, rank, retrieve, routing, store, vector
+from lodestone.plans.storage_queries import DELTA, EVENTS, IMPORTANCE, KIND, LIVE, NOW
 from lodestone.plans.text_queries import WORDS, _TAU, attribute_sql, entities_sql, sql_list
 from lodestone.queries import _SQL, register
-from lodestone.session import cut_lineage, table
+from lodestone.session import checkpoint_dir, cut_lineage, table
 
 S = Settings()
 STOP = vocab.STOPWORDS + vocab.INTERROGATIVES
@@ -195,8 +194,7 @@ _SOURCES = """prio(source, p) AS (VALUES ('vector', 0), ('bm25', 1), ('graph', 2
     f"""WITH {_Q} SELECT query_id, m.id FROM q JOIN memories m ON m.subject = q_subject AND m.attribute = q_attribute WHERE {LIVE}""",
 )
 def attribute_retrieval(spark, sf):
-    asked = rank.understand(table(spark, sf, "questions")).select("query_id", F.col("q_subject").alias("subject"), F.col("q_attribute").alias("attribute"))
-    return store.live(table(spark, sf, "memories")).join(asked, ["subject", "attribute"]).select("query_id", "id")
+    return retrieve.by_attribute(rank.understand(table(spark, sf, "questions")), table(spark, sf, "memories"))
 
 
 @register(
@@ -212,57 +210,36 @@ def attribute_retrieval(spark, sf):
 )
 def graph_retrieval(spark, sf):
     """Memories of entities within two edges of the one asked about, the nearest 50 of each question."""
-    asked = rank.understand(table(spark, sf, "questions")).where("q_subject IS NOT NULL").select("query_id", F.lower("q_subject").alias("seed"))
-    edges = table(spark, sf, "graph_edges").where("source IS NOT NULL AND target IS NOT NULL")
-    found = graph.reachable_memories(edges, asked.select("seed").distinct(), 2)
-    rows = asked.join(found, "seed").groupBy("query_id", F.col("memory_id").alias("id")).agg(F.min("hops").alias("hops"))
-    w = Window.partitionBy("query_id").orderBy("hops", "id")
-    return rows.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= S.graph_k)
+    return retrieve.by_graph(rank.understand(table(spark, sf, "questions")), table(spark, sf, "graph_edges"), S.graph_k)
 
 
-_UNION = f"""{_BM25}, ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM bm25),
-  uni AS (SELECT query_id, memory_id AS id, 0 AS p, min(distance) AS distance FROM candidates GROUP BY query_id, memory_id
-    UNION ALL SELECT query_id, id, 1, 1 / (score + 1e-6) FROM ranked WHERE rank <= 150
-    UNION ALL SELECT query_id, m.id, 4, CAST(0 AS DOUBLE) FROM q JOIN memories m ON m.subject = q_subject AND m.attribute = q_attribute WHERE {LIVE}),
-  won AS (SELECT *, row_number() OVER (PARTITION BY query_id, id ORDER BY p DESC) AS rn FROM uni)"""
-
-
-#: The retrievers in the order of their priority, the last one first.
-SOURCES = ("vector", "bm25", "graph", "phrase", "attribute")
-
-
-def union_sources(spark, sf, sources: tuple[str, ...] = SOURCES):
-    """(query_id, id, source, p, distance): the candidates of all sources; of several sources of one memory the last one wins."""
-    asked = rank.understand(table(spark, sf, "questions"))
-    keys = asked.select("query_id", F.col("q_subject").alias("subject"), F.col("q_attribute").alias("attribute"))
-    found = {
-        "vector": lambda: table(spark, sf, "candidates").groupBy("query_id", F.col("memory_id").alias("id")).agg(F.min("distance").alias("distance")),
-        "bm25": lambda: lexical.top_k(lexical.bm25(_docs(spark, sf), _terms(spark, sf)), S.source_k).select("query_id", "id", SC.bm25_distance(F.col("score")).alias("distance")),
-        "graph": lambda: graph_retrieval(spark, sf).select("query_id", "id", F.lit(0.0).alias("distance")),
-        "phrase": lambda: phrase_search(spark, sf).select("query_id", "id", F.lit(0.0).alias("distance")),
-        "attribute": lambda: store.live(table(spark, sf, "memories")).join(keys, ["subject", "attribute"]).select("query_id", "id", F.lit(0.0).alias("distance")),
-    }
-    rows = [found[s]().withColumn("p", F.lit(p)) for p, s in enumerate(SOURCES) if s in sources]
-    best = functools.reduce(DataFrame.unionByName, rows).groupBy("query_id", "id").agg(F.max_by("distance", "p").alias("distance"), F.max("p").alias("p"))
-    names = F.create_map(*[x for i, s in enumerate(SOURCES) for x in (F.lit(i), F.lit(s))])
-    return best.withColumn("source", names[F.col("p")])
+@register(
+    "phrase_retrieval",
+    f"SELECT query_id, id, hits, CAST(rank AS BIGINT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, id) AS rank FROM ({_SQL['phrase_search']})) WHERE rank <= 100",
+)
+def phrase_retrieval(spark, sf):
+    """The 100 memories that hold a question's phrase most often; no question of the tables has one in quotation marks, so it is the first name."""
+    return retrieve.by_phrase(rank.understand(table(spark, sf, "questions")), _docs(spark, sf))
 
 
-def _capped(rows, most: int):
-    w = Window.partitionBy("query_id").orderBy(F.desc("p"), F.round("distance", 6), "id")
-    return rows.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= most)
+def union_sources(spark, sf, sources: tuple[str, ...] = retrieve.SOURCES):
+    """(query_id, id, distance, p, source): the candidates of all sources; of several sources of one memory the last one wins."""
+    near = table(spark, sf, "candidates").select("query_id", F.col("memory_id").alias("id"), "distance")
+    found = retrieve.sources(rank.understand(table(spark, sf, "questions")), _terms(spark, sf), table(spark, sf, "memories"), table(spark, sf, "graph_edges"), near, settings=S)
+    return retrieve.union({s: found[s] for s in sources})
 
 
-#: The sources that the SQL of retriever_union and candidate_cap has.
-_THREE = ("vector", "bm25", "attribute")
-_UNION_ALL = f"""{_BM25}, graph AS ({_SQL["graph_retrieval"]}), phrase AS ({_SQL["phrase_search"]}),
+_UNION = f"""{_BM25}, graph AS ({_SQL["graph_retrieval"]}), phrase AS ({_SQL["phrase_retrieval"]}),
   ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM bm25),
-  uni AS (SELECT query_id, memory_id AS id, 0 AS p, min(distance) AS distance FROM candidates GROUP BY query_id, memory_id
+  attr AS (SELECT query_id, m.id FROM q JOIN memories m ON m.subject = q_subject AND m.attribute = q_attribute WHERE {LIVE}),
+  vec AS (SELECT query_id, memory_id AS id, min(distance) AS distance FROM candidates GROUP BY query_id, memory_id),
+  uni AS (SELECT query_id, id, 0 AS p, distance FROM vec
     UNION ALL SELECT query_id, id, 1, 1 / (score + 1e-6) FROM ranked WHERE rank <= 150
     UNION ALL SELECT query_id, id, 2, CAST(0 AS DOUBLE) FROM graph
     UNION ALL SELECT query_id, id, 3, CAST(0 AS DOUBLE) FROM phrase
-    UNION ALL SELECT query_id, m.id, 4, CAST(0 AS DOUBLE) FROM q JOIN memories m ON m.subject = q_subject AND m.attribute = q_attribute WHERE {LIVE}),
+    UNION ALL SELECT query_id, id, 4, CAST(0 AS DOUBLE) FROM attr),
   won AS (SELECT *, row_number() OVER (PARTITION BY query_id, id ORDER BY p DESC) AS rn FROM uni)"""
+_KINDS = f"kd AS ({_SQL['classify_type']})"
 
 
 @register(
@@ -270,15 +247,6 @@ _UNION_ALL = f"""{_BM25}, graph AS ({_SQL["graph_retrieval"]}), phrase AS ({_SQL
     f"WITH {_LEX}, {_Q}, {_UNION}, {_SOURCES} SELECT query_id, id, source, round(distance, 6) AS distance FROM won JOIN prio USING (p) WHERE rn = 1",
 )
 def retriever_union(spark, sf):
-    """The candidates of the three sources that the SQL has; those of all five are in retriever_union_all."""
-    return union_sources(spark, sf, _THREE).select("query_id", "id", "source", F.round("distance", 6).alias("distance"))
-
-
-@register(
-    "retriever_union_all",
-    f"WITH {_LEX}, {_Q}, {_UNION_ALL}, {_SOURCES} SELECT query_id, id, source, round(distance, 6) AS distance FROM won JOIN prio USING (p) WHERE rn = 1",
-)
-def retriever_union_all(spark, sf):
     """The candidates of all five sources."""
     return union_sources(spark, sf).select("query_id", "id", "source", F.round("distance", 6).alias("distance"))
 
@@ -286,21 +254,56 @@ def retriever_union_all(spark, sf):
 @register(
     "candidate_cap",
     f"""WITH {_LEX}, {_Q}, {_UNION}, one AS (SELECT query_id, id, p, round(distance, 6) AS distance FROM won WHERE rn = 1),
-    k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY p DESC, distance, id) AS rank FROM one) SELECT query_id, id, CAST(rank AS BIGINT) AS rank FROM k WHERE rank <= 100""",
+    k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY p DESC, distance, id) AS rank FROM one) SELECT query_id, id, CAST(rank AS BIGINT) AS rank FROM k WHERE rank <= {S.candidate_cap}""",
 )
 def candidate_cap(spark, sf):
-    """The first 100 candidates of each question from the sources of its SQL; candidate_cap_all has the whole cap of all sources."""
-    return _capped(union_sources(spark, sf, _THREE), 100).select("query_id", "id", "rank")
+    """As many candidates of all sources as are ranked (300), by the priority of their source, then distance, then id."""
+    return retrieve.capped(union_sources(spark, sf), S.candidate_cap).select("query_id", "id", "rank")
 
 
 @register(
-    "candidate_cap_all",
-    f"""WITH {_LEX}, {_Q}, {_UNION_ALL}, one AS (SELECT query_id, id, p, round(distance, 6) AS distance FROM won WHERE rn = 1),
-    k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY p DESC, distance, id) AS rank FROM one) SELECT query_id, id, CAST(rank AS BIGINT) AS rank FROM k WHERE rank <= {S.candidate_cap}""",
+    "sequential_retrieval",
+    f"""WITH {_LEX}, {_Q}, {_UNION}, s AS (SELECT query_id, id, 'vector' AS source, 0 AS o, distance FROM vec UNION ALL SELECT query_id, id, 'attribute', 1, CAST(0 AS DOUBLE) FROM attr UNION ALL SELECT query_id, id, 'graph', 2, CAST(0 AS DOUBLE) FROM graph)
+    SELECT query_id, id, source, round(distance, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id, id ORDER BY o) AS rn FROM s) WHERE rn = 1""",
 )
-def candidate_cap_all(spark, sf):
-    """As many candidates of all sources as are ranked (300), by the priority of their source, then distance, then id."""
-    return _capped(union_sources(spark, sf), S.candidate_cap).select("query_id", "id", "rank")
+def sequential_retrieval(spark, sf):
+    """Vector, then attribute, then graph, each without what was found before."""
+    near = table(spark, sf, "candidates").select("query_id", F.col("memory_id").alias("id"), "distance")
+    found = retrieve.sources(rank.understand(table(spark, sf, "questions")), _terms(spark, sf), table(spark, sf, "memories"), table(spark, sf, "graph_edges"), near, settings=S)
+    return retrieve.sequential(found).select("query_id", "id", "source", F.round("distance", 6).alias("distance"))
+
+
+_ROUTED = f"""rt(kind, source) AS (VALUES {', '.join(f"('{r[0]}', '{s}')" for r in vocab.ROUTES for s in [*r[8].split(), 'phrase'])}),
+  routed AS (SELECT w.query_id, w.id, source FROM (SELECT won.*, source FROM won JOIN prio USING (p) WHERE rn = 1) w LEFT JOIN kd USING (query_id) WHERE kd.kind IS NULL OR EXISTS (SELECT 1 FROM rt WHERE rt.kind = kd.kind AND rt.source = w.source))"""
+
+
+def _routed(spark, sf):
+    return retrieve.routed(union_sources(spark, sf), routing.classify(rank.understand(table(spark, sf, "questions"))))
+
+
+@register("routed_union", f"WITH {_LEX}, {_Q}, {_UNION}, {_SOURCES}, {_KINDS}, {_ROUTED} SELECT query_id, id, source FROM routed")
+def routed_union(spark, sf):
+    """The union of the sources that the type of each question is routed to."""
+    return _routed(spark, sf).select("query_id", "id", "source")
+
+
+@register(
+    "retrieval_sufficient",
+    f"WITH {_LEX}, {_Q}, {_UNION}, {_SOURCES}, {_KINDS}, {_ROUTED} SELECT query_id, count(DISTINCT source) AS sources, count(*) AS candidates, count(DISTINCT source) >= 2 AND count(*) >= 20 AS enough FROM routed GROUP BY 1",
+)
+def retrieval_sufficient(spark, sf):
+    """Whether two sources and twenty candidates answered each question."""
+    return retrieve.sufficient(_routed(spark, sf), 2, 20)
+
+
+@register(
+    "query_shards",
+    f"WITH {_KINDS} SELECT query_id, kind, CAST(CASE kind {' '.join(f'WHEN {k!r} THEN {v}' for k, v in routing.SHARDS.items())} END AS BIGINT) AS shard FROM kd",
+)
+def query_shards(spark, sf):
+    """The shard that a question of one type has to read; none for general questions, which read all."""
+    kinds = routing.classify(rank.understand(table(spark, sf, "questions")))
+    return kinds.select("query_id", "kind", routing.shards_of_query(F.col("kind")).alias("shard"))
 
 
 _W = {s: rank.weight(s, "general") for s in vocab.SIGNALS}
@@ -315,7 +318,7 @@ _SIGNALS = f"""c AS (SELECT query_id, memory_id AS id, min(distance) AS distance
   md AS (SELECT *, list_transform(list_concat(coalesce(json_keys(meta), []), coalesce(json_extract_string(meta, '$.*'), [])), lambda x: lower(x)) AS meta_parts FROM m),
   j AS (SELECT *, len(list_intersect(q_tokens, m_tokens)) AS shared, len(list_distinct(q_tokens)) AS nq, len(list_distinct(list_concat(q_tokens, m_tokens))) AS nu
     FROM c JOIN md USING (id) JOIN q USING (query_id)),
-  s AS (SELECT query_id, id, bm25, text, 1 / (1 + distance) AS semantic,
+  s AS (SELECT query_id, id, bm25, text, memory_type, 1 / (1 + distance) AS semantic,
     CASE WHEN memory_type IN ('episodic', 'procedural', 'code') THEN CASE WHEN nq > 0 THEN shared / nq ELSE 0 END WHEN nu > 0 THEN shared / nu ELSE 0 END AS token,
     CASE WHEN len(q_ents) > 0 THEN len(list_intersect(q_ents, list_transform(entities, lambda x: lower(x)))) / len(q_ents) ELSE 0 END AS entity,
     CASE WHEN lower(q_subject) = lower(subject) THEN 1.0 ELSE 0.0 END AS subject, CASE WHEN q_attribute = attribute THEN 1.0 ELSE 0.0 END AS attribute,
@@ -348,8 +351,8 @@ def zscore_per_query(spark, sf):
 
 def _finals(spark, sf):
     rows = _signals(spark, sf)
-    boost = rank.attribute_boost(F.col("q_asked"), F.col("memory_type"), F.col("m_metadata"))
-    rows = rows.withColumn("boost", boost).withColumn("cost", T.token_estimate(F.col("m_text")))
+    rows = rows.withColumn("boost", rank.attribute_boost(F.col("q_asked"), F.col("memory_type"), F.col("m_parts")))
+    rows = cut_lineage(rows.select("query_id", "id", "base", "importance", "recency", "boost", "bm25", "cost"))
     return rank.finalize(rank.zscore(rows), S)
 
 
@@ -383,36 +386,148 @@ def recall_pipeline(spark, sf):
     return rank.recall(table(spark, sf, "questions"), table(spark, sf, "candidates"), table(spark, sf, "memories"), S)
 
 
-@register("recall_hybrid")
-def recall_hybrid(spark, sf):
-    """Recall from the engine's own retrieval: union and cap of all sources, then the ranking with tfidf and feedback, by the type of the question."""
-    questions, memories = table(spark, sf, "questions"), table(spark, sf, "memories")
+def _wanted(spark, sf, wanted):
+    """Further signals of (query_id, id): tfidf, feedback, and the graph distance."""
     docs, terms = _docs(spark, sf), _terms(spark, sf)
-    found = cut_lineage(_capped(union_sources(spark, sf), S.candidate_cap))
-    wanted = found.select("query_id", "id")
-    words = lexical.bm25(docs, terms, S.k1, S.b).join(wanted, ["query_id", "id"], "left_semi")
-    rows = found.join(words, ["query_id", "id"], "left").select("query_id", F.col("id").alias("memory_id"), "distance", F.col("score").alias("bm25_score"), (F.col("source") == "graph").alias("graph_hit"))
     tfidf = lexical.tfidf(docs, terms).join(wanted, ["query_id", "id"], "left_semi").withColumnRenamed("score", "tfidf")
     feedback = learn.feedback(table(spark, sf, "feedback_events"), S).select(F.col("mem_id").alias("id"), F.col("boost").alias("feedback"))
-    return rank.recall(questions, rows, memories, S, routing.classify(rank.understand(questions)), tfidf, feedback)
+    queries = rank.understand(table(spark, sf, "questions"))
+    near = rank.graph_signal(wanted, queries, table(spark, sf, "memories"), table(spark, sf, "graph_edges"))
+    return tfidf, feedback, near, routing.classify(queries)
+
+
+@register(
+    "graph_signal",
+    f"""WITH RECURSIVE {_Q}, adj AS (SELECT DISTINCT lower(trim(source)) AS src, lower(trim(target)) AS dst FROM graph_edges WHERE source IS NOT NULL AND target IS NOT NULL),
+    asked AS (SELECT DISTINCT query_id, unnest(q_ents) AS seed FROM q), held AS (SELECT DISTINCT id, lower(trim(unnest(entities))) AS node FROM memories),
+    h AS (SELECT DISTINCT seed, seed AS node, CAST(0 AS BIGINT) AS hops FROM asked UNION SELECT h.seed, a.dst, h.hops + 1 FROM h JOIN adj a ON a.src = h.node WHERE h.hops < 2),
+    near AS (SELECT seed, node, min(hops) AS hops FROM h GROUP BY 1, 2), c AS (SELECT DISTINCT query_id, memory_id AS id FROM candidates)
+    SELECT query_id, id, round(1 / (min(hops) + 1e-6), 6) AS graph FROM c JOIN held USING (id) JOIN asked USING (query_id) JOIN near USING (seed, node) GROUP BY 1, 2""",
+)
+def graph_signal(spark, sf):
+    """The graph distance between question and candidate, within two edges."""
+    wanted = table(spark, sf, "candidates").select("query_id", F.col("memory_id").alias("id")).distinct()
+    return _wanted(spark, sf, wanted)[2].select("query_id", "id", F.round("graph", 6).alias("graph"))
+
+
+def _by_kind(signal: str, column: str) -> str:
+    of = vocab.SIGNALS[signal]
+    return f"coalesce({column}, 0) * CASE kind " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in of.items() if k != "default") + f" ELSE {of['default']} END" if len(of) > 1 else f"coalesce({column}, 0) * {of['default']}"
+
+
+_TEN = " + ".join([*[_by_kind(x, x) for x in ("semantic", "token", "entity", "subject", "attribute", "recency", "importance")], _by_kind("tfidf", "CASE WHEN memory_type <> 'episodic' THEN tfidf END"), _by_kind("feedback", "feedback")])
+
+
+@register(
+    "base_score",
+    f"""WITH {_LEX}, {_Q}, {_SIGNALS}, {_TFIDF}, {_KINDS}, ev AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY received_at NULLS LAST) AS rn FROM feedback_events) WHERE rn = 1),
+    fs AS (SELECT mem_id, CAST(sum({DELTA}) AS DOUBLE) AS raw, max(ts) AS last FROM ev WHERE mem_id IS NOT NULL GROUP BY 1),
+    fb AS (SELECT mem_id AS id, round(greatest(-1.0, least(1.0, raw * pow(0.95, greatest(0, floor((epoch({NOW}) - floor(epoch(last))) / 86400))))), 6) AS feedback FROM fs),
+    a AS (SELECT s.*, tfidf.score AS tfidf, feedback, coalesce(kind, 'general') AS kind FROM s LEFT JOIN kd USING (query_id) LEFT JOIN tfidf USING (query_id, id) LEFT JOIN fb USING (id))
+    SELECT query_id, id, kind, coalesce(tfidf, 0) AS tfidf, coalesce(feedback, 0) AS feedback, round({_TEN}, 6) AS base FROM a""",
+)
+def base_score(spark, sf):
+    """The base score of the given candidates with all signals that have a weight, by the weights of the question's type."""
+    rows = rank.candidate_rows(table(spark, sf, "candidates"))
+    tfidf, feedback, near, kinds = _wanted(spark, sf, rows.select("query_id", "id"))
+    rows = rank.signals(rows, table(spark, sf, "memories"), rank.understand(table(spark, sf, "questions")), S)
+    rows = rows.join(kinds.select("query_id", "kind"), "query_id", "left").withColumn("kind", F.coalesce("kind", F.lit("general")))
+    rows = rows.join(tfidf, ["query_id", "id"], "left").join(feedback, "id", "left").join(near, ["query_id", "id"], "left")
+    rows = rank.base_score(rows, F.col("kind"), ("tfidf", "feedback", "graph"))
+    return rows.select("query_id", "id", "kind", F.coalesce("tfidf", F.lit(0.0)).alias("tfidf"), F.coalesce("feedback", F.lit(0.0)).alias("feedback"), "base")
+
+
+@register("recall_hybrid")
+def recall_hybrid(spark, sf):
+    """Recall from the engine's own retrieval: union and cap of all sources, then the ranking with all signals, by the type of the question."""
+    from lodestone.api import Engine
+
+    return Engine.open(spark, sf).recall(table(spark, sf, "questions"))
+
+
+def _normalized(spark, sf):
+    return cut_lineage(rank.zscore(cut_lineage(_signals(spark, sf).select("query_id", "id", "base"))).select("query_id", "id", "normalized"))
+
 
+_POOL = f"""top AS (SELECT query_id, id, normalized, CAST(row_number() OVER (PARTITION BY query_id ORDER BY normalized DESC, id) AS INTEGER) AS at_ FROM z),
+  v AS (SELECT memory_id AS id, min(embedding) AS e FROM candidates WHERE len(embedding) = 64 GROUP BY 1)"""
 
-@register("mmr_rerank")
+
+@register(
+    "mmr_rerank",
+    f"""WITH RECURSIVE {_Q}, {_SIGNALS}, {_FINAL}, {_POOL},
+    pl AS (SELECT query_id, list(normalized ORDER BY at_) AS rel, list(top.id ORDER BY at_) AS ids, list(coalesce(list_transform(e, lambda x: CAST(x AS DOUBLE)), list_transform(range(64), lambda x: CAST(0 AS DOUBLE))) ORDER BY at_) AS vs,
+        least(1.0, CASE WHEN count(*) <= 10 THEN 0.95 WHEN count(*) <= 30 THEN 0.90 WHEN count(*) <= 75 THEN 0.85 ELSE 0.80 END + 0.10) AS lam, count(*) AS n
+      FROM top LEFT JOIN v ON v.id = top.id WHERE at_ <= 50 GROUP BY 1),
+    un AS (SELECT query_id, rel, ids, lam, n, list_transform(vs, lambda u: list_transform(u, lambda x: x / greatest(sqrt(list_dot_product(u, u)), 1e-8))) AS us FROM pl),
+    w AS (SELECT query_id, [1] AS chosen, [lam * rel[1]] AS score, CAST(1 AS BIGINT) AS step FROM un
+      UNION ALL SELECT query_id, list_append(chosen, pick[2]), list_append(score, pick[1]), step + 1 FROM (
+        SELECT w.query_id, chosen, score, step, list_reduce(list_transform(list_filter(range(1, n + 1), lambda i: NOT list_contains(chosen, i)),
+            lambda i: [lam * rel[i] - (1 - lam) * list_max(list_transform(chosen, lambda c: list_dot_product(us[i], us[c]))), CAST(i AS DOUBLE)]), lambda a, b: CASE WHEN b[1] > a[1] THEN b ELSE a END) AS pick
+        FROM w JOIN un USING (query_id) WHERE step < least(20, n))),
+    fin AS (SELECT w.query_id, un.ids, chosen, score FROM w JOIN un USING (query_id) WHERE step = least(20, n)),
+    ex AS (SELECT query_id, ids, unnest(chosen) AS c, unnest(score) AS mmr, generate_subscripts(score, 1) AS rank FROM fin)
+    SELECT query_id, ids[CAST(c AS INTEGER)] AS id, round(mmr, 6) AS mmr, CAST(rank AS BIGINT) AS rank FROM ex""",
+)
 def mmr_rerank(spark, sf):
-    rows = rank.zscore(_signals(spark, sf)).select("query_id", "id", "normalized")
-    return rank.mmr(rows.join(_vectors(spark, sf), "id", "left"), k=20)
+    """The 20 most relevant and diverse of the 50 best candidates of each question."""
+    return rank.mmr(_normalized(spark, sf), _vectors(spark, sf), k=20)
+
+
+@register("mmr_off", f"WITH {_Q}, {_SIGNALS}, {_FINAL} SELECT query_id, id, normalized AS mmr, CAST(rank AS BIGINT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY normalized DESC, id) AS rank FROM z) WHERE rank <= 20")
+def mmr_off(spark, sf):
+    """The order without diversity."""
+    return rank.without_mmr(_normalized(spark, sf), 20)
+
+
+@register("mmr_legacy")
+def mmr_legacy(spark, sf):
+    """The older form of the re-ranking."""
+    return rank.mmr(_normalized(spark, sf), _vectors(spark, sf), k=20, legacy=True)
 
 
 @register(
-    "relevance_pool",
-    f"""WITH ev AS (SELECT DISTINCT ON (event_id) * FROM feedback_events ORDER BY event_id, received_at NULLS LAST),
-    u AS (SELECT mem_id, count(*) AS uses FROM ev WHERE mem_id IS NOT NULL GROUP BY 1),
-    j AS (SELECT {KIND} AS memory_type, m.id, uses FROM memories m JOIN u ON u.mem_id = m.id WHERE {LIVE}),
-    k AS (SELECT *, row_number() OVER (PARTITION BY memory_type ORDER BY uses DESC, id) AS rank FROM j) SELECT memory_type, id, uses, CAST(rank AS BIGINT) AS rank FROM k WHERE rank <= 20""",
+    "mmr_diagnostics",
+    f"WITH o AS ({_SQL['mmr_off']}), m AS ({_SQL['mmr_rerank']}) SELECT query_id, count(*) AS n, count(CASE WHEN m.rank <> o.rank THEN 1 END) AS moved, CAST(sum(abs(m.rank - o.rank)) AS BIGINT) AS total_moves, round(avg(abs(m.rank - o.rank)), 6) AS mean_move FROM o JOIN m USING (query_id, id) GROUP BY 1",
 )
+def mmr_diagnostics(spark, sf):
+    """How far the re-ranking moved the results of each question."""
+    rows = _normalized(spark, sf)
+    return rank.diagnostics(rank.without_mmr(rows, 20), rank.mmr(rows, _vectors(spark, sf), k=20))
+
+
+_POOLED = f"""{EVENTS}, a AS (SELECT mem_id, count(*) AS uses, max(ts) AS last, CAST(sum({DELTA}) AS DOUBLE) AS raw FROM ev WHERE mem_id IS NOT NULL GROUP BY 1),
+    j AS (SELECT {KIND} AS memory_type, m.id, round(uses * 0.5 + 0.3 / (1 + (epoch({NOW}) - floor(epoch(last))) / 86400 / 30) + raw * 0.2, 6) AS relevance FROM memories m JOIN a ON a.mem_id = m.id WHERE {LIVE}),
+    pooled AS (SELECT *, row_number() OVER (PARTITION BY memory_type ORDER BY relevance DESC, id) AS rank FROM j)"""
+
+
+def _pool(spark, sf, most):
+    return retrieve.pool(learn.relevance(table(spark, sf, "feedback_events"), S), table(spark, sf, "memories"), most)
+
+
+@register("relevance_pool", f"WITH {_POOLED} SELECT memory_type, id, relevance, CAST(rank AS BIGINT) AS rank FROM pooled WHERE rank <= {S.top_k}")
 def relevance_pool(spark, sf):
-    """The 20 most used memories of each type."""
-    uses = learn.once(table(spark, sf, "feedback_events")).where("mem_id IS NOT NULL").groupBy(F.col("mem_id").alias("id")).agg(F.count("*").alias("uses"))
-    rows = store.decode(store.live(table(spark, sf, "memories"))).select("id", "memory_type").join(uses, "id")
-    w = Window.partitionBy("memory_type").orderBy(F.desc("uses"), "id")
-    return rows.withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 20").select("memory_type", "id", "uses", "rank")
+    """The most relevant memories of each type, as many as a retrieval gives."""
+    return _pool(spark, sf, S.top_k)
+
+
+@register(
+    "pool_union",
+    f"""WITH {_LEX}, {_Q}, {_UNION}, {_SOURCES}, {_KINDS}, {_POOLED},
+    mine AS (SELECT query_id, id FROM kd JOIN pooled ON memory_type = kind WHERE kind <> 'general' AND rank <= 20), full_ AS (SELECT query_id FROM mine GROUP BY 1 HAVING count(*) >= 20)
+    SELECT query_id, id, 'pool' AS source FROM mine UNION ALL SELECT query_id, id, source FROM won JOIN prio USING (p) WHERE rn = 1 AND query_id NOT IN (SELECT query_id FROM full_)
+      AND NOT EXISTS (SELECT 1 FROM mine WHERE mine.query_id = won.query_id AND mine.id = won.id)""",
+)
+def pool_union(spark, sf):
+    """The pool of each question's type before its candidates; a pool of 20 is enough by itself here."""
+    kinds = routing.classify(rank.understand(table(spark, sf, "questions")))
+    return retrieve.with_pool(union_sources(spark, sf), _pool(spark, sf, 20), kinds, 20)
+
+
+@register("stored_postings", f"WITH {_LEX}, {_BM25} {_top('bm25', 150)}")
+def stored_postings(spark, sf):
+    """The best memories by words from an index that was written and read back."""
+    at = f"{checkpoint_dir(spark).rstrip('/')}/index-{uuid.uuid4().hex}"
+    lexical.Index.build(_docs(spark, sf)).save(at)
+    rows = lexical.top_k(lexical.bm25(lexical.Index.load(spark, at), _terms(spark, sf), S.k1, S.b), S.source_k)
+    return rows.select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))

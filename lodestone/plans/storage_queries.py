@@ -16,6 +16,9 @@ LIVE = "coalesce(tombstone, 0) = 0"
 #: The closed set of types and the default importance, as SQL.
 KIND = f"CASE WHEN memory_type IN ({', '.join(repr(t) for t in vocab.MEMORY_TYPES)}) THEN memory_type ELSE 'general' END"
 IMPORTANCE = "coalesce(nullif(importance, 0), 0.5)"
+#: Feedback events delivered twice count once, and what one event adds, as SQL.
+EVENTS = "ev AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY received_at NULLS LAST) AS rn FROM feedback_events) WHERE rn = 1)"
+DELTA = "CASE lower(user_action) WHEN 'click' THEN 0.5 WHEN 'skip' THEN -0.2 WHEN 'dwell' THEN CASE WHEN duration_ms > 100 THEN least(2.0, ln(duration_ms / 1000 + 1) * 0.5) ELSE 0 END ELSE 0 END"
 
 
 def expected_ids(spark, sf):

@@ -37,9 +37,9 @@ def relationships(text: Column, entities: Column) -> Column:
     return F.when(n < 2, F.array().cast(_EDGE)).when(F.size(cued) > 0, cued).otherwise(chain)
 
 
-def enrich(texts: DataFrame, now: str = Settings().now) -> DataFrame:
+def enrich(texts: DataFrame, now: str = Settings().now, plugins=None) -> DataFrame:
     """(text, ...) with all derived columns of a memory but its id."""
-    rows = texts.where("text IS NOT NULL AND text <> ''").withColumns({"entities": T.entities(F.col("text")), "_fact": T.fact(F.col("text")), "tokens": T.store_tokens(F.col("text"))})
+    rows = texts.where("text IS NOT NULL AND text <> ''").withColumns({"entities": plugins.entities(F.col("text"), T.entities(F.col("text"))) if plugins is not None else T.entities(F.col("text")), "_fact": T.fact(F.col("text")), "tokens": T.store_tokens(F.col("text"))})
     importance = S.importance(F.col("text"), T.has_importance_cue(F.col("text")), F.lit(False), F.lit("semantic"), F.lit(None).cast("double"), F.lit(None).cast("timestamp"), F.lit(0), now)
     fact_edge = F.array(F.struct(F.col("_fact.subject").alias("source"), F.col("_fact.attribute").alias("relation"), F.col("_fact.value").alias("target")))
     return rows.select(
@@ -59,9 +59,9 @@ def enrich(texts: DataFrame, now: str = Settings().now) -> DataFrame:
     )
 
 
-def store_many(memories: DataFrame, texts: DataFrame, order: str, now: str = Settings().now) -> DataFrame:
+def store_many(memories: DataFrame, texts: DataFrame, order: str, now: str = Settings().now, plugins=None) -> DataFrame:
     """The new rows for ``texts``, with ids above those of ``memories``, ready to be appended."""
-    return store.insert_many(memories, enrich(texts, now), order)
+    return store.insert_many(memories, enrich(texts, now, plugins), order)
 
 
 def append(rows: DataFrame, path: str) -> None:

@@ -78,12 +78,14 @@ def pages(spark: SparkSession, path: str, page_limit: int = 100, least: int = 50
     return files.select("path", "content").mapInPandas(run, "source_file string, page int, total_pages int, text string")
 
 
-def code_files(spark: SparkSession, path: str, max_bytes: int = 5 << 20) -> DataFrame:
-    """(path, language, text) of the source files of a folder; ignored folders, large and binary files are left out."""
+def code_files(spark: SparkSession, path: str, max_bytes: int = 5 << 20, max_files: int | None = None) -> DataFrame:
+    """(path, language, text) of the source files of a folder, at most the first ``max_files`` by path; ignored folders, large and binary files are left out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     language = F.create_map(*[x for k, v in LANGUAGES.items() for x in (F.lit(k), F.lit(v))])[F.lower(F.regexp_extract("path", r"\.(\w+)$", 1))]
     hidden = F.rlike("path", F.lit("/(" + "|".join(re.escape(i) for i in IGNORED) + ")/"))
     rows = files.where((F.col("length") <= max_bytes) & ~hidden).withColumn("language", language).where("language IS NOT NULL")
+    if max_files is not None:
+        rows = rows.join(rows.select("path").orderBy("path").limit(max_files), "path", "left_semi")
     rows = rows.where(F.instr(F.hex(F.substring("content", 1, 1024)), "00") % 2 == 0)
     return rows.select("path", "language", F.try_validate_utf8(F.col("content").cast("string")).alias("text")).where("text IS NOT NULL")
 
