@@ -45,6 +45,17 @@ def sigmoid(x: Column, scale: float = 1.0) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-x / scale))
 
 
+def linear_relevance(x: Column) -> Column:
+    """The other form of the relevance: a fifth of the normalised score between 0 and 1."""
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x / 5))
+
+
+def entity_boost(query: Column, memory: Column) -> Column:
+    """Half a point for each entity that both name; only shown, never ranked by."""
+    lower = lambda x: F.array_distinct(F.transform(F.coalesce(x, F.array().cast("array<string>")), F.lower))
+    return F.size(F.array_intersect(lower(query), lower(memory))) * 0.5
+
+
 def final_score(normalized: Column, importance: Column, recency_score: Column, attribute_boost: Column, bm25: Column, weights: dict | None = None) -> Column:
     """The final score; diversity is not known yet and counts as none."""
     w = weights or vocab.FINAL_WEIGHTS

@@ -83,6 +83,14 @@ def ring(rows: DataFrame, partition: list[str], order: list, keep: int) -> DataF
     return rows.withColumn("rn", F.row_number().over(Window.partitionBy(*partition).orderBy(*order)).cast("long")).where(F.col("rn") <= keep)
 
 
+def history(events: DataFrame, kept: int = 50, after_skip: int = 30) -> DataFrame:
+    """The latest events of each query, fewer once one of its results was skipped."""
+    own = once(events).where("query_text IS NOT NULL")
+    skipped = own.where(F.lower("user_action") == "skip").select("query_text").distinct().withColumn("_skipped", F.lit(True))
+    rows = ring(own, ["query_text"], [F.desc("ts"), F.desc("event_id")], kept).join(skipped, "query_text", "left")
+    return rows.where(F.col("_skipped").isNull() | (F.col("rn") <= after_skip)).drop("_skipped", "rn")
+
+
 def adapt(deltas: DataFrame, step: float = 0.02) -> DataFrame:
     """(signal, weight): the weights after one step against the mean deltas (signal, delta), within bounds and summing to about 1."""
     start = deltas.sparkSession.createDataFrame(sorted(vocab.START_WEIGHTS.items()), "signal string, weight double")

@@ -94,6 +94,18 @@ def bm25(docs: DataFrame | Index, terms: DataFrame, k1: float = 1.5, b: float =
     return hits.repartition("query_id").groupBy("query_id", "id").agg(F.round(F.sum("gain"), 6).alias("score"))
 
 
+def bm25_isolated(docs: DataFrame, terms: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """(query_id, id, score) where each query has texts (query_id, id, text) of its own, and statistics of those alone."""
+    toks = cut_lineage(docs.select("query_id", "id", T.words(F.col("text")).alias("tokens")).withColumn("dl", F.size("tokens")).where("dl > 0"))
+    stats = toks.groupBy("query_id").agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
+    words = toks.select("query_id", "id", "dl", F.explode("tokens").alias("term")).join(terms, ["query_id", "term"]).groupBy("query_id", "term", "qtf", "id", "dl").agg(F.count("*").alias("tf"))
+    words = cut_lineage(words)
+    df = words.groupBy("query_id", "term").agg(F.count("*").alias("df"))
+    idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    gain = F.col("qtf") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    return words.join(df, ["query_id", "term"]).join(stats, "query_id").groupBy("query_id", "id").agg(F.round(F.sum(gain), 6).alias("score"))
+
+
 def tfidf(docs: DataFrame | Index, terms: DataFrame) -> DataFrame:
     """(query_id, id, score): the mean over a query's distinct words of their share of the text times their rarity."""
     tf, df, stats = _matched(docs, terms)

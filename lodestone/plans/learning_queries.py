@@ -182,20 +182,26 @@ _DELTAS = f"""r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY
   dl AS ({' UNION ALL '.join(f"SELECT '{s}' AS signal, round(avg({s}), 6) AS delta, count(*) AS n FROM pr" for s in _NAMES)})"""
 
 
+#: The signals of the union of all sources, in place of the given candidates.
+_OWN = f"{R._LEX}, {R._Q}, {R._UNION}, " + R._SIGNALS.replace("c AS (SELECT query_id, memory_id AS id, min(distance) AS distance, max(coalesce(bm25_score, 0)) AS bm25 FROM candidates GROUP BY 1, 2)", "c AS (SELECT query_id, id, distance, CAST(0 AS DOUBLE) AS bm25 FROM won WHERE rn = 1)")
+
+
 def _deltas(spark, sf):
-    rows = R._signals(spark, sf)
+    found = R.union_sources(spark, sf).select("query_id", "id", "distance", F.lit(0.0).alias("bm25"))
+    rows = rank.base_score(rank.signals(found, table(spark, sf, "memories"), rank.understand(table(spark, sf, "questions"))))
     ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("base"), "id")))
     return evaluate.signal_deltas(ranked.select("query_id", "id", "rank", *_NAMES), table(spark, sf, "questions"), _NAMES)
 
 
-@register("failure_signal_delta", f"WITH {R._Q}, {R._SIGNALS}, {_DELTAS} SELECT signal, CAST(delta AS DOUBLE) AS delta, n FROM dl WHERE n > 0")
+@register("failure_signal_delta", f"WITH {_OWN}, {_DELTAS} SELECT signal, CAST(delta AS DOUBLE) AS delta, n FROM dl WHERE n > 0")
 def failure_signal_delta(spark, sf):
+    """By how much the first result leads the expected one in each signal, where that ranks below 3; over the candidates of all sources."""
     return _deltas(spark, sf)
 
 
 @register(
     "adaptive_weights",
-    f"""WITH {R._Q}, {R._SIGNALS}, {_DELTAS}, w0(signal, weight) AS (VALUES {', '.join(f"('{k}', CAST({v} AS DOUBLE))" for k, v in sorted(START_WEIGHTS.items()))}),
+    f"""WITH {_OWN}, {_DELTAS}, w0(signal, weight) AS (VALUES {', '.join(f"('{k}', CAST({v} AS DOUBLE))" for k, v in sorted(START_WEIGHTS.items()))}),
     mv AS (SELECT signal, CASE WHEN delta IS NULL THEN weight ELSE least(0.5, greatest(0.01, weight - 0.02 * delta / (abs(delta) + 0.001))) END AS weight FROM w0 LEFT JOIN dl USING (signal))
     SELECT signal, round(greatest(0.01, least(0.5, weight / (SELECT sum(weight) FROM mv))), 6) AS weight FROM mv""",
 )
@@ -222,18 +228,33 @@ def _vectors(spark, sf):
 def consolidate_clusters(spark, sf):
     """Clusters of similar memories within batches of 500, merged."""
     rows = maintain.merge_clusters(table(spark, sf, "memories"), maintain.clusters(_vectors(spark, sf), S))
-    return rows.select("cluster", "keep_id", "n", "importance", F.size("entities").cast("long").alias("n_entities"))
+    return rows.select("cluster", "keep_id", "n", "importance", F.size("entities").cast("long").alias("n_entities"), F.size("relationships").cast("long").alias("n_relationships"))
+
+
+@register(
+    "apply_merges",
+    f"""WITH m AS (SELECT id, subject, attribute, {IMPORTANCE} AS importance FROM memories WHERE {LIVE} AND subject IS NOT NULL AND attribute IS NOT NULL),
+    g AS (SELECT subject, attribute, count(*) AS n, max(importance) AS top, arg_max(id, (importance, -id)) AS keep_id FROM m GROUP BY 1, 2 HAVING count(*) > 1)
+    SELECT o.id, round(CASE WHEN o.id = keep_id THEN least(1.0, top + 0.1) ELSE o.importance END, 6) AS importance, CASE WHEN m.id IS NOT NULL AND keep_id IS NOT NULL AND o.id <> keep_id THEN 1 ELSE coalesce(tombstone, 0) END AS tombstone
+    FROM memories o LEFT JOIN m USING (id) LEFT JOIN g ON g.subject = m.subject AND g.attribute = m.attribute""",
+)
+def apply_merges(spark, sf):
+    """The table after those merges are made."""
+    mem = table(spark, sf, "memories")
+    labels = store.live(mem).where("subject IS NOT NULL AND attribute IS NOT NULL").select("id", F.struct("subject", "attribute").alias("cluster"))
+    return maintain.apply_merges(mem, labels).select("id", F.round("importance", 6).alias("importance"), F.coalesce("tombstone", F.lit(0)).alias("tombstone"))
 
 
 @register(
     "merge_by_subject",
-    f"""WITH m AS (SELECT id, subject, {IMPORTANCE} AS importance, coalesce(entities, []) AS entities FROM memories WHERE {LIVE} AND subject IS NOT NULL AND attribute = 'city'),
-    g AS (SELECT subject, count(*) AS n, max(importance) AS top, arg_max(id, (importance, -id)) AS keep_id FROM m GROUP BY 1),
-    u AS (SELECT subject, count(DISTINCT e) AS n_entities FROM (SELECT subject, unnest(entities) AS e FROM m) GROUP BY 1)
-    SELECT g.subject, keep_id, n, round(least(1.0, top + 0.1), 6) AS importance, coalesce(n_entities, 0) AS n_entities FROM g LEFT JOIN u USING (subject) WHERE n > 1""",
+    f"""WITH m AS (SELECT id, subject, attribute, {IMPORTANCE} AS importance, coalesce(entities, []) AS entities, relationships FROM memories WHERE {LIVE} AND subject IS NOT NULL AND attribute IS NOT NULL),
+    g AS (SELECT subject, attribute, count(*) AS n, max(importance) AS top, arg_max(id, (importance, -id)) AS keep_id FROM m GROUP BY 1, 2),
+    u AS (SELECT subject, attribute, string_agg(DISTINCT e, ' | ' ORDER BY e) AS entities FROM (SELECT subject, attribute, unnest(entities) AS e FROM m) GROUP BY 1, 2),
+    r AS (SELECT subject, attribute, count(DISTINCT r) AS relationships FROM (SELECT subject, attribute, unnest(relationships) AS r FROM m) GROUP BY 1, 2)
+    SELECT g.subject, g.attribute, keep_id, n, round(least(1.0, top + 0.1), 6) AS importance, coalesce(entities, '') AS entities, coalesce(relationships, 0) AS relationships FROM g LEFT JOIN u USING (subject, attribute) LEFT JOIN r USING (subject, attribute) WHERE n > 1""",
 )
 def merge_by_subject(spark, sf):
-    """The merge step of consolidation on the memories that state the city of one subject."""
-    mem = table(spark, sf, "memories").where("subject IS NOT NULL AND attribute = 'city'")
-    rows = maintain.merge_clusters(mem, mem.select("id", F.col("subject").alias("cluster")))
-    return rows.select(F.col("cluster").alias("subject"), "keep_id", "n", "importance", F.size("entities").cast("long").alias("n_entities"))
+    """The merge step of consolidation on the memories that state one attribute of one subject."""
+    mem = table(spark, sf, "memories").where("subject IS NOT NULL AND attribute IS NOT NULL")
+    rows = maintain.merge_clusters(mem, mem.select("id", F.struct("subject", "attribute").alias("cluster")))
+    return rows.select("cluster.subject", "cluster.attribute", "keep_id", "n", "importance", F.array_join("entities", " | ").alias("entities"), F.size("relationships").cast("long").alias("relationships"))

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lodestone.functions import vocab
+from lodestone.functions import scores, vocab
 from lodestone.functions.vocab import Settings
 from lodestone.operators import rank
 from lodestone.operators.signals import SignalRegistry
-from lodestone.operators import evaluate, lexical
+from lodestone.operators import evaluate, learn, lexical
 from lodestone.plans import retrieval_queries as R
 from lodestone.plans.learning_queries import _PIPE, _RECALL, _ranks
-from lodestone.plans.storage_queries import EXPECTED, LIVE, expected_ids
+from lodestone.plans.storage_queries import DELTA, EVENTS, EXPECTED, LIVE, NOW, expected_ids
+from lodestone.plans.text_queries import WORDS
 from lodestone.queries import register
 from lodestone.session import table
 from lodestone.sources import sinks
@@ -28,13 +30,13 @@ def signal_weights(spark, sf):
 @register(
     "vector_fetch",
     f"""WITH v AS (SELECT memory_id, min(embedding) AS e FROM candidates WHERE len(embedding) > 0 GROUP BY 1)
-    SELECT DISTINCT i.id, v.e IS NOT NULL AS has_vector, round(CAST(v.e[1] AS DOUBLE), 6) AS first_component FROM {EXPECTED} i LEFT JOIN v ON v.memory_id = i.id WHERE i.id IS NOT NULL""",
+    SELECT DISTINCT i.id, array_to_string(list_transform(v.e, lambda x: CAST(round(x * 512) AS BIGINT)), ' ') AS steps FROM {EXPECTED} i LEFT JOIN v ON v.memory_id = i.id WHERE i.id IS NOT NULL""",
 )
 def vector_fetch(spark, sf):
-    """The stored vectors of the memories that questions expect; none where nothing is stored."""
+    """The stored vectors, as multiples of 1/512, of the memories that questions expect; null where nothing is stored."""
     vec = table(spark, sf, "candidates").where(F.size("embedding") > 0).groupBy(F.col("memory_id").alias("id")).agg(F.min("embedding").alias("e"))
     ids = expected_ids(spark, sf).where("id IS NOT NULL").distinct()
-    return ids.join(vec, "id", "left").select("id", F.col("e").isNotNull().alias("has_vector"), F.round(F.get("e", F.lit(0)).cast("double"), 6).alias("first_component"))
+    return ids.join(vec, "id", "left").select("id", F.array_join(F.transform("e", lambda x: F.round(x * 512).cast("long").cast("string")), " ").alias("steps"))
 
 
 @register(
@@ -83,16 +85,117 @@ def recall_of_own_retrieval(spark, sf):
     return evaluate.recall_at(evaluate.expected_rank(shown, questions), by=["family"])
 
 
+def world_engine(spark, people: int = 500):
+    """(engine over a generated world, its questions): the texts are ingested as any others, and the graph has what ingestion finds."""
+    from lodestone.api import Engine
+    from lodestone.session import cut_lineage
+    from lodestone.sources import ingest
+    from lodestone.sources.world import World
+
+    own = World(spark, people)
+    memories = cut_lineage(ingest.enrich(own.memories().select("id", "text")).withColumn("last_accessed", F.col("created_at")))
+    found = memories.select(F.col("id").alias("memory_id"), F.explode("relationships").alias("r"))
+    edges = found.select((F.col("memory_id") * 1000 + F.row_number().over(Window.partitionBy("memory_id").orderBy("r"))).alias("id"), "memory_id", "r.source", "r.relation", "r.target", F.lit(1.0).alias("weight"))
+    edges = edges.unionByName(own.edges().withColumn("id", F.col("id") * 1000))
+    return Engine(spark, memories, edges=cut_lineage(edges)), cut_lineage(own.questions())
+
+
 @register("world_recall")
 def world_recall(spark, sf):
-    """Recall on a generated world of 200 people, whose questions have answers among its memories."""
+    """Recall by family on a generated world of 500 people, retrieved and ranked by the engine from the texts alone."""
+    engine, questions = world_engine(spark)
+    return engine.evaluate(questions, engine.recall(questions), ["family"])
+
+
+@register(
+    "isolated_bm25",
+    f"""WITH docs AS (SELECT DISTINCT query_id, memory_id AS id FROM candidates), toks AS (SELECT d.query_id, d.id, {WORDS.format('text')} AS tokens FROM docs d JOIN memories m ON m.id = d.id WHERE {LIVE}),
+    sized AS (SELECT *, len(tokens) AS dl FROM toks WHERE len(tokens) > 0), stats AS (SELECT query_id, count(*) AS n_docs, avg(dl) AS avgdl FROM sized GROUP BY 1),
+    w AS (SELECT query_id, id, dl, unnest(tokens) AS term FROM sized), tf AS (SELECT query_id, id, dl, term, count(*) AS tf FROM w GROUP BY ALL), df AS (SELECT query_id, term, count(*) AS df FROM tf GROUP BY 1, 2), {R._QT}
+    SELECT query_id, id, round(sum(qtf * ln((n_docs - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM tf JOIN qt USING (query_id, term) JOIN df USING (query_id, term) JOIN stats USING (query_id) GROUP BY 1, 2""",
+)
+def isolated_bm25(spark, sf):
+    """Each question against its own candidates only: all statistics are those of its own texts."""
+    own = table(spark, sf, "candidates").select("query_id", F.col("memory_id").alias("id")).distinct()
+    return lexical.bm25_isolated(own.join(R._docs(spark, sf), "id"), R._terms(spark, sf))
+
+
+@register(
+    "expected_by_source",
+    f"""WITH {R._LEX}, {R._Q}, {R._UNION}, {R._SOURCES}, ids AS (SELECT DISTINCT question_id AS query_id, TRY_CAST(unnest(expected_ids) AS BIGINT) AS id FROM questions)
+    SELECT source, count(*) AS candidates, count(ids.id) AS expected FROM won JOIN prio USING (p) LEFT JOIN ids ON ids.query_id = won.query_id AND ids.id = won.id WHERE rn = 1 GROUP BY 1""",
+)
+def expected_by_source(spark, sf):
+    """How many candidates and how many expected memories come from each source."""
+    want = table(spark, sf, "questions").select(F.col("question_id").alias("query_id"), F.explode("expected_ids").alias("e")).select("query_id", F.expr("try_cast(e AS bigint)").alias("id"), F.lit(1).alias("hit")).distinct()
+    return R.union_sources(spark, sf).join(want, ["query_id", "id"], "left").groupBy("source").agg(F.count("*").alias("candidates"), F.count("hit").alias("expected"))
+
+
+@register(
+    "rank_distribution",
+    f"WITH RECURSIVE {_PIPE} SELECT family, CAST(rank AS BIGINT) AS rank, count(*) AS questions FROM rk GROUP BY 1, 2",
+)
+def rank_distribution(spark, sf):
+    """The rank of the expected memory by family; null where it was not found."""
+    return _ranks(spark, sf).groupBy("family", "rank").agg(F.count("*").alias("questions"))
+
+
+@register(
+    "formatted_results",
+    f"""WITH RECURSIVE {_PIPE} SELECT res.query_id, res.rank, CAST(res.id AS VARCHAR) AS id, m.text, coalesce(m.normalized_text, m.text) AS normalized_text FROM res JOIN memories m USING (id) WHERE rank <= {S.response_limit}""",
+)
+def formatted_results(spark, sf):
+    """Results in the form that adapters read."""
+    rows = rank.recall(table(spark, sf, "questions"), table(spark, sf, "candidates"), table(spark, sf, "memories"), S)
+    return sinks.formatted(rows, table(spark, sf, "memories")).select("query_id", "rank", "id", "text", "normalized_text")
+
+
+@register(
+    "auto_store",
+    """WITH c AS (SELECT query_id, memory_id AS id, max(final_score) AS score FROM candidates WHERE final_score >= 0.7 GROUP BY 1, 2) SELECT query_id, id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM c) WHERE r <= 5""",
+)
+def auto_store(spark, sf):
+    """The five best results of each question that are good enough to be stored."""
     from lodestone.api import Engine
-    from lodestone.session import cut_lineage
-    from lodestone.sources import ingest, readers
-
-    facts = readers.world(spark, 200)
-    rows = facts.select((F.col("person_id") * 16 + F.when(F.col("attribute") == "city", 0).when(F.col("attribute") == "job", 1).when(F.col("attribute") == "food", 2).otherwise(3)).alias("id"), "text")
-    memories = cut_lineage(ingest.enrich(rows).withColumn("last_accessed", F.col("created_at")))
-    questions = cut_lineage(readers.questions_of(facts).withColumn("expected_ids", F.array().cast("array<string>")))
-    engine = Engine(spark, memories)
-    return engine.evaluate(questions, engine.recall(questions))
+
+    best = table(spark, sf, "candidates").groupBy("query_id", F.col("memory_id").alias("id")).agg(F.max("final_score").alias("score"))
+    return Engine.open(spark, sf).worth_storing(best, "query_id").select("query_id", "id", F.round("score", 6).alias("score"))
+
+
+@register(
+    "auto_clicks",
+    f"""WITH RECURSIVE {_PIPE} SELECT id AS mem_id, query_text, 'click' AS user_action FROM res JOIN questions ON question_id = query_id WHERE rank = 1""",
+)
+def auto_clicks(spark, sf):
+    """The events that a click on the first result of each question would be."""
+    from lodestone.api import Engine
+
+    engine, questions = Engine.open(spark, sf), table(spark, sf, "questions")
+    return engine.clicks_of(questions, engine.recall(questions, table(spark, sf, "candidates"))).select("mem_id", "query_text", "user_action")
+
+
+@register(
+    "history_caps",
+    f"""WITH {EVENTS}, r AS (SELECT event_id, query_text, lower(user_action) AS a, row_number() OVER (PARTITION BY query_text ORDER BY ts DESC, event_id DESC) AS r FROM ev WHERE query_text IS NOT NULL),
+    n AS (SELECT query_text, max(CASE WHEN a = 'skip' THEN 1 ELSE 0 END) AS skipped FROM r GROUP BY 1) SELECT query_text, count(*) AS kept FROM r JOIN n USING (query_text) WHERE r <= CASE WHEN skipped = 1 THEN 30 ELSE 50 END GROUP BY 1""",
+)
+def history_caps(spark, sf):
+    """The events that are kept of each query: the last 50, or 30 once something was skipped."""
+    return learn.history(table(spark, sf, "feedback_events")).groupBy("query_text").agg(F.count("*").alias("kept"))
+
+
+@register("top_relevant", f"WITH {EVENTS}, a AS (SELECT mem_id, count(*) AS uses, max(ts) AS last, CAST(sum({DELTA}) AS DOUBLE) AS raw FROM ev WHERE mem_id IS NOT NULL GROUP BY 1), r AS (SELECT mem_id, round(uses * 0.5 + 0.3 / (1 + (epoch({NOW}) - floor(epoch(last))) / 86400 / 30) + raw * 0.2, 6) AS relevance FROM a) SELECT mem_id, relevance FROM r ORDER BY relevance DESC, mem_id LIMIT 25")
+def top_relevant(spark, sf):
+    """The most relevant memories of all types."""
+    return learn.relevance(table(spark, sf, "feedback_events"), S).select("mem_id", "relevance").orderBy(F.desc("relevance"), "mem_id").limit(25)
+
+
+@register(
+    "linear_relevance",
+    f"WITH {R._Q}, {R._SIGNALS}, {R._FINAL} SELECT query_id, id, round(greatest(0.0, least(1.0, normalized / 5)), 6) AS relevance, CAST(0.5 * len(list_intersect(q_ents, list_distinct(list_transform(coalesce(entities, []), lambda x: lower(x))))) AS DOUBLE) AS entity_boost FROM z JOIN q USING (query_id) JOIN (SELECT id, entities FROM memories) USING (id)",
+)
+def linear_relevance(spark, sf):
+    """The linear form of the relevance, and the boost of shared entities that is shown beside it."""
+    rows = rank.zscore(R._signals(spark, sf))
+    shown = scores.entity_boost(F.col("q_entities"), F.col("m_entities"))
+    return rows.select("query_id", "id", F.round(scores.linear_relevance(F.col("normalized")), 6).alias("relevance"), shown.alias("entity_boost"))

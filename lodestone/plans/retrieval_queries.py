@@ -77,10 +77,10 @@ def postings_stats(spark, sf):
 
 @register(
     "term_positions",
-    f"WITH {_TOKS}, p AS (SELECT id, unnest(tokens) AS term, generate_subscripts(tokens, 1) - 1 AS pos FROM toks) SELECT term, id, CAST(min(pos) AS BIGINT) AS first_pos, count(*) AS tf FROM p GROUP BY 1, 2",
+    f"WITH {_TOKS}, p AS (SELECT id, unnest(tokens) AS term, generate_subscripts(tokens, 1) - 1 AS pos FROM toks) SELECT term, id, array_to_string(list(pos ORDER BY pos), ' ') AS positions, count(*) AS tf FROM p GROUP BY 1, 2",
 )
 def term_positions(spark, sf):
-    return lexical.positions(_docs(spark, sf)).groupBy("term", "id").agg(F.min("pos").cast("long").alias("first_pos"), F.count("*").alias("tf"))
+    return lexical.positions(_docs(spark, sf)).groupBy("term", "id").agg(F.array_join(F.sort_array(F.collect_list("pos")).cast("array<string>"), " ").alias("positions"), F.count("*").alias("tf"))
 
 
 @register("bool_or", f"WITH {_LEX} SELECT DISTINCT query_id, id FROM qt JOIN tf USING (term)")
@@ -139,14 +139,14 @@ def knn_l2_topk(spark, sf):
 
 @register(
     "cosine_topk",
-    f"WITH {_VEC}, d AS (SELECT query_id, id, round({_COS}, 6) AS similarity FROM q, v) SELECT query_id, similarity, CAST(rank AS BIGINT) AS rank FROM ({_top('d', 10, 'similarity')})",
+    f"WITH {_VEC}, d AS (SELECT query_id, id, round({_COS}, 6) AS similarity FROM q, v) {_top('d', 10, 'similarity')}",
 )
 def cosine_topk(spark, sf):
-    """The similarities of the 10 most similar; ids may change places where rounding makes them equal."""
+    """The 10 most similar by rounded similarity, then id."""
     vec = _vectors(spark, sf)
     queries = vec.where(F.pmod("id", F.lit(100)) == 0).select(F.col("id").alias("query_id"), "embedding")
     rows = vector.knn(vec, queries, 10, "cosine")
-    return rows.select("query_id", (-F.col("distance")).alias("similarity"), F.col("rank").cast("long").alias("rank"))
+    return rows.select("query_id", "id", (-F.col("distance")).alias("similarity"), F.col("rank").cast("long").alias("rank"))
 
 
 @register(
@@ -175,10 +175,15 @@ def embedding_similar(spark, sf):
 @register(
     "vector_distance_check",
     """WITH v AS (SELECT memory_id AS id, min(embedding) AS e FROM candidates WHERE len(embedding) = 64 GROUP BY 1)
-    SELECT id, round(list_sum(list_transform(e, lambda x: CAST(x AS DOUBLE) * x)), 6) AS norm2 FROM v""",
+, p AS (SELECT id, e, lead(id) OVER (ORDER BY id) AS next_id, lead(e) OVER (ORDER BY id) AS qe FROM v)
+    SELECT id, next_id, round(list_sum(list_transform(list_zip(qe, e), lambda p: (CAST(p[1] AS DOUBLE) - p[2]) * (CAST(p[1] AS DOUBLE) - p[2]))), 6) AS l2, round(list_cosine_similarity(CAST(qe AS DOUBLE[]), CAST(e AS DOUBLE[])), 6) AS cosine FROM p WHERE next_id IS NOT NULL""",
 )
 def vector_distance_check(spark, sf):
-    return _vectors(spark, sf).select("id", F.round(SC.dot(F.col("embedding"), F.col("embedding")), 6).alias("norm2"))
+    """Both distances between each vector and the one with the next id."""
+    rows = store.number(_vectors(spark, sf), "id")
+    after = rows.select((F.col("number") - 1).alias("number"), F.col("id").alias("next_id"), F.col("embedding").alias("other"))
+    a, b = F.col("embedding"), F.col("other")
+    return rows.join(after, "number").select("id", "next_id", F.round(SC.l2_squared(a, b), 6).alias("l2"), F.round(SC.cosine(a, b), 6).alias("cosine"))
 
 
 _Q = f"""ents AS ({entities_sql('questions', 'question_id', 'query_text', sql_list(STOP))}),

@@ -12,6 +12,7 @@ from lodestone.plans.text_queries import SPACED, _fact_sql, entities_sql
 from lodestone.queries import register
 from lodestone.session import checkpoint_dir, table
 from lodestone.sources import ingest, readers
+from lodestone.sources.world import World
 from lodestone.streaming import feedback
 
 
@@ -22,11 +23,11 @@ from lodestone.streaming import feedback
     c AS (SELECT doc_id, i, n, s AS chunk, length(s) >= 1000 AS done FROM s WHERE i = 1
       UNION ALL SELECT s.doc_id, s.i, s.n, CASE WHEN c.done OR c.chunk = '' THEN s.s ELSE c.chunk || ' ' || s.s END, length(CASE WHEN c.done OR c.chunk = '' THEN s.s ELSE c.chunk || ' ' || s.s END) >= 1000
       FROM c JOIN s ON s.doc_id = c.doc_id AND s.i = c.i + 1)
-    SELECT doc_id, count(*) AS chunks, CAST(sum(length(chunk)) AS BIGINT) AS characters FROM c WHERE (done OR (i = n AND chunk <> '')) AND length(chunk) >= 50 GROUP BY 1""",
+    SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS BIGINT) AS n, chunk FROM c WHERE (done OR (i = n AND chunk <> '')) AND length(chunk) >= 50""",
 )
 def sentence_chunks(spark, sf):
-    rows = table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", F.explode(readers.sentence_chunks(F.col("text"))).alias("chunk"))
-    return rows.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.sum(F.length("chunk")).alias("characters"))
+    rows = table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", F.posexplode(readers.sentence_chunks(F.col("text"))).alias("n", "chunk"))
+    return rows.withColumn("n", F.col("n").cast("long"))
 
 
 @register(
@@ -63,14 +64,22 @@ def ingest_relationships(spark, sf):
 
 @register("synthetic_world")
 def synthetic_world(spark, sf):
-    return readers.world(spark, 500).groupBy("attribute", "value").agg(F.count("*").alias("people"))
+    """The memories of a generated world of 500 people by kind."""
+    return World(spark, 500).memories().groupBy("kind").agg(F.count("*").alias("memories"), F.count_if(T.has_importance_cue(F.col("text"))).alias("with_cue"))
+
+
+@register("world_people")
+def world_people(spark, sf):
+    """People of the generated world by city and by job."""
+    facts = World(spark, 500).facts().where("attribute IN ('city', 'job')")
+    return facts.groupBy("attribute", "value").agg(F.count("*").alias("people"))
 
 
 @register("code_symbols")
 def code_symbols(spark, sf):
     """Functions, classes and imports in the code among the documents."""
-    rows = table(spark, sf, "documents").where(F.rlike("text", F.lit("(?m)^(def|class|import|from) "))).select(F.col("doc_id").cast("string").alias("path"), F.lit("python").alias("language"), "text")
-    return readers.symbols(rows).groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("name").alias("names"))
+    rows = table(spark, sf, "documents").where("text IS NOT NULL").select(F.col("doc_id").cast("string").alias("path"), readers.language_of(F.col("text")).alias("language"), "text")
+    return readers.symbols(rows.where("language IS NOT NULL")).groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("name").alias("names"))
 
 
 def _stream(spark, sf):
@@ -111,3 +120,26 @@ def analyzer_round_trip(spark, sf):
     """Texts whose analysed words change with compatibility folding, by number."""
     rows = table(spark, sf, "documents").where("text IS NOT NULL").select(T.words(F.col("text")).alias("a"), T.words(T.fold_case(F.col("text"))).alias("b"))
     return rows.groupBy((F.col("a") == F.col("b")).alias("same")).agg(F.count("*").alias("n"))
+
+
+@register("code_display", "SELECT doc_id, substr('document ' || source || ' in ' || lang || ': ' || text, 1, 2000) AS shown FROM documents WHERE text IS NOT NULL AND source IS NOT NULL AND lang IS NOT NULL")
+def code_display(spark, sf):
+    """The capped text under which a symbol or a document is stored."""
+    rows = table(spark, sf, "documents").where("text IS NOT NULL AND source IS NOT NULL AND lang IS NOT NULL")
+    return rows.select("doc_id", readers.display(F.lit("document"), F.col("source"), F.col("text"), F.col("lang")).alias("shown"))
+
+
+@register(
+    "stream_sessions",
+    f"""WITH {_EV}, c AS (SELECT session_id, ts, lag(ts) OVER (PARTITION BY session_id ORDER BY ts) AS before FROM ev WHERE lower(user_action) = 'click' AND session_id IS NOT NULL),
+    s AS (SELECT *, sum(CASE WHEN before IS NULL OR ts >= before + INTERVAL 30 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM c)
+    SELECT session_id, CAST(epoch(min(ts)) * 1000 AS BIGINT) AS start_ms, count(*) AS clicks FROM s GROUP BY session_id, n""",
+)
+def stream_sessions(spark, sf):
+    """Clicks by session, ended by half an hour without one, from the stream of events."""
+    at = f"{checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    rows = feedback.session_clicks(_stream(spark, sf).where("session_id IS NOT NULL"))
+    feedback.run_to_folder(rows, f"{at}/out", f"{at}/state", "complete").awaitTermination()
+    last = spark.read.parquet(f"{at}/out")
+    newest = last.agg(F.max("epoch").alias("epoch"))
+    return last.join(F.broadcast(newest), "epoch").select("session_id", F.unix_millis("start").alias("start_ms"), "clicks")

@@ -94,11 +94,11 @@ def record_projection(spark, sf):
 
 @register(
     "soft_delete_view",
-    f"SELECT count(*) AS live_rows FROM memories WHERE {LIVE} AND id NOT IN (SELECT memory_id FROM graph_edges WHERE source = target AND memory_id IS NOT NULL)",
+    f"SELECT id, text FROM memories WHERE {LIVE} AND id NOT IN (SELECT memory_id FROM graph_edges WHERE source = target AND memory_id IS NOT NULL)",
 )
 def soft_delete_view(spark, sf):
     gone = table(spark, sf, "graph_edges").where("source = target").select(F.col("memory_id").alias("id"))
-    return store.live(store.soft_delete(table(spark, sf, "memories"), gone)).agg(F.count("*").alias("live_rows"))
+    return store.live(store.soft_delete(table(spark, sf, "memories"), gone)).select("id", "text")
 
 
 @register(
@@ -147,14 +147,25 @@ def prune_candidates(spark, sf):
 
 @register(
     "typed_filter_fallback",
-    f"""WITH c AS (SELECT DISTINCT c.query_id, m.id, {KIND} AS memory_type FROM candidates c JOIN memories m ON m.id = c.memory_id WHERE {LIVE}),
-    t AS (SELECT *, sum(CASE WHEN memory_type = 'episodic' THEN 1 ELSE 0 END) OVER (PARTITION BY query_id) AS n FROM c)
-    SELECT query_id, id FROM t WHERE n = 0 OR memory_type = 'episodic'""",
+    f"""WITH c AS (SELECT DISTINCT c.query_id, m.id, {KIND} AS memory_type, CASE family WHEN 'temporal' THEN 'episodic' WHEN 'attribute' THEN 'semantic' WHEN 'summary' THEN 'science' ELSE 'general' END AS hint
+      FROM candidates c JOIN memories m ON m.id = c.memory_id JOIN questions ON question_id = query_id WHERE {LIVE}),
+    t AS (SELECT *, sum(CASE WHEN memory_type = hint THEN 1 ELSE 0 END) OVER (PARTITION BY query_id) AS n FROM c)
+    SELECT query_id, id FROM t WHERE n = 0 OR memory_type = hint""",
 )
 def typed_filter_fallback(spark, sf):
     mem = store.decode(store.live(table(spark, sf, "memories"))).select("id", "memory_type")
     rows = table(spark, sf, "candidates").select("query_id", F.col("memory_id").alias("id")).distinct().join(mem, "id")
-    return store.typed_or_all(rows, "query_id", F.col("memory_type"), F.lit("episodic")).select("query_id", "id")
+    family = F.col("family")
+    hint = F.when(family == "temporal", "episodic").when(family == "attribute", "semantic").when(family == "summary", "science").otherwise("general")
+    rows = rows.join(table(spark, sf, "questions").select(F.col("question_id").alias("query_id"), hint.alias("hint")), "query_id")
+    return store.typed_or_all(rows, "query_id", F.col("memory_type"), F.col("hint")).select("query_id", "id")
+
+
+@register("goals_active", "SELECT id, goal, progress, lower(coalesce(status, 'active')) AS status FROM goals WHERE lower(coalesce(status, 'active')) = 'active'")
+def goals_active(spark, sf):
+    from lodestone.api import Engine
+
+    return Engine.open(spark, sf).list_goals("active").select("id", "goal", "progress", "status")
 
 
 @register("shard_filter", "SELECT id FROM memories WHERE id % 5 = 3")
@@ -194,12 +205,23 @@ def entity_lookup(spark, sf):
     "entity_add_alias",
     """WITH extra AS (SELECT e.id, g.target AS alias FROM entities e JOIN graph_edges g ON g.source = e.name WHERE g.relation = 'related_to'),
     every AS (SELECT id, unnest(aliases) AS alias FROM entities UNION SELECT id, alias FROM extra)
-    SELECT e.id, count(a.alias) AS n_aliases FROM entities e LEFT JOIN every a ON a.id = e.id AND a.alias <> coalesce(e.name, '') GROUP BY e.id""",
+    SELECT e.id, coalesce(string_agg(a.alias, ' | ' ORDER BY a.alias), '') AS aliases FROM entities e LEFT JOIN every a ON a.id = e.id AND a.alias <> coalesce(e.name, '') GROUP BY e.id""",
 )
 def entity_add_alias(spark, sf):
     ent = table(spark, sf, "entities")
     new = table(spark, sf, "graph_edges").where("relation = 'related_to'").join(ent.select("id", F.col("name").alias("source")).withColumnRenamed("id", "eid"), "source")
-    return store.add_aliases(ent, new.select(F.col("eid").alias("id"), F.col("target").alias("alias"))).select("id", F.size("aliases").cast("long").alias("n_aliases"))
+    return store.add_aliases(ent, new.select(F.col("eid").alias("id"), F.col("target").alias("alias"))).select("id", F.array_join(F.array_sort("aliases"), " | ").alias("aliases"))
+
+
+@register("entity_remove_alias", "SELECT id, array_to_string(list_filter(coalesce(aliases, []), lambda a: a <> 'head office'), ' | ') AS aliases FROM entities")
+def entity_remove_alias(spark, sf):
+    """Entities without a general alias."""
+    return store.remove_alias(table(spark, sf, "entities"), "head office").select("id", F.array_join(F.coalesce("aliases", F.array().cast("array<string>")), " | ").alias("aliases"))
+
+
+@register("entity_set_type", "SELECT id, name, CASE WHEN id = 7 THEN 'place' ELSE entity_type END AS entity_type FROM entities")
+def entity_set_type(spark, sf):
+    return store.set_type(table(spark, sf, "entities"), 7, "place").select("id", "name", "entity_type")
 
 
 @register(
@@ -213,12 +235,12 @@ def edge_dedup(spark, sf):
 @register(
     "edge_insert",
     """WITH new AS (SELECT DISTINCT m.id AS memory_id, r.source, r.relation, r.target FROM (SELECT id, unnest(relationships) AS r FROM memories) m)
-    SELECT count(*) AS inserted FROM new n WHERE NOT EXISTS (
+    SELECT memory_id, source, relation, target FROM new n WHERE NOT EXISTS (
       SELECT 1 FROM graph_edges g WHERE g.memory_id = n.memory_id AND g.source = n.source AND g.relation = n.relation AND g.target = n.target)""",
 )
 def edge_insert(spark, sf):
     new = table(spark, sf, "memories").select(F.col("id").alias("memory_id"), F.explode("relationships").alias("r")).select("memory_id", "r.source", "r.relation", "r.target")
-    return store.add_edges(table(spark, sf, "graph_edges"), new).agg(F.count("*").alias("inserted"))
+    return store.add_edges(table(spark, sf, "graph_edges"), new)
 
 
 @register(
@@ -257,11 +279,13 @@ def goals_by_status(spark, sf):
 
 @register(
     "vector_append",
-    "SELECT memory_id, CAST(len(any_value(embedding)[1:32]) AS BIGINT) AS dims FROM candidates WHERE len(embedding) >= 1 GROUP BY memory_id",
+    "SELECT memory_id, array_to_string(list_transform(min(embedding[1:32]), lambda x: CAST(round(x * 512) AS BIGINT)), ' ') AS steps FROM candidates WHERE len(embedding) >= 1 GROUP BY memory_id",
 )
 def vector_append(spark, sf):
+    """Vectors cut to 32 numbers, as multiples of 1/512."""
     rows = store.add_vectors(table(spark, sf, "candidates").withColumnRenamed("memory_id", "id"), 32)
-    return rows.groupBy(F.col("id").alias("memory_id")).agg(F.max(F.size("embedding")).cast("long").alias("dims"))
+    least = rows.groupBy(F.col("id").alias("memory_id")).agg(F.min("embedding").alias("e"))
+    return least.select("memory_id", F.array_join(F.transform("e", lambda x: F.round(x * 512).cast("long").cast("string")), " ").alias("steps"))
 
 
 @register(

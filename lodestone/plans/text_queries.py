@@ -59,10 +59,11 @@ def index_words(spark, sf):
 
 @register(
     "keywords",
-    f"""SELECT question_id, array_to_string(list_sort(list_distinct(list_filter({WORDS.format('query_text')}, lambda w: NOT list_contains({STOP}, w)))), ' ') AS keywords FROM questions""",
+    f"""WITH k AS (SELECT question_id, list_filter({WORDS.format('query_text')}, lambda w: NOT list_contains({STOP}, w)) AS ws FROM questions)
+    SELECT question_id, array_to_string(list_filter(ws, lambda w, i: list_position(ws, w) = i), ' ') AS keywords FROM k""",
 )
 def keywords(spark, sf):
-    return table(spark, sf, "questions").select("question_id", F.array_join(F.array_sort(T.keywords(F.col("query_text"))), " ").alias("keywords"))
+    return table(spark, sf, "questions").select("question_id", F.array_join(T.keywords(F.col("query_text")), " ").alias("keywords"))
 
 
 @register("quoted_phrases", """SELECT doc_id, unnest(regexp_extract_all(text, '"([^"]*)"', 1)) AS phrase FROM documents""")

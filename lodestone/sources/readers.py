@@ -1,4 +1,4 @@
-"""Sources: JSON datasets, conversations, pages, source code, and a generated world."""
+"""Sources: JSON datasets, conversations, pages and source code; a generated world is in ``world``."""
 
 from __future__ import annotations
 
@@ -133,31 +133,13 @@ def display(kind: Column, name: Column, source: Column, path: Column, most: int
     return F.substring(F.concat(kind, F.lit(" "), name, F.lit(" in "), path, F.lit(": "), source), 1, most)
 
 
-_WORLD = {
-    "first": "Ada Ben Cleo Dan Eva Finn Gia Hugo Iris Jan Kira Leo Mia Nils Ona Pia".split(),
-    "last": "Archer Brook Carver Dale Ellis Frost Grove Hale Irwin Jessop Keller Lowe Marsh Nolan".split(),
-    "city": "Northport Eastvale Riverton Highmoor Lakeside Stonebridge".split(),
-    "job": "baker nurse pilot teacher welder gardener".split(),
-    "food": "tacos ramen pizza curry soup salad".split(),
-    "vehicle": "truck van bicycle scooter tractor".split(),
-}
-
-
-def world(spark: SparkSession, people: int, seed: int = 42) -> DataFrame:
-    """(person_id, name, attribute, value, text): what a seeded world of people remembers, the same in any order of tasks."""
-
-    def pick(kind: str, *keys: Column) -> Column:
-        words = F.array(*[F.lit(w) for w in _WORLD[kind]])
-        return F.element_at(words, (F.pmod(F.xxhash64(F.lit(seed), F.lit(kind), *keys), F.lit(len(_WORLD[kind]))) + 1).cast("int"))
-
-    base = spark.range(people).withColumnRenamed("id", "person_id")
-    base = base.withColumn("name", F.concat_ws(" ", pick("first", F.col("person_id")), pick("last", F.col("person_id")), F.col("person_id").cast("string")))
-    facts = [("city", "lives in"), ("job", "works as a"), ("food", "likes"), ("vehicle", "drives a")]
-    rows = base.select("person_id", "name", F.explode(F.array(*[F.struct(F.lit(a).alias("attribute"), pick(a, F.col("person_id")).alias("value"), F.lit(v).alias("verb")) for a, v in facts])).alias("f"))
-    return rows.select("person_id", "name", "f.attribute", "f.value", F.concat_ws(" ", F.col("name"), F.col("f.verb"), F.concat(F.col("f.value"), F.lit("."))).alias("text"))
-
-
-def questions_of(facts: DataFrame) -> DataFrame:
-    """(question_id, query_text, expected, family): one question for each fact of a generated world."""
-    text = F.concat(F.lit("What is the "), F.col("attribute"), F.lit(" of "), F.col("name"), F.lit("?"))
-    return facts.select(F.xxhash64("person_id", "attribute").alias("question_id"), text.alias("query_text"), F.col("value").alias("expected"), F.lit("attribute").alias("family"))
+def language_of(text: Column) -> Column:
+    """The language of a piece of code by its first telling line; null for what is no code."""
+    told = lambda pattern: F.rlike(text, F.lit(pattern))
+    return (
+        F.when(told(r"(?m)^(def \w+\(.*\):|class \w+.*:|from \w+ import |import \w+$)"), "python")
+        .when(told(r"(?m)^\s*(function \w+\(|const \w+ = |export (default|function|class) )"), "javascript")
+        .when(told(r"(?m)^(func \w+\(|package \w+$)"), "go")
+        .when(told(r"(?m)^\s*(pub )?(fn \w+|struct \w+|use \w+::)"), "rust")
+        .when(told(r"(?m)^\s*(public|private) (static |final )*(class|interface|void|int) "), "java")
+    )

@@ -42,3 +42,19 @@ def record(results: DataFrame, questions: DataFrame) -> DataFrame:
     rows = results.groupBy("query_id").agg(F.count("*").alias("candidate_count"), listed.alias("candidates"))
     asked = questions.select(F.col("question_id").alias("query_id"), F.col("query_text").alias("query"), "expected")
     return asked.join(rows, "query_id", "left").withColumn("candidate_count", F.coalesce("candidate_count", F.lit(0).cast("long")))
+
+
+def formatted(results: DataFrame, memories: DataFrame) -> DataFrame:
+    """(query_id, rank, id, text, normalized_text, score, metadata): results in the form that adapters of other evaluations read; ids as text."""
+    shown = memories.select("id", "text", F.coalesce("normalized_text", "text").alias("normalized_text"), "metadata")
+    rows = results.join(shown, "id")
+    return rows.select("query_id", "rank", F.col("id").cast("string").alias("id"), "text", "normalized_text", F.col("final").alias("score"), "metadata")
+
+
+def graph_json(adjacency: DataFrame, path: str) -> None:
+    """Write a graph (src, dst, relation, weight) as JSON lines."""
+    adjacency.write.mode("overwrite").json(path)
+
+
+def graph_from_json(spark, path: str) -> DataFrame:
+    return spark.read.schema("src string, dst string, relation string, weight double").json(path)

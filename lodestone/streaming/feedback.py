@@ -43,15 +43,16 @@ def windowed_actions(events: DataFrame, window: str = "1 day", slide: str | None
     return grouped.select(F.col("w.start").alias("start"), "user_action", "n")
 
 
-def run_to_table(result: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> StreamingQuery:
-    """Work off what is there into a table in memory; for tests and small reports."""
-    return result.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def run_to_folder(result: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Keep the newest state of each memory in a folder; each batch replaces what it changes in one write."""
+def run_to_folder(result: DataFrame, path: str, checkpoint: str, mode: str = "update") -> StreamingQuery:
+    """Keep the newest state in a folder by batch: of what a batch changed, or (mode complete) of everything."""
 
     def write(batch: DataFrame, epoch: int) -> None:
         batch.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
-    return result.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return result.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def schedule(spark: SparkSession, run, every: str, checkpoint: str) -> StreamingQuery:
+    """Call ``run`` at a fixed interval for as long as the query runs: pruning, consolidation, rebuilding an index."""
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return ticks.writeStream.foreachBatch(lambda _, epoch: run(epoch)).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
