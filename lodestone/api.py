@@ -252,8 +252,11 @@ class Engine:
 
     def evaluate(self, questions: DataFrame, results: DataFrame, by: list[str] | None = None) -> DataFrame:
         """Recall at 1, 3, 5 and 10 of results for questions with expected answers; by family if asked."""
+        self.plugins.notify("before_evaluate", questions, results)
         shown = results.join(self.memories.select("id", "text", "metadata"), "id")
-        return evaluate.recall_at(evaluate.expected_rank(shown, questions), by=by)
+        out = evaluate.recall_at(evaluate.expected_rank(shown, questions), by=by)
+        self.plugins.notify("after_evaluate", out)
+        return out
 
     def stats(self) -> DataFrame:
         return store.decode(self.memories).groupBy("memory_type").agg(F.count("*").alias("rows"), F.count_if(F.col("tombstone") == 0).alias("live"))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -13,36 +12,32 @@ from pyspark.sql import functions as F
 from lodestone.functions import scores as S
 from lodestone.session import cut_lineage
 
-#: Most query vectors that are sent to all executors at once (64 numbers of 4 bytes each: 1 MB).
+#: About as many query vectors are searched for in one task.
 BLOCK_QUERIES = 4_096
 #: Most distinct vectors of a block that meets other blocks, and rows of it that are multiplied at once.
 BLOCK_VECTORS, STRIP = 8_192, 512
 
 
-def _block_search(block: pd.DataFrame, k: int, metric: str):
-    """A mapInPandas function with the k best of each partition for one block of queries."""
-    qids = block["query_id"].to_numpy()
-    q = np.array(block["embedding"].tolist(), np.float64)
-    if metric == "cosine":
-        q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-8)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, score = np.zeros((len(q), 0), np.int64), np.zeros((len(q), 0))
-        for pdf in batches:
-            x = np.array(pdf["embedding"].tolist(), np.float64).reshape(len(pdf), -1)
-            if not len(x):
-                continue
-            if metric == "cosine":
-                x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-8)
-                d = -(q @ x.T)
-            else:
-                d = np.maximum(0, (q**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * q @ x.T)
+def _block_search(dim: int, k: int, metric: str):
+    """A function over the queries of one block and a part of the vectors: the k best of each query in that part."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        asks = pdf["role"].to_numpy() == 1
+        ids, x = pdf["id"].to_numpy(), np.array(pdf["embedding"].tolist(), np.float64).reshape(-1, dim)
+        if metric == "cosine":
+            x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-8)
+        qids, q, ids, x = ids[asks], x[asks], ids[~asks], x[~asks]
+        order = np.argsort(ids, kind="stable")
+        ids, x = ids[order], x[order]
+        out = []
+        for a in range(0, len(q), STRIP):
+            part = q[a : a + STRIP]
+            d = -(part @ x.T) if metric == "cosine" else np.maximum(0, (part**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * part @ x.T)
             d = np.round(d, 6)
-            ids = np.concatenate([ids, np.broadcast_to(pdf["id"].to_numpy(), d.shape)], axis=1)
-            score = np.concatenate([score, d], axis=1)
-            best = np.lexsort((ids, score), axis=1)[:, :k]
-            ids, score = np.take_along_axis(ids, best, 1), np.take_along_axis(score, best, 1)
-        yield pd.DataFrame({"query_id": np.repeat(qids, ids.shape[1]), "id": ids.ravel(), "distance": score.ravel()})
+            if d.shape[1]:
+                best = np.argsort(d, axis=1, kind="stable")[:, :k]  # of equal distances the smaller id
+                out.append(pd.DataFrame({"query_id": np.repeat(qids[a : a + STRIP], best.shape[1]), "id": ids[best].ravel(), "distance": np.take_along_axis(d, best, 1).ravel()}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "id": [], "distance": []})
 
     return run
 
@@ -50,25 +45,25 @@ def _block_search(block: pd.DataFrame, k: int, metric: str):
 def knn(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "l2") -> DataFrame:
     """(query_id, id, distance, rank): the k nearest of each query, exactly; for cosine the distance is its negative.
 
-    Queries are worked off in blocks against all vectors, each partition gives its k
-    best, and only those are ranked. Every block is one pass over the vectors.
+    Queries are spread over blocks and vectors over parts; each block meets each part in one task, which gives the k best
+    of each query there, and only those are ranked. Nothing of either passes through the driver.
     """
     from lodestone.operators.lexical import top_k
 
-    found = None
-    rows = queries.select("query_id", "embedding").orderBy("query_id").toLocalIterator()
-    block: list = []
+    asked = cut_lineage(queries.select(F.col("query_id").alias("id"), "embedding"))
+    held = cut_lineage(vectors.select("id", "embedding"))
+    n_queries, n_vectors = asked.count(), held.count()
+    blocks, parts = max(1, math.ceil(n_queries / BLOCK_QUERIES)), max(1, math.ceil(n_vectors / BLOCK_VECTORS))
+    first = held.select(F.size("embedding").alias("n")).first()
 
-    def flush(found):
-        part = vectors.select("id", "embedding").mapInPandas(_block_search(pd.DataFrame(block, columns=["query_id", "embedding"]), k, metric), "query_id long, id long, distance double")
-        return part if found is None else found.unionByName(part)
+    def dealt(rows: DataFrame, role: int, own: int, others: int) -> DataFrame:
+        mine, other = F.pmod(F.xxhash64("id"), F.lit(own)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(others - 1)))
+        rows = rows.select("id", "embedding", F.lit(role).alias("role"), mine.alias("mine"), other.alias("other"))
+        task = F.col("mine") * parts + F.col("other") if role else F.col("other") * parts + F.col("mine")
+        return rows.select(task.alias("task"), "role", "id", "embedding")
 
-    for r in rows:
-        block.append((r[0], r[1]))
-        if len(block) == BLOCK_QUERIES:
-            found, block = flush(found), []
-    if block or found is None:
-        found = flush(found) if block else vectors.select(F.lit(0).cast("long").alias("query_id"), "id", F.lit(0.0).alias("distance")).limit(0)
+    together = dealt(asked, 1, blocks, parts).unionByName(dealt(held, 0, parts, blocks))
+    found = together.groupBy("task").applyInPandas(_block_search(first.n if first else 1, k, metric), "query_id long, id long, distance double")
     return top_k(found.withColumn("_neg", -F.col("distance")), k, "_neg").drop("_neg")
 
 

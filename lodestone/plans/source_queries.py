@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
+from lodestone.functions import vocab
 from lodestone.plans.learning_queries import _DELTA, _EV
 from lodestone.plans.text_queries import SPACED, _fact_sql, entities_sql
 from lodestone.queries import register
@@ -56,10 +57,23 @@ def ingest_preview(spark, sf):
     return rows.select("id", "memory_type", "subject", "attribute", F.size("entities").cast("long").alias("n_entities"), "token_count")
 
 
-@register("ingest_relationships")
+_CUES = ", ".join(f"('{c}', '{r}')" for c, r in vocab.RELATION_CUES)
+
+
+@register(
+    "ingest_relationships",
+    f"""WITH f AS ({_fact_sql()}), e0 AS ({entities_sql('memories', 'id', 'text', "CAST([] AS VARCHAR[])")}), e1 AS (SELECT id, entity, min(pos) AS p FROM e0 GROUP BY 1, 2),
+    e AS (SELECT e1.id, entity, row_number() OVER (PARTITION BY e1.id ORDER BY p) AS i, instr(lower(text), lower(entity)) AS at_, lower(text) AS low FROM e1 JOIN memories m ON m.id = e1.id WHERE e1.id NOT IN (SELECT id FROM f)),
+    cue(cue, relation) AS (VALUES {_CUES}), k AS (SELECT e.*, relation, cue, instr(low, cue) AS cat FROM e, cue WHERE instr(low, cue) > 0 AND at_ < instr(low, cue)),
+    cued AS (SELECT k.id, k.entity AS source, k.relation, k.cue, arg_min(b.entity, b.i) AS target FROM k JOIN e b ON b.id = k.id AND b.i > k.i AND b.at_ > k.cat GROUP BY ALL),
+    chain AS (SELECT a.id, a.entity AS source, 'related_to' AS relation, b.entity AS target FROM e a JOIN e b ON b.id = a.id AND b.i = a.i + 1 WHERE a.id NOT IN (SELECT id FROM cued)),
+    r AS (SELECT id, subject AS source, attribute AS relation, value AS target FROM f UNION ALL SELECT id, source, relation, target FROM cued UNION ALL SELECT * FROM chain)
+    SELECT id, source, relation, target, count(*) AS n FROM r GROUP BY ALL""",
+)
 def ingest_relationships(spark, sf):
+    """The relationships that all memory texts would get if they were stored anew."""
     rows = ingest.enrich(table(spark, sf, "memories").select("id", "text"))
-    return rows.select("id", F.explode("relationships").alias("r")).groupBy("r.relation").agg(F.count("*").alias("n"))
+    return rows.select("id", F.explode("relationships").alias("r")).groupBy("id", "r.source", "r.relation", "r.target").agg(F.count("*").alias("n"))
 
 
 @register("synthetic_world")
@@ -133,7 +147,7 @@ def code_display(spark, sf):
     "stream_sessions",
     f"""WITH {_EV}, c AS (SELECT session_id, ts, lag(ts) OVER (PARTITION BY session_id ORDER BY ts) AS before FROM ev WHERE lower(user_action) = 'click' AND session_id IS NOT NULL),
     s AS (SELECT *, sum(CASE WHEN before IS NULL OR ts >= before + INTERVAL 30 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM c)
-    SELECT session_id, CAST(epoch(min(ts)) * 1000 AS BIGINT) AS start_ms, count(*) AS clicks FROM s GROUP BY session_id, n""",
+    SELECT session_id, epoch_us(min(ts)) // 1000 AS start_ms, count(*) AS clicks FROM s GROUP BY session_id, n""",
 )
 def stream_sessions(spark, sf):
     """Clicks by session, ended by half an hour without one, from the stream of events."""

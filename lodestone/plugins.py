@@ -1,12 +1,16 @@
 """Registry of additions: signals, rerankers, retrievers, entity recognisers, observers.
 
-A registry is passed explicitly; nothing is discovered or registered behind the caller's back.
+A registry is passed explicitly. ``discover`` adds what a folder of Python files or the installed packages offer, if asked to:
+each offers a function ``register(registry)``.
 """
 
 from __future__ import annotations
 
+import importlib.util
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from importlib import metadata
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -40,9 +44,23 @@ class Registry:
         self.recognizers[name] = function
 
     def observe(self, event: str, callback: Callable[..., None]) -> None:
-        """Called when a plan is built: before_recall, after_recall, before_store, after_store."""
+        """Called when a plan is built: before_ and after_ recall, store, feedback, evaluate."""
         self.observers.setdefault(event, []).append(callback)
 
+    def discover(self, folder: str | None = None, group: str | None = None) -> list[str]:
+        """Let the files of a folder, or the entry points of a group, register their additions; returns their names."""
+        found = []
+        for path in sorted(Path(folder).glob("*.py")) if folder else []:
+            spec = importlib.util.spec_from_file_location(f"lodestone_plugin_{path.stem}", path)
+            module = importlib.util.module_from_spec(spec)
+            spec.loader.exec_module(module)
+            module.register(self)
+            found.append(path.stem)
+        for point in metadata.entry_points(group=group) if group else []:
+            point.load()(self)
+            found.append(point.name)
+        return found
+
     def unregister(self, name: str) -> None:
         for kind in (self.signals, self.rerankers, self.retrievers, self.recognizers):
             kind.pop(name, None)

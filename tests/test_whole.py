@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import vocab
-from lodestone.operators import learn, lexical, rank, routing, vector
+from lodestone.operators import learn, lexical, rank, retrieve, routing, vector
 from lodestone.plans import retrieval_queries as R
 from lodestone.plugins import Registry
 from lodestone.session import table
@@ -24,7 +24,7 @@ def keys(df):
 def test_union_has_what_only_graph_or_phrase_finds(spark):
     rows = R.union_sources(spark, FOLDER).collect()
     got = {(r.query_id, r.id): r.source for r in rows}
-    assert set(got.values()) == set(R.SOURCES) and len(got) == len(rows)
+    assert set(got.values()) == set(retrieve.SOURCES) and len(got) == len(rows)
     graph, phrase = keys(R.graph_retrieval(spark, FOLDER)), keys(R.phrase_search(spark, FOLDER))
     assert {got.get(k) for k in phrase} <= {"phrase", "attribute"}
     assert {got.get(k) for k in graph} <= {"graph", "phrase", "attribute"}
@@ -50,25 +50,26 @@ def test_similar_vectors_are_not_bound_to_batches(spark):
 
 @tables
 def test_cap_is_that_of_the_settings(spark):
-    counts = [r["count"] for r in R.candidate_cap_all(spark, FOLDER).groupBy("query_id").count().collect()]
-    every = [r["count"] for r in R.retriever_union_all(spark, FOLDER).groupBy("query_id").count().collect()]
+    counts = [r["count"] for r in R.candidate_cap(spark, FOLDER).groupBy("query_id").count().collect()]
+    every = [r["count"] for r in R.retriever_union(spark, FOLDER).groupBy("query_id").count().collect()]
     assert sorted(counts) == sorted(min(n, R.S.candidate_cap) for n in every) and max(counts) > 100
 
 
 @tables
 def test_hybrid_recall_ranks_the_capped_union_with_all_signals(spark):
     got = {(r.query_id, r.id): r.base for r in R.recall_hybrid(spark, FOLDER).collect()}
-    assert got and set(got) <= keys(R.candidate_cap_all(spark, FOLDER)) and not set(got) <= keys(R.candidate_cap(spark, FOLDER))
+    assert got and set(got) <= keys(R.candidate_cap(spark, FOLDER))
     queries = rank.understand(table(spark, FOLDER, "questions"))
     found = R.union_sources(spark, FOLDER).select("query_id", "id", "distance")
-    rows = rank.signals(found, table(spark, FOLDER, "memories"), queries, R.S).select("query_id", "id", *R._SIGNAL_NAMES).collect()
+    rows = rank.signals(found, table(spark, FOLDER, "memories"), queries, R.S).select("query_id", "id", "memory_type", *R._SIGNAL_NAMES).collect()
     kinds = {r.query_id: r.kind for r in routing.classify(queries).collect()}
     tfidf = {(r.query_id, r.id): r.score for r in lexical.tfidf(R._docs(spark, FOLDER), R._terms(spark, FOLDER)).collect()}
     feedback = {r.mem_id: r.boost for r in learn.feedback(table(spark, FOLDER, "feedback_events"), R.S).collect()}
     want = {}
     for r in rows:
-        values = r.asDict() | {"tfidf": tfidf.get((r.query_id, r.id), 0), "feedback": feedback.get(r.id, 0)}
-        want[r.query_id, r.id] = sum((values[s] or 0) * rank.weight(s, kinds.get(r.query_id, "general")) for s in vocab.SIGNALS)
+        # episodic memories do without tfidf
+        values = r.asDict() | {"tfidf": 0 if r.memory_type == "episodic" else tfidf.get((r.query_id, r.id), 0), "feedback": feedback.get(r.id, 0)}
+        want[r.query_id, r.id] = sum((values.get(s) or 0) * rank.weight(s, kinds.get(r.query_id, "general")) for s in vocab.SIGNALS)
     assert all(abs(got[k] - want[k]) < 2e-6 for k in got)
     assert any(tfidf.get(k) for k in got) and any(feedback.get(i) for _, i in got)
 
