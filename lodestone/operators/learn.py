@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import scores as S
 from lodestone.functions import vocab
 from lodestone.functions.vocab import Settings
+from lodestone.session import cut_lineage
 
 
 def once(events: DataFrame) -> DataFrame:
@@ -94,6 +95,6 @@ def history(events: DataFrame, kept: int = 50, after_skip: int = 30) -> DataFram
 def adapt(deltas: DataFrame, step: float = 0.02) -> DataFrame:
     """(signal, weight): the weights after one step against the mean deltas (signal, delta), within bounds and summing to about 1."""
     start = deltas.sparkSession.createDataFrame(sorted(vocab.START_WEIGHTS.items()), "signal string, weight double")
-    moved = start.join(deltas, "signal", "left").select("signal", S.adjusted_weight(F.col("weight"), F.col("delta"), step).alias("weight"))
+    moved = cut_lineage(start.join(deltas, "signal", "left").select("signal", S.adjusted_weight(F.col("weight"), F.col("delta"), step).alias("weight")))
     total = moved.agg(F.sum("weight").alias("total"))
     return moved.crossJoin(F.broadcast(total)).select("signal", F.round(F.greatest(F.lit(0.01), F.least(F.lit(0.5), F.col("weight") / F.col("total"))), 6).alias("weight"))
