@@ -50,3 +50,33 @@ def test_members_tell_the_entity_of_each_row(spark):
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id long, name string, entity_type string, aliases array<string>")
     forms = spark.createDataFrame([("Robert", "Bob")], "given_name string, short_form string")
     assert {tuple(r) for r in names.members(df, forms).collect()} == {(0, 0, 2), (1, 0, 2), (2, 2, 1)}
+
+
+def test_recall_and_precision_on_generated_entities(spark):
+    import random
+
+    rng = random.Random(11)
+    made = lambda n: "".join(rng.choice("bdfgklmnprstvz") + rng.choice("aeiou") for _ in range(n)).capitalize()
+
+    def typo(w):
+        i = rng.randrange(1, len(w) - 1)
+        return rng.choice((w[:i] + w[i + 1 :], w[:i] + w[i + 1] + w[i] + w[i + 2 :], w[:i] + rng.choice("aeiou") + w[i:]))
+
+    given = {"Robert": ["Bob", "Rob"], "Margaret": ["Peggy"], "Susannah": ["Sue"], "Harold": ["Hal"], "Deborah": ["Deb"], "Richard": ["Dick"]}
+    trades, short = ["Carpentry", "Glassworks", "Drainage", "Upholstery", "Masonry"], ["Carp.", "Glassw.", "Drng", "Uph.", "Msnry"]
+    rows, truth = [], []
+    families, cores = [made(5) for _ in range(40)], [made(5) for _ in range(40)]
+    for e, family in enumerate(families):
+        for first in rng.sample(sorted(given), 2):
+            nick = rng.choice(given[first])
+            forms = [f"{first} {family}", f"{family}, {first}", f"{nick} {family}", f"{first} {typo(family)}", f"Dr. {first} Q. {family}", f"{first.upper()} {family.upper()}"]
+            rows += [(f, "person", None) for f in forms]
+            truth += [("p", family, first)] * len(forms)
+    for core in cores:
+        for t in rng.sample(range(5), 2):
+            forms = [f"{core} {trades[t]} Ltd", f"{trades[t]} {core}", f"{core} {short[t]} Inc.", f"{typo(core)} {trades[t]} GmbH", f"the {core} {trades[t]} & Co", f"{core.lower()} {trades[t].lower()} limited"]
+            rows += [(f, rng.choice(("organization", "organization", None)), None) for f in forms]
+            truth += [("o", core, t)] * len(forms)
+    got = same(spark, rows)
+    want = {(a, b) for a in range(len(rows)) for b in range(a + 1, len(rows)) if truth[a] == truth[b]}
+    assert len(got & want) >= 0.99 * len(want) and len(got & want) >= 0.99 * len(got), (len(want), len(got), len(got & want))
