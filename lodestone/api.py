@@ -258,5 +258,25 @@ class Engine:
         self.plugins.notify("after_evaluate", out)
         return out
 
+    def adapt(self) -> SignalRegistry:
+        """Weights after one step against the signals of the failures among the given candidates; the next recall uses them."""
+        from lodestone.operators.learn import adapt
+
+        questions = table(self.spark, self.folder, "questions")
+        rows = rank.base_score(rank.signals(rank.candidate_rows(self.candidates), self.memories, rank.understand(questions), self.settings))
+        ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("base"), "id")))
+        names = ["semantic", "token", "entity", "recency", "importance"]
+        deltas = evaluate.signal_deltas(ranked.select("query_id", "id", "rank", *names), questions, names)
+        self.signals = SignalRegistry.from_table(adapt(deltas.select("signal", "delta")))
+        return self.signals
+
+    def throughput(self, texts: DataFrame, order: str) -> float:
+        """Texts a second that ingestion works off, without storing them."""
+        import time
+
+        began = time.time()
+        ingest.store_many(self.memories, texts, order, self.settings.now, self.plugins).write.format("noop").mode("overwrite").save()
+        return texts.count() / (time.time() - began)
+
     def stats(self) -> DataFrame:
         return store.decode(self.memories).groupBy("memory_type").agg(F.count("*").alias("rows"), F.count_if(F.col("tombstone") == 0).alias("live"))

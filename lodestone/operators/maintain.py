@@ -85,3 +85,11 @@ def sync(left: DataFrame, right: DataFrame) -> DataFrame:
     """(id, side): ids of only one of two sets, as missing (only left) or orphaned (only right)."""
     a, b = left.select("id").distinct(), right.select("id").distinct()
     return a.join(b, "id", "left_anti").withColumn("side", F.lit("missing")).unionByName(b.join(a, "id", "left_anti").withColumn("side", F.lit("orphaned")))
+
+
+def cached_vectors(memories: DataFrame, vectors: DataFrame, cache: DataFrame | None = None) -> DataFrame:
+    """(id, embedding) of all live memories: what a cache holds already, else the stored vector, null where there is none; without a cache all are fetched anew."""
+    rows = store.live(memories).select("id").join(vectors.select("id", F.col("embedding").alias("_stored")), "id", "left")
+    if cache is None:
+        return rows.select("id", F.col("_stored").alias("embedding"))
+    return rows.join(cache.select("id", F.col("embedding").alias("_kept")), "id", "left").select("id", F.coalesce("_kept", "_stored").alias("embedding"))

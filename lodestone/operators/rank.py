@@ -123,6 +123,16 @@ def attributes_asked(query_tokens: Column) -> Column:
     return F.filter(F.expr(f"array({entries})"), lambda x: F.arrays_overlap(x["words"], query_tokens))
 
 
+def attribute_fields(queries: DataFrame) -> DataFrame:
+    """(query_id, attribute, boost) that a question points to: by its whole words, else by parts of words; queries are understood."""
+    entries = ", ".join(f"named_struct('name', '{n}', 'boost', {b}D, 'words', split('{a}', ' '))" for n, b, a in vocab.ATTRIBUTES)
+    low = F.lower("q")
+    parts = F.filter(F.expr(f"array({entries})"), lambda x: F.exists(x["words"], lambda w: F.contains(low, w)))
+    whole = attributes_asked(F.col("q_tokens"))
+    found = queries.select("query_id", F.explode(F.when(F.size(whole) > 0, whole).otherwise(parts)).alias("x"))
+    return found.select("query_id", F.col("x.name").alias("attribute"), F.col("x.boost").alias("boost"))
+
+
 def metadata_parts(metadata: Column) -> Column:
     """The keys and values of the metadata in lower case."""
     meta = F.coalesce(metadata, F.create_map().cast(store.METADATA))
@@ -191,7 +201,7 @@ def recall(
     weights; plugins is a registry of additions, with signals and entity recognisers.
     """
     queries = understand(questions)
-    if plugins is not None and plugins.recognizers:
+    if plugins is not None and (plugins.recognizers or plugins.extractor):
         memories = memories.withColumn("entities", plugins.entities(F.col("text"), F.coalesce("entities", F.array().cast("array<string>"))))
         queries = queries.withColumn("q_entities", plugins.entities(F.col("q"), F.col("q_entities")))
     rows = signals(candidate_rows(candidates), memories, queries, settings)

@@ -7,6 +7,7 @@ import json
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lodestone.functions import vocab
 
@@ -71,6 +72,14 @@ class SignalRegistry:
         out.off, out.off_for = set(state["off"]), {tuple(x) for x in state["off_for"]}
         return out
 
+    @classmethod
+    def from_table(cls, weights: DataFrame) -> SignalRegistry:
+        """A registry with the weights (signal, weight) of a table, such as those after an adaptation, in place of the defaults; at most one row a signal."""
+        out = cls()
+        for r in weights.where(F.col("signal").isin(*out.weights)).select("signal", "weight").limit(len(out.weights)).collect():
+            out.weights[r.signal] = {"default": r.weight}
+        return out
+
     def table(self, spark: SparkSession) -> DataFrame:
         """(signal, kind, weight) of all signals and types."""
         rows = [(n, k, self.weight(n, k)) for n in sorted(self.weights) for k in vocab.MEMORY_TYPES]

@@ -199,3 +199,47 @@ def linear_relevance(spark, sf):
     rows = rank.zscore(R._signals(spark, sf))
     shown = scores.entity_boost(F.col("q_entities"), F.col("m_entities"))
     return rows.select("query_id", "id", F.round(scores.linear_relevance(F.col("normalized")), 6).alias("relevance"), shown.alias("entity_boost"))
+
+
+_CASES = " UNION ALL ".join(
+    f"SELECT question_id AS query_id, '{n}' AS attribute, CAST({b} AS DOUBLE) AS boost, list_has_any({WORDS.format('query_text')}, [{', '.join(repr(w) for w in a.split())}]) AS whole, {' OR '.join(f"contains(lower(coalesce(query_text, '')), '{w}')" for w in a.split())} AS part FROM questions"
+    for n, b, a in vocab.ATTRIBUTES
+)
+
+
+@register("attribute_fields", f"WITH c AS ({_CASES}), w AS (SELECT *, bool_or(whole) OVER (PARTITION BY query_id) AS any_whole FROM c) SELECT query_id, attribute, boost FROM w WHERE whole OR (NOT any_whole AND part)")
+def attribute_fields(spark, sf):
+    """The attributes that each question points to, by whole words, else by parts of words."""
+    return rank.attribute_fields(rank.understand(table(spark, sf, "questions")))
+
+
+@register("entities_of_type", "SELECT id, name FROM entities WHERE lower(entity_type) = 'place'")
+def entities_of_type(spark, sf):
+    return table(spark, sf, "entities").where(F.lower("entity_type") == "place").select("id", "name")
+
+
+@register("edges_of_relation", "SELECT id, memory_id, source, target FROM graph_edges WHERE relation = 'related_to'")
+def edges_of_relation(spark, sf):
+    return table(spark, sf, "graph_edges").where("relation = 'related_to'").select("id", "memory_id", "source", "target")
+
+
+@register(
+    "session_stats",
+    f"WITH {EVENTS} SELECT session_id, count(*) AS events, count(DISTINCT query_text) AS queries, count(DISTINCT mem_id) AS memories, count(CASE WHEN lower(user_action) = 'click' THEN 1 END) AS clicks, CAST(floor(epoch(max(ts)) - epoch(min(ts))) AS BIGINT) AS seconds FROM ev GROUP BY 1",
+)
+def session_stats(spark, sf):
+    rows = learn.once(table(spark, sf, "feedback_events")).groupBy("session_id")
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    length = F.floor((micros(F.max("ts")) - micros(F.min("ts"))) / 1_000_000).cast("long")
+    return rows.agg(F.count("*").alias("events"), F.countDistinct("query_text").alias("queries"), F.countDistinct("mem_id").alias("memories"), F.count_if(F.lower("user_action") == "click").alias("clicks"), length.alias("seconds"))
+
+
+@register(
+    "embedding_cache",
+    f"WITH v AS (SELECT memory_id AS id, min(embedding) AS e FROM candidates WHERE len(embedding) = 64 GROUP BY 1) SELECT m.id, v.id IS NOT NULL AS cached FROM memories m LEFT JOIN v USING (id) WHERE {LIVE}",
+)
+def embedding_cache(spark, sf):
+    """The cache of vectors built anew: which live memories have one."""
+    from lodestone.operators import maintain
+
+    return maintain.cached_vectors(table(spark, sf, "memories"), R._vectors(spark, sf)).select("id", F.col("embedding").isNotNull().alias("cached"))

@@ -26,6 +26,8 @@ class Registry:
     retrievers: dict[str, Callable[[DataFrame], DataFrame]] = field(default_factory=dict)
     recognizers: dict[str, Callable[[Column], Column]] = field(default_factory=dict)
     observers: dict[str, list[Callable[..., None]]] = field(default_factory=dict)
+    #: From a text column to the entities that a language model finds; null where it finds nothing usable, then the rules hold.
+    extractor: Callable[[Column], Column] | None = None
 
     def signal(self, name: str, column: Callable[[], Column], weight: float = 0.0) -> None:
         """A score over the columns of candidates: a built-in expression, or a pandas UDF for what has none. Weight 0 only shows it."""
@@ -83,6 +85,8 @@ class Registry:
         return rows
 
     def entities(self, text: Column, found: Column) -> Column:
+        if self.extractor is not None:
+            found = F.coalesce(self.extractor(text), found)
         for f in self.recognizers.values():
             found = F.array_union(found, F.coalesce(f(text), F.array().cast("array<string>")))
         return found

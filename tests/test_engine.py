@@ -179,3 +179,33 @@ def test_scheduled_runs(spark, tmp_path):
         time.sleep(0.2)
     query.stop()
     assert seen[:2] == [0, 1]
+
+
+@tables
+def test_adapted_weights_are_used(spark, folder):
+    engine = Engine.open(spark, folder)
+    questions = spark.read.parquet(f"{folder}/questions.parquet").limit(20)
+    before = {(r.query_id, r.id): r.base for r in engine.recall(questions, engine.candidates).collect()}
+    weights = engine.adapt()
+    assert weights.weight("entity") == weights.weight("entity", "code") != SignalRegistry().weight("entity")
+    after = {(r.query_id, r.id): r.base for r in engine.recall(questions, engine.candidates).collect()}
+    assert any(before[k] != after[k] for k in set(before) & set(after))
+    assert engine.throughput(spark.createDataFrame([(i, f"Text {i}.") for i in range(20)], "place int, text string"), "place") > 0
+
+
+def test_an_extractor_comes_before_the_rules(spark):
+    plugins = Registry()
+    plugins.extractor = lambda t: F.when(F.contains(t, F.lit("Ann")), F.array(F.lit("Ann of the model")))
+    df = spark.createDataFrame([("Ann",), ("Bob",)], "t string")
+    got = [r.e for r in df.select(plugins.entities(F.col("t"), F.array(F.col("t"))).alias("e")).collect()]
+    assert got == [["Ann of the model"], ["Bob"]]
+
+
+def test_cached_vectors(spark):
+    from lodestone.operators import maintain
+
+    memories = spark.createDataFrame([(1, 0), (2, None), (3, 1), (4, 0)], "id long, tombstone int")
+    vectors = spark.createDataFrame([(1, [1.0]), (2, [2.0]), (3, [3.0])], "id long, embedding array<double>")
+    cache = spark.createDataFrame([(1, [9.0])], "id long, embedding array<double>")
+    assert {r.id: r.embedding for r in maintain.cached_vectors(memories, vectors, cache).collect()} == {1: [9.0], 2: [2.0], 4: None}
+    assert {r.id: r.embedding for r in maintain.cached_vectors(memories, vectors).collect()} == {1: [1.0], 2: [2.0], 4: None}
