@@ -21,14 +21,23 @@ def fold_case(text: pd.Series) -> pd.Series:
     return text.map(lambda t: "" if t is None else unicodedata.normalize("NFKD", t).lower().strip())
 
 
+#: White space of any kind, no-break spaces too.
+SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+
+
+def strip(text: Column) -> Column:
+    """Without white space around it."""
+    return F.btrim(text, F.lit(SPACES))
+
+
 def fold_ascii(text: Column) -> Column:
     """Lower case, trimmed; enough where no compatibility forms occur, and stays in the JVM."""
-    return F.lower(F.trim(F.coalesce(text, F.lit(""))))
+    return F.lower(strip(F.coalesce(text, F.lit(""))))
 
 
 def normalize(text: Column) -> Column:
     """Lower case with single spaces."""
-    return F.trim(F.regexp_replace(fold_ascii(text), r"\s+", " "))
+    return strip(F.regexp_replace(fold_ascii(text), r"\s+", " "))
 
 
 def listed(words_: list[str] | tuple[str, ...] | str) -> Column:
@@ -76,13 +85,13 @@ def entities(text: Column, stopwords: tuple[str, ...] = ()) -> Column:
 
     # a word outside a run becomes a separator, so a run is what stands between separators
     marked = F.array_join(F.transform(parts, lambda w: F.when(capital(w), w).otherwise(F.lit("\u0001"))), " ")
-    runs = F.transform(F.split(marked, "\u0001"), lambda r: F.trim(r))
+    runs = F.transform(F.split(marked, "\u0001"), strip)
     return F.array_distinct(F.filter(runs, lambda r: (F.length(r) > 1) & ~F.array_contains(stop, F.lower(r))))
 
 
 def clean_value(value: Column) -> Column:
     """Without surrounding space, closing punctuation and a leading article."""
-    return F.regexp_replace(F.regexp_replace(F.trim(value), r"[.,!?;:]+$", ""), r"(?i)^(?:a|an|the)\s+", "")
+    return F.regexp_replace(F.regexp_replace(strip(value), r"[.,!?;:]+$", ""), r"(?i)^(?:a|an|the)\s+", "")
 
 
 def fact(text: Column) -> Column:
