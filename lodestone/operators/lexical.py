@@ -5,6 +5,10 @@ All searches take texts (id, text), which are analysed once, or an ``Index`` bui
 
 from __future__ import annotations
 
+from collections import defaultdict
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +16,13 @@ from lodestone.functions import text as T
 from lodestone.operators.skew import join_spread
 from lodestone.session import cut_lineage, spread
 
+#: A word is frequent in more texts than this, and in more than one text in FREQUENT_SHARE.
+FREQUENT_DF = 1_000
+FREQUENT_SHARE = 1_000
+#: Postings that one task of a search holds, and queries that it answers.
+SHARD_POSTINGS = 4_000_000
+BLOCK_QUERIES = 50_000
+
 
 def tokens(docs: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """(id, tokens, dl) of each text that has a word."""
@@ -83,17 +94,117 @@ def top_k(scored: DataFrame, k: int, by: str = "score") -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def bm25(docs: DataFrame | Index, terms: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """(query_id, id, score) of every text that shares a word with a query; repeated words of a query count repeatedly."""
+def _bm25_parts(docs: DataFrame | Index, terms: DataFrame, k1: float, b: float) -> tuple[DataFrame, DataFrame]:
+    """The weights (query_id, term, w, df, n_docs) of the queries' words, and the gains (term, id, gain) of the texts."""
     tf, df, stats = _matched(docs, terms)
     idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    weights = terms.join(df, "term").crossJoin(F.broadcast(stats)).select("query_id", "term", (F.col("qtf") * idf).alias("w"), "avgdl")
+    weights = terms.join(df, "term").crossJoin(F.broadcast(stats)).select("query_id", "term", (F.col("qtf") * idf).alias("w"), "df", "n_docs")
     gain = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    hits = join_spread(weights, tf, "term", "id").select("query_id", "id", (F.col("w") * gain).alias("gain"))
+    return weights, tf.crossJoin(F.broadcast(stats)).select("term", "id", gain.alias("gain"))
+
+
+def _summed(weights: DataFrame, gains: DataFrame) -> DataFrame:
+    """(query_id, id, score): the sums of weight times gain, of every text that shares a word with a query."""
+    hits = join_spread(weights.select("query_id", "term", "w"), gains, "term", "id").select("query_id", "id", (F.col("w") * F.col("gain")).alias("gain"))
     # few rows meet in one (query, text), so one exchange by query serves the sum and the ranking after it
     return hits.repartition("query_id").groupBy("query_id", "id").agg(F.round(F.sum("gain"), 6).alias("score"))
 
 
+def _best_of_block(k: int):
+    """The search of one block of queries in one shard of the texts, both packed, as a function of Arrow tables."""
+
+    def order(scores: np.ndarray) -> np.ndarray:
+        return np.floor(scores * 1e6 + 0.5)
+
+    def first(scores: np.ndarray) -> np.ndarray:
+        """The places of the k best by rounded score, then place."""
+        if len(scores) <= k:
+            return np.arange(len(scores))
+        key = order(scores)
+        least = np.partition(key, len(key) - k)[len(key) - k]
+        above = np.flatnonzero(key > least)
+        return np.sort(np.concatenate([above, np.flatnonzero(key == least)[: k - len(above)]]))
+
+    def run(texts: pa.Table, asked: pa.Table) -> pa.Table:
+        ids = texts["ids"].combine_chunks()
+        ends = np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+        known, at = np.unique(ids.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
+        gains = texts["gains"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        place = {t: (at[i:j], gains[i:j]) for t, i, j in zip(texts["term"].to_pylist(), ends, ends[1:], strict=False)}
+        none = (np.empty(0, np.int64), np.empty(0))
+        # queries with the same frequent words read the long lists once
+        alike = defaultdict(list)
+        for n, (often, seldom) in enumerate(zip(asked["often"].to_pylist(), asked["seldom"].to_pylist(), strict=True)):
+            alike[tuple((x["term"], x["w"]) for x in often)].append((n, seldom))
+        rows, found, scores = [], [], []
+        total, seen = np.zeros(len(known)), np.zeros(len(known), bool)
+        for often, queries in alike.items():
+            total[:] = 0
+            for t, w in often:
+                o, g = place.get(t, none)
+                total[o] += w * g
+            some = np.flatnonzero(total) if often else none[0]
+            # a text without a seldom word is among the best of a query only if it is among those of its frequent words
+            some = some[first(total[some])]
+            for n, seldom in queries:
+                lists = [(*place.get(x["term"], none), x["w"]) for x in seldom]
+                own = np.unique(np.concatenate([none[0], *[o for o, _, _ in lists]]))
+                score = total[own]
+                for o, g, w in lists:
+                    score[np.searchsorted(own, o)] += w * g
+                seen[own] = True
+                rest = some[~seen[some]]
+                seen[own] = False
+                both, score = np.concatenate([own, rest]), np.concatenate([score, total[rest]])
+                if len(both) > k:
+                    best = np.lexsort((both, -order(score)))[:k]
+                    both, score = both[best], score[best]
+                rows.append(np.full(len(both), n))
+                found.append(both)
+                scores.append(score)
+        rows, found, scores = (np.concatenate(x) if x else none[0] for x in (rows, found, scores))
+        taken = pa.array(known, type=ids.type.value_type).take(pa.array(found.astype(np.int64)))
+        return pa.table({"query_id": asked["query_id"].take(pa.array(rows.astype(np.int64))), "id": taken, "score": pa.array(scores.astype(float))})
+
+    return run
+
+
+def _best(weights: DataFrame, gains: DataFrame, k: int, frequent: int = FREQUENT_DF, shard: int = SHARD_POSTINGS) -> DataFrame:
+    """``top_k`` of ``_summed`` without a row for each query and text that share a word; weights and gains are above 0.
+
+    The texts of frequent words are summed once for all queries that have the same of them; a query then adds its seldom
+    words. Blocks of queries meet shards of texts, of which each gives its k best.
+    """
+    spark = weights.sparkSession
+    limit = F.greatest(F.lit(frequent), F.col("n_docs") / FREQUENT_SHARE)
+    word = F.struct("term", "w")
+    packed = weights.groupBy("query_id").agg(
+        F.array_sort(F.collect_list(F.when(F.col("df") > limit, word))).alias("often"), F.array_sort(F.collect_list(F.when(F.col("df") <= limit, word))).alias("seldom")
+    )
+    packed = cut_lineage(packed)
+    blocks = max(2 * spark.sparkContext.defaultParallelism, packed.count() // BLOCK_QUERIES)
+    shards = max(1, -(-gains.count() // shard))
+    asked = packed.withColumn("block", F.pmod(F.xxhash64(F.when(F.size("often") > 0, F.to_json("often")).otherwise(F.col("query_id").cast("string"))), F.lit(blocks)).cast("int"))
+    needed = asked.select("block", F.explode(F.concat("often", "seldom")).alias("x")).select("block", "x.term").distinct()
+    lists = gains.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")).groupBy("shard", "term")
+    lists = lists.agg(F.collect_list(F.struct("id", "gain")).alias("x")).select("shard", "term", F.col("x.id").alias("ids"), F.col("x.gain").alias("gains"))
+    texts = lists.join(needed, "term").select("block", "shard", "term", "ids", "gains")
+    asked = asked.select("query_id", "often", "seldom", F.col("block").alias("_block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("_shard"))
+    types = dict(weights.dtypes) | dict(gains.dtypes)
+    found = texts.groupBy("block", "shard").cogroup(asked.groupBy("_block", "_shard")).applyInArrow(_best_of_block(k), f"query_id {types['query_id']}, id {types['id']}, score double")
+    return top_k(found.withColumn("score", F.round("score", 6)), k)
+
+
+def bm25(docs: DataFrame | Index, terms: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """(query_id, id, score) of every text that shares a word with a query; repeated words of a query count repeatedly."""
+    return _summed(*_bm25_parts(docs, terms, k1, b))
+
+
+def bm25_best(docs: DataFrame | Index, terms: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, **sizes: int) -> DataFrame:
+    """(query_id, id, score, rank): the k best texts of each query by ``bm25``."""
+    return _best(*_bm25_parts(docs, terms, k1, b), k, **sizes)
+
+
 def bm25_isolated(docs: DataFrame, terms: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(query_id, id, score) where each query has texts (query_id, id, text) of its own, and statistics of those alone."""
     toks = cut_lineage(docs.select("query_id", "id", T.words(F.col("text")).alias("tokens")).withColumn("dl", F.size("tokens")).where("dl > 0"))
@@ -106,14 +217,22 @@ def bm25_isolated(docs: DataFrame, terms: DataFrame, k1: float = 1.5, b: float =
     return words.join(df, ["query_id", "term"]).join(stats, "query_id").groupBy("query_id", "id").agg(F.round(F.sum(gain), 6).alias("score"))
 
 
-def tfidf(docs: DataFrame | Index, terms: DataFrame) -> DataFrame:
-    """(query_id, id, score): the mean over a query's distinct words of their share of the text times their rarity."""
+def _tfidf_parts(docs: DataFrame | Index, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
     tf, df, stats = _matched(docs, terms)
     size = terms.groupBy("query_id").agg(F.count("*").alias("q_terms"))
     idf = F.log((F.col("n_docs") + 1) / (F.col("df") + 1)) + 1
-    weights = terms.join(df, "term").join(size, "query_id").crossJoin(F.broadcast(stats)).select("query_id", "term", (idf / F.col("q_terms")).alias("w"))
-    hits = join_spread(weights, tf, "term", "id").select("query_id", "id", (F.col("w") * F.col("tf") / F.col("dl")).alias("gain"))
-    return hits.repartition("query_id").groupBy("query_id", "id").agg(F.round(F.sum("gain"), 6).alias("score"))
+    weights = terms.join(df, "term").join(size, "query_id").crossJoin(F.broadcast(stats)).select("query_id", "term", (idf / F.col("q_terms")).alias("w"), "df", "n_docs")
+    return weights, tf.select("term", "id", (F.col("tf") / F.col("dl")).alias("gain"))
+
+
+def tfidf(docs: DataFrame | Index, terms: DataFrame) -> DataFrame:
+    """(query_id, id, score): the mean over a query's distinct words of their share of the text times their rarity."""
+    return _summed(*_tfidf_parts(docs, terms))
+
+
+def tfidf_best(docs: DataFrame | Index, terms: DataFrame, k: int, **sizes: int) -> DataFrame:
+    """(query_id, id, score, rank): the k best texts of each query by ``tfidf``."""
+    return _best(*_tfidf_parts(docs, terms), k, **sizes)
 
 
 def boolean_or(docs: DataFrame | Index, terms: DataFrame) -> DataFrame:

@@ -45,7 +45,7 @@ def _top(source: str, k: int, score: str = "score", order: str = "DESC") -> str:
 
 @register("bm25_topk", f"WITH {_LEX}, {_BM25} {_top('bm25', 150)}")
 def bm25_topk(spark, sf):
-    rows = lexical.top_k(lexical.bm25(_docs(spark, sf), _terms(spark, sf), S.k1, S.b), S.source_k)
+    rows = lexical.bm25_best(_docs(spark, sf), _terms(spark, sf), S.source_k, S.k1, S.b)
     return rows.select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
 
 

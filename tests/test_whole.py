@@ -82,3 +82,20 @@ def test_signals_of_plugins_count(spark):
     plain, raised = ({(r.query_id, r.id): r.base for r in rank.recall(*args, plugins=p).collect()} for p in (None, plugins))
     common = set(plain) & set(raised)
     assert common and all(abs(raised[k] - plain[k] - 0.25) < 2e-6 for k in common)
+
+
+def test_best_texts_without_a_row_for_each_shared_word(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    vocabulary = [f"w{i}" for i in range(40)]
+    chance = 1 / np.arange(1, 41)
+    text = lambda n: " ".join(rng.choice(vocabulary, n, p=chance / chance.sum()))
+    docs = spark.createDataFrame([(i, text(rng.integers(1, 9))) for i in range(400)], "id long, text string")
+    asked = spark.createDataFrame([(i, text(rng.integers(1, 6)) + " nowhere" * (i % 3)) for i in range(60)], "question_id long, query_text string")
+    terms = lexical.query_terms(asked, "question_id", "query_text", [])
+    pairs = ((lexical.bm25, lexical.bm25_best), (lexical.tfidf, lexical.tfidf_best))
+    want = [{tuple(r) for r in lexical.top_k(every(docs, terms), 15).collect()} for every, _ in pairs]
+    monkeypatch.setattr(lexical, "_summed", None)
+    for (_, best), rows in zip(pairs, want, strict=True):
+        for sizes in ({}, {"frequent": 30, "shard": 500}, {"frequent": 0}):
+            got = [tuple(r) for r in best(docs, terms, 15, **sizes).collect()]
+            assert len(got) == len(rows) and set(got) == rows
