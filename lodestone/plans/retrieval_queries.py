@@ -56,7 +56,7 @@ _TFIDF = """nq AS (SELECT query_id, count(*) AS q_terms FROM qt GROUP BY 1),
 
 @register("tfidf_topk", f"WITH {_LEX}, {_TFIDF} {_top('tfidf', 50)}")
 def tfidf_topk(spark, sf):
-    rows = lexical.top_k(lexical.tfidf(_docs(spark, sf), _terms(spark, sf)), 50)
+    rows = lexical.tfidf_best(_docs(spark, sf), _terms(spark, sf), 50)
     return rows.select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
 
 
