@@ -110,6 +110,15 @@ def _summed(weights: DataFrame, gains: DataFrame) -> DataFrame:
     return hits.repartition("query_id").groupBy("query_id", "id").agg(F.round(F.sum("gain"), 6).alias("score"))
 
 
+def _unpacked(texts: pa.Table) -> tuple[pa.Array, dict[str, tuple[np.ndarray, np.ndarray]]]:
+    """The ids of a shard in order, and by word the places of its texts among them and their gains."""
+    ids = texts["ids"].combine_chunks()
+    ends = np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+    known, at = np.unique(ids.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
+    gains = texts["gains"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    return pa.array(known, type=ids.type.value_type), {t: (at[i:j], gains[i:j]) for t, i, j in zip(texts["term"].to_pylist(), ends, ends[1:], strict=False)}
+
+
 def _best_of_block(k: int):
     """The search of one block of queries in one shard of the texts, both packed, as a function of Arrow tables."""
 
@@ -126,11 +135,7 @@ def _best_of_block(k: int):
         return np.sort(np.concatenate([above, np.flatnonzero(key == least)[: k - len(above)]]))
 
     def run(texts: pa.Table, asked: pa.Table) -> pa.Table:
-        ids = texts["ids"].combine_chunks()
-        ends = np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
-        known, at = np.unique(ids.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
-        gains = texts["gains"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        place = {t: (at[i:j], gains[i:j]) for t, i, j in zip(texts["term"].to_pylist(), ends, ends[1:], strict=False)}
+        known, place = _unpacked(texts)
         none = (np.empty(0, np.int64), np.empty(0))
         # queries with the same frequent words read the long lists once
         alike = defaultdict(list)
@@ -163,35 +168,58 @@ def _best_of_block(k: int):
                 found.append(both)
                 scores.append(score)
         rows, found, scores = (np.concatenate(x) if x else none[0] for x in (rows, found, scores))
-        taken = pa.array(known, type=ids.type.value_type).take(pa.array(found.astype(np.int64)))
-        return pa.table({"query_id": asked["query_id"].take(pa.array(rows.astype(np.int64))), "id": taken, "score": pa.array(scores.astype(float))})
+        return pa.table({"query_id": asked["query_id"].take(pa.array(rows.astype(np.int64))), "id": known.take(pa.array(found.astype(np.int64))), "score": pa.array(scores.astype(float))})
 
     return run
 
 
+def _all_of_block(texts: pa.Table, asked: pa.Table) -> pa.Table:
+    """The texts with all words of each query of a block: the shortest list is looked up in the longer ones."""
+    known, place = _unpacked(texts)
+    place = {t: np.sort(o) for t, (o, _) in place.items()}
+    rows, found = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for n, seldom in enumerate(asked["seldom"].to_pylist()):
+        lists = sorted((place.get(x["term"], found[0]) for x in seldom), key=len)
+        own = lists[0]
+        for o in lists[1:]:
+            if not len(own):
+                break
+            own = own[o[np.minimum(np.searchsorted(o, own), len(o) - 1)] == own]
+        rows.append(np.full(len(own), n))
+        found.append(own)
+    rows, found = (pa.array(np.concatenate(x).astype(np.int64)) for x in (rows, found))
+    return pa.table({"query_id": asked["query_id"].take(rows), "id": known.take(found)})
+
+
+def _meet(packed: DataFrame, gains: DataFrame, run, scored: str, shard: int) -> DataFrame:
+    """What ``run`` finds for blocks of materialised queries (query_id, often, seldom) in shards of materialised gains (term, id, gain).
+
+    Queries with the same frequent words are in one block. A word's list goes, packed, to the blocks that ask for it.
+    """
+    blocks = max(2 * packed.sparkSession.sparkContext.defaultParallelism, packed.count() // BLOCK_QUERIES)
+    shards = max(1, -(-gains.count() // shard))
+    asked = packed.withColumn("block", F.pmod(F.xxhash64(F.when(F.size("often") > 0, F.to_json("often")).otherwise(F.col("query_id").cast("string"))), F.lit(blocks)).cast("int"))
+    needed = asked.select("block", F.explode(F.concat("often", "seldom")).alias("x")).select("block", "x.term").distinct()
+    lists = gains.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")).groupBy("shard", "term")
+    lists = lists.agg(F.collect_list(F.struct("id", "gain")).alias("x")).select("shard", "term", F.col("x.id").alias("ids"), F.col("x.gain").alias("gains"))
+    texts = lists.join(needed, "term").select("block", "shard", "term", "ids", "gains")
+    asked = asked.select("query_id", "often", "seldom", F.col("block").alias("_block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("_shard"))
+    schema = f"query_id {dict(packed.dtypes)['query_id']}, id {dict(gains.dtypes)['id']}{scored}"
+    return texts.groupBy("block", "shard").cogroup(asked.groupBy("_block", "_shard")).applyInArrow(run, schema)
+
+
 def _best(weights: DataFrame, gains: DataFrame, k: int, frequent: int = FREQUENT_DF, shard: int = SHARD_POSTINGS) -> DataFrame:
     """``top_k`` of ``_summed`` without a row for each query and text that share a word; weights and gains are above 0.
 
     The texts of frequent words are summed once for all queries that have the same of them; a query then adds its seldom
     words. Blocks of queries meet shards of texts, of which each gives its k best.
     """
-    spark = weights.sparkSession
     limit = F.greatest(F.lit(frequent), F.col("n_docs") / FREQUENT_SHARE)
     word = F.struct("term", "w")
     packed = weights.groupBy("query_id").agg(
         F.array_sort(F.collect_list(F.when(F.col("df") > limit, word))).alias("often"), F.array_sort(F.collect_list(F.when(F.col("df") <= limit, word))).alias("seldom")
     )
-    packed = cut_lineage(packed)
-    blocks = max(2 * spark.sparkContext.defaultParallelism, packed.count() // BLOCK_QUERIES)
-    shards = max(1, -(-gains.count() // shard))
-    asked = packed.withColumn("block", F.pmod(F.xxhash64(F.when(F.size("often") > 0, F.to_json("often")).otherwise(F.col("query_id").cast("string"))), F.lit(blocks)).cast("int"))
-    needed = asked.select("block", F.explode(F.concat("often", "seldom")).alias("x")).select("block", "x.term").distinct()
-    lists = gains.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")).groupBy("shard", "term")
-    lists = lists.agg(F.collect_list(F.struct("id", "gain")).alias("x")).select("shard", "term", F.col("x.id").alias("ids"), F.col("x.gain").alias("gains"))
-    texts = lists.join(needed, "term").select("block", "shard", "term", "ids", "gains")
-    asked = asked.select("query_id", "often", "seldom", F.col("block").alias("_block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("_shard"))
-    types = dict(weights.dtypes) | dict(gains.dtypes)
-    found = texts.groupBy("block", "shard").cogroup(asked.groupBy("_block", "_shard")).applyInArrow(_best_of_block(k), f"query_id {types['query_id']}, id {types['id']}, score double")
+    found = _meet(cut_lineage(packed), gains, _best_of_block(k), ", score double", shard)
     return top_k(found.withColumn("score", F.round("score", 6)), k)
 
 
@@ -241,13 +269,14 @@ def boolean_or(docs: DataFrame | Index, terms: DataFrame) -> DataFrame:
     return join_spread(terms.select("query_id", "term"), tf, "term", "id").select("query_id", "id").distinct()
 
 
-def boolean_and(docs: DataFrame | Index, terms: DataFrame, known_only: bool = False) -> DataFrame:
+def boolean_and(docs: DataFrame | Index, terms: DataFrame, known_only: bool = False, shard: int = SHARD_POSTINGS) -> DataFrame:
     """(query_id, id): texts with all words of the query; with known_only words that occur nowhere are ignored."""
     tf, df, _ = _matched(docs, terms)
-    needed = terms.join(df.select("term"), "term", "left_semi") if known_only else terms
-    needed = needed.groupBy("query_id").agg(F.count("*").alias("needed"))
-    hits = join_spread(terms.select("query_id", "term"), tf, "term", "id").groupBy("query_id", "id").agg(F.count("*").alias("hits"))
-    return hits.join(needed, "query_id").where("hits = needed").select("query_id", "id")
+    rows = terms.select("query_id", "term").join(df.withColumn("known", F.lit(1)), "term", "left").groupBy("query_id")
+    word = F.struct("term")
+    asked = rows.agg(F.count("*").alias("n"), F.count("known").alias("known"), F.collect_list(F.when(F.col("known") == 1, word)).alias("seldom")).where("known > 0")
+    asked = (asked if known_only else asked.where("known = n")).select("query_id", F.filter("seldom", lambda x: F.lit(False)).alias("often"), "seldom")
+    return _meet(cut_lineage(asked), tf.select("term", "id", F.lit(1.0).alias("gain")), _all_of_block, "", shard)
 
 
 def phrase_search(docs: DataFrame, phrases: DataFrame) -> DataFrame:

@@ -99,3 +99,18 @@ def test_best_texts_without_a_row_for_each_shared_word(spark, monkeypatch):
         for sizes in ({}, {"frequent": 30, "shard": 500}, {"frequent": 0}):
             got = [tuple(r) for r in best(docs, terms, 15, **sizes).collect()]
             assert len(got) == len(rows) and set(got) == rows
+
+
+def test_texts_with_all_words_without_a_row_for_each_shared_word(spark, monkeypatch):
+    monkeypatch.setattr(lexical, "join_spread", None)
+    rng = np.random.default_rng(7)
+    texts = {i: [f"w{x}" for x in rng.integers(0, 9, rng.integers(1, 7))] for i in range(200)}
+    asks = {i: [f"w{x}" for x in rng.integers(0, 11, rng.integers(1, 4))] for i in range(40)}
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "id long, text string")
+    terms = lexical.query_terms(spark.createDataFrame([(i, " ".join(t)) for i, t in asks.items()], "question_id long, query_text string"), "question_id", "query_text", [])
+    known = {w for t in texts.values() for w in t}
+    for known_only in (False, True):
+        needed = {q: set(t) & known if known_only else set(t) for q, t in asks.items()}
+        want = {(q, i) for q, n in needed.items() for i, t in texts.items() if n and n <= set(t)}
+        got = [tuple(r) for r in lexical.boolean_and(docs, terms, known_only, shard=100).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
