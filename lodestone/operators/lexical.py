@@ -279,9 +279,19 @@ def boolean_and(docs: DataFrame | Index, terms: DataFrame, known_only: bool = Fa
     return _meet(cut_lineage(asked), tf.select("term", "id", F.lit(1.0).alias("gain")), _all_of_block, "", shard)
 
 
+def phrase_hits(docs: DataFrame, phrases: DataFrame) -> DataFrame:
+    """(words, id, hits) of texts that hold the words of a phrase (words) in a row; hits counts the places.
+
+    Only places that hold a word of some phrase count; runs of such places are taken as wholes and compared with the phrases.
+    """
+    once = phrases.select("words").where(F.size("words") > 0).distinct()
+    places = positions(docs).join(once.select(F.explode("words").alias("term")).distinct(), "term", "left_semi")
+    each = places.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("pos", "term"))).alias("x")).crossJoin(F.broadcast(once.select(F.size("words").alias("n")).distinct()))
+    each = each.where("size(x) >= n").select("id", "x", "n", F.explode(F.sequence(F.lit(1), F.size("x") - F.col("n") + 1)).alias("i"))
+    runs = each.where(F.element_at("x", F.col("i") + F.col("n") - 1)["pos"] - F.element_at("x", F.col("i"))["pos"] == F.col("n") - 1)
+    return runs.select("id", F.slice("x", F.col("i"), F.col("n"))["term"].alias("words")).join(once, "words").groupBy("words", "id").agg(F.count("*").alias("hits"))
+
+
 def phrase_search(docs: DataFrame, phrases: DataFrame) -> DataFrame:
     """(query_id, id, hits) of texts that hold the words of ``phrases.words`` in a row; hits counts the places."""
-    parts = phrases.select("query_id", F.size("words").alias("n"), F.posexplode("words").alias("off", "term"))
-    places = positions(docs).join(parts.select("term").distinct(), "term", "left_semi")
-    starts = places.join(parts, "term").groupBy("query_id", "n", "id", (F.col("pos") - F.col("off")).alias("start")).agg(F.count("*").alias("c"))
-    return starts.where("c = n").groupBy("query_id", "id").agg(F.count("*").alias("hits"))
+    return phrase_hits(docs, phrases).join(phrases.distinct(), "words").groupBy("query_id", "id").agg(F.sum("hits").alias("hits"))

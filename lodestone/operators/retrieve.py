@@ -12,6 +12,7 @@ from lodestone.functions import text as T
 from lodestone.functions import vocab
 from lodestone.functions.vocab import Settings
 from lodestone.operators import graph, lexical, routing, store
+from lodestone.session import cut_lineage
 
 #: The sources in the order of their priority, the last one first.
 SOURCES = ("vector", "bm25", "graph", "phrase", "attribute")
@@ -41,29 +42,35 @@ def phrases(asked: DataFrame) -> DataFrame:
 
 def by_phrase(asked: DataFrame, docs: DataFrame, k: int = 100) -> DataFrame:
     """(query_id, id, hits, rank): the k texts that hold a phrase most often; of several phrases the best one counts."""
-    each = phrases(asked).withColumn("pid", F.xxhash64("query_id", "words"))
-    found = lexical.phrase_search(docs, each.select(F.struct("query_id", "pid").alias("query_id"), "words"))
-    best = found.groupBy(F.col("query_id.query_id").alias("query_id"), "id").agg(F.max("hits").alias("hits"))
+    each = cut_lineage(phrases(asked))
+    found = lexical.phrase_hits(docs, each)
+    # what is among the best of a question is among those of the phrase it holds most often; questions share phrases
+    own = found.withColumn("n", F.row_number().over(Window.partitionBy("words").orderBy(F.desc("hits"), "id"))).where(F.col("n") <= k)
+    best = own.join(each, "words").groupBy("query_id", "id").agg(F.max("hits").alias("hits"))
     w = Window.partitionBy("query_id").orderBy(F.desc("hits"), "id")
     return best.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 
 def by_words(docs: DataFrame | lexical.Index, terms: DataFrame, settings: Settings) -> DataFrame:
     """(query_id, id, score): the best texts of each question by BM25."""
-    return lexical.top_k(lexical.bm25(docs, terms, settings.k1, settings.b), settings.source_k).select("query_id", "id", "score")
+    return lexical.bm25_best(docs, terms, settings.source_k, settings.k1, settings.b).select("query_id", "id", "score")
 
 
 def sources(
-    asked: DataFrame, terms: DataFrame, memories: DataFrame, edges: DataFrame | None = None, near: DataFrame | None = None, index: lexical.Index | None = None, settings: Settings = Settings()
+    asked: DataFrame, terms: DataFrame, memories: DataFrame, edges: DataFrame | None = None, near: DataFrame | None = None, index: lexical.Index | None = None, settings: Settings = Settings(), only: tuple[str, ...] = SOURCES
 ) -> dict[str, DataFrame]:
-    """(query_id, id, distance) by source; those without input are left out. near: (query_id, id, distance) of a vector search."""
+    """(query_id, id, distance) by source; those without input or not among ``only`` are not searched. near: (query_id, id, distance) of a vector search."""
     docs = store.live(memories).select("id", "text")
     at_once = lambda rows: rows.select("query_id", "id", F.lit(0.0).alias("distance"))
-    found = {} if near is None else {"vector": near.groupBy("query_id", "id").agg(F.min("distance").alias("distance"))}
-    found["bm25"] = by_words(index or docs, terms, settings).select("query_id", "id", SC.bm25_distance(F.col("score")).alias("distance"))
-    if edges is not None:
-        found["graph"] = at_once(by_graph(asked, edges, settings.graph_k))
-    return found | {"phrase": at_once(by_phrase(asked, docs)), "attribute": at_once(by_attribute(asked, memories))}
+    found = {
+        "vector": lambda: near.groupBy("query_id", "id").agg(F.min("distance").alias("distance")),
+        "bm25": lambda: by_words(index or docs, terms, settings).select("query_id", "id", SC.bm25_distance(F.col("score")).alias("distance")),
+        "graph": lambda: at_once(by_graph(asked, edges, settings.graph_k)),
+        "phrase": lambda: at_once(by_phrase(asked, docs)),
+        "attribute": lambda: at_once(by_attribute(asked, memories)),
+    }
+    missing = {s for s, rows in (("vector", near), ("graph", edges)) if rows is None}
+    return {s: f() for s, f in found.items() if s in only and s not in missing}
 
 
 def union(found: dict[str, DataFrame], priority: tuple[str, ...] = SOURCES) -> DataFrame:

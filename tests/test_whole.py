@@ -114,3 +114,10 @@ def test_texts_with_all_words_without_a_row_for_each_shared_word(spark, monkeypa
         want = {(q, i) for q, n in needed.items() for i, t in texts.items() if n and n <= set(t)}
         got = [tuple(r) for r in lexical.boolean_and(docs, terms, known_only, shard=100).collect()]
         assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_phrases_with_repeated_words_and_phrases_given_twice(spark):
+    docs = spark.createDataFrame([(1, "a b a b a"), (2, "a a a"), (3, "b x a"), (4, "x")], "id long, text string")
+    asked = spark.createDataFrame([(1, ["a", "b", "a"]), (2, ["a", "a"]), (3, ["a"]), (4, ["b", "a"]), (4, ["b", "a"]), (5, []), (6, ["nowhere"])], "query_id long, words array<string>")
+    got = {tuple(r) for r in lexical.phrase_search(docs, asked).collect()}
+    assert got == {(1, 1, 2), (2, 2, 2), (3, 1, 3), (3, 2, 3), (3, 3, 1), (4, 1, 2)}
