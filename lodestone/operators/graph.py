@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.operators.skew import join_spread
@@ -90,3 +90,28 @@ def reachable_memories(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFr
     """(seed, memory_id, hops): memories of entities within ``depth`` edges, with the least number of edges."""
     near = hops(adjacency(edges), seeds, depth)
     return join_spread(near, cut_lineage(entity_memories(edges)), "node", "memory_id").groupBy("seed", "memory_id").agg(F.min("hops").alias("hops"))
+
+
+def nearest_memories(edges: DataFrame, seeds: DataFrame, depth: int, k: int) -> DataFrame:
+    """(seed, memory_id, hops): the k first of ``reachable_memories`` of each seed by edges, then id, without those of all nodes in reach.
+
+    A level holds the memories at the end of so many edges from each node. Of a level the 2 * k first ids are enough: if
+    fewer than k memories are nearer, no more than those can stand before the k that count.
+    """
+    links = cut_lineage(adjacency(edges).select("src", "dst"))
+    first = Window.partitionBy("node").orderBy("memory_id")
+
+    def least(rows: DataFrame) -> DataFrame:
+        return cut_lineage(rows.distinct().withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= 2 * k).drop("_n"))
+
+    starts = cut_lineage(seeds.select(F.col("seed").alias("node")).distinct())
+    level = least(entity_memories(edges))
+    found = level.join(starts, "node").withColumn("hops", F.lit(0).cast("long"))
+    for d in range(1, depth + 1):
+        # the last level is needed only for the seeds
+        ways = links if d < depth else links.join(starts.withColumnRenamed("node", "src"), "src", "left_semi")
+        level = least(ways.join(level.withColumnRenamed("node", "dst"), "dst").select(F.col("src").alias("node"), "memory_id"))
+        found = found.unionByName(level.join(starts, "node").withColumn("hops", F.lit(d).cast("long")))
+    rows = found.groupBy(F.col("node").alias("seed"), "memory_id").agg(F.min("hops").alias("hops"))
+    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("seed").orderBy("hops", "memory_id")))
+    return rows.where(F.col("_n") <= k).drop("_n")

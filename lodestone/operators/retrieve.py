@@ -27,7 +27,7 @@ def by_attribute(asked: DataFrame, memories: DataFrame) -> DataFrame:
 def by_graph(asked: DataFrame, edges: DataFrame, k: int, depth: int = 2) -> DataFrame:
     """(query_id, id, hops, rank): the k nearest memories of entities within ``depth`` edges of the one asked about."""
     seeds = asked.where("q_subject IS NOT NULL").select("query_id", F.lower("q_subject").alias("seed"))
-    found = graph.reachable_memories(edges.where("source IS NOT NULL AND target IS NOT NULL"), seeds.select("seed").distinct(), depth)
+    found = graph.nearest_memories(edges.where("source IS NOT NULL AND target IS NOT NULL"), seeds.select("seed").distinct(), depth, k)
     rows = seeds.join(found, "seed").groupBy("query_id", F.col("memory_id").alias("id")).agg(F.min("hops").alias("hops"))
     w = Window.partitionBy("query_id").orderBy("hops", "id")
     return rows.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)

@@ -230,7 +230,7 @@ def phrase_retrieval(spark, sf):
 def union_sources(spark, sf, sources: tuple[str, ...] = retrieve.SOURCES):
     """(query_id, id, distance, p, source): the candidates of all sources; of several sources of one memory the last one wins."""
     near = table(spark, sf, "candidates").select("query_id", F.col("memory_id").alias("id"), "distance")
-    found = retrieve.sources(rank.understand(table(spark, sf, "questions")), _terms(spark, sf), table(spark, sf, "memories"), table(spark, sf, "graph_edges"), near, settings=S)
+    found = retrieve.sources(rank.understand(table(spark, sf, "questions")), _terms(spark, sf), table(spark, sf, "memories"), table(spark, sf, "graph_edges"), near, settings=S, only=sources)
     return retrieve.union({s: found[s] for s in sources})
 
 
@@ -274,7 +274,7 @@ def candidate_cap(spark, sf):
 def sequential_retrieval(spark, sf):
     """Vector, then attribute, then graph, each without what was found before."""
     near = table(spark, sf, "candidates").select("query_id", F.col("memory_id").alias("id"), "distance")
-    found = retrieve.sources(rank.understand(table(spark, sf, "questions")), _terms(spark, sf), table(spark, sf, "memories"), table(spark, sf, "graph_edges"), near, settings=S)
+    found = retrieve.sources(rank.understand(table(spark, sf, "questions")), _terms(spark, sf), table(spark, sf, "memories"), table(spark, sf, "graph_edges"), near, settings=S, only=("vector", "attribute", "graph"))
     return retrieve.sequential(found).select("query_id", "id", "source", F.round("distance", 6).alias("distance"))
 
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import vocab
-from lodestone.operators import learn, lexical, rank, retrieve, routing, vector
+from lodestone.operators import graph, learn, lexical, rank, retrieve, routing, vector
 from lodestone.plans import retrieval_queries as R
 from lodestone.plugins import Registry
 from lodestone.session import table
@@ -121,3 +121,25 @@ def test_phrases_with_repeated_words_and_phrases_given_twice(spark):
     asked = spark.createDataFrame([(1, ["a", "b", "a"]), (2, ["a", "a"]), (3, ["a"]), (4, ["b", "a"]), (4, ["b", "a"]), (5, []), (6, ["nowhere"])], "query_id long, words array<string>")
     got = {tuple(r) for r in lexical.phrase_search(docs, asked).collect()}
     assert got == {(1, 1, 2), (2, 2, 2), (3, 1, 3), (3, 2, 3), (3, 3, 1), (4, 1, 2)}
+
+
+@tables
+def test_sequential_retrieval_searches_only_its_sources(spark, monkeypatch):
+    monkeypatch.setattr(retrieve, "by_words", None)
+    monkeypatch.setattr(retrieve, "by_phrase", None)
+    assert {r.source for r in R.sequential_retrieval(spark, FOLDER).select("source").distinct().collect()} <= {"vector", "attribute", "graph"}
+
+
+def test_nearest_memories_are_the_first_of_those_in_reach(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    rows = [(i, int(rng.integers(0, 60)), f"n{rng.integers(0, 14)}", "r", "hub" if i % 5 == 0 else f"n{rng.integers(0, 14)}", 1.0) for i in range(90)]
+    rows += [(100 + i, int(rng.integers(0, 60)), "hub", "r", f"n{rng.integers(0, 14)}", 1.0) for i in range(20)]
+    edges = spark.createDataFrame(rows, "id long, memory_id long, source string, relation string, target string, weight double")
+    seeds = spark.createDataFrame([("n1",), ("n2",), ("hub",), ("nobody",)], "seed string")
+    every = {}
+    for r in graph.reachable_memories(edges, seeds, 2).collect():
+        every.setdefault(r.seed, []).append((r.hops, r.memory_id))
+    monkeypatch.setattr(graph, "hops", None)
+    for k in (3, 10, 50):
+        got = [tuple(r) for r in graph.nearest_memories(edges, seeds, 2, k).collect()]
+        assert sorted(got) == sorted((s, i, h) for s, found in every.items() for h, i in sorted(found)[:k])
