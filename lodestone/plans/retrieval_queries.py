@@ -534,5 +534,5 @@ def stored_postings(spark, sf):
     """The best memories by words from an index that was written and read back."""
     at = f"{checkpoint_dir(spark).rstrip('/')}/index-{uuid.uuid4().hex}"
     lexical.Index.build(_docs(spark, sf)).save(at)
-    rows = lexical.top_k(lexical.bm25(lexical.Index.load(spark, at), _terms(spark, sf), S.k1, S.b), S.source_k)
+    rows = lexical.bm25_best(lexical.Index.load(spark, at), _terms(spark, sf), S.source_k, S.k1, S.b)
     return rows.select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
