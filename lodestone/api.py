@@ -105,7 +105,7 @@ class Engine:
     def search(self, questions: DataFrame, k: int | None = None) -> DataFrame:
         """(query_id, id, score, rank): the best memories by their words; questions have (question_id, query_text)."""
         docs = self.index or store.live(self.memories).select("id", "text")
-        return lexical.top_k(lexical.bm25(docs, retrieve.terms_of(questions), self.settings.k1, self.settings.b), k or self.settings.source_k)
+        return lexical.bm25_best(docs, retrieve.terms_of(questions), k or self.settings.source_k, self.settings.k1, self.settings.b)
 
     def nearest(self, queries: DataFrame, vectors: DataFrame, k: int = 10, metric: str = "l2") -> DataFrame:
         return vector.knn(vectors, queries, k, metric)

@@ -79,7 +79,7 @@ _OWN = (
 def recall_of_own_retrieval(spark, sf):
     """Recall by family when the engine retrieves by words itself, instead of ranking the given candidates."""
     questions, memories = table(spark, sf, "questions"), table(spark, sf, "memories")
-    found = lexical.top_k(lexical.bm25(R._docs(spark, sf), R._terms(spark, sf)), S.source_k)
+    found = lexical.bm25_best(R._docs(spark, sf), R._terms(spark, sf), S.source_k)
     rows = found.select("query_id", F.col("id").alias("memory_id"), (1.0 / (F.col("score") + 1e-6)).alias("distance"), F.col("score").alias("bm25_score"), F.lit(False).alias("graph_hit"))
     shown = rank.recall(questions, rows, memories, S).join(memories.select("id", "text", "metadata"), "id")
     return evaluate.recall_at(evaluate.expected_rank(shown, questions), by=["family"])
