@@ -6,10 +6,11 @@ All searches take texts (id, text), which are analysed once, or an ``Index`` bui
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
@@ -22,6 +23,8 @@ FREQUENT_SHARE = 1_000
 #: Postings that one task of a search holds, and queries that it answers.
 SHARD_POSTINGS = 4_000_000
 BLOCK_QUERIES = 50_000
+#: Bits of the table of hashes by which most words that nobody asks for are left out before an exchange.
+WANTED_BITS = 1 << 20
 
 
 def tokens(docs: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
@@ -76,15 +79,30 @@ class Index:
         return cls(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/stats"))
 
 
+def _maybe(words: DataFrame) -> Callable[[Column], Column]:
+    """A test for the words (term): true for all of them and, as a table of WANTED_BITS decides by hash, for a few others."""
+    spark, at = words.sparkSession, F.pmod(F.xxhash64("term"), F.lit(WANTED_BITS))
+    bits = words.select(at.alias("at")).select(F.expr("at div 64 AS n"), F.expr("shiftleft(1L, cast(at % 64 AS int)) AS x"))
+    bits = bits.unionByName(spark.range(WANTED_BITS // 64).select(F.col("id").alias("n"), F.lit(0).cast("long").alias("x"))).groupBy("n").agg(F.bit_or("x").alias("x"))
+    known = bits.agg(F.sort_array(F.collect_list(F.struct("n", "x"))).alias("x")).select(F.col("x.x").alias("x")).scalar()
+
+    def test(word: Column) -> Column:
+        h = F.pmod(F.xxhash64(word), F.lit(WANTED_BITS))
+        return F.call_function("shiftright", F.get(known, F.shiftright(h, 6).cast("int")), (h % 64).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+    return test
+
+
 def _matched(docs: DataFrame | Index, terms: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The query's postings, their document frequencies, and the one-row statistics of the corpus."""
     wanted = terms.select("term").distinct()
+    may = _maybe(wanted)
     if isinstance(docs, Index):
-        tf, stats = cut_lineage(docs.postings.join(wanted, "term", "left_semi")), docs.stats
+        tf, stats = cut_lineage(docs.postings.where(may(F.col("term"))).join(wanted, "term", "left_semi")), docs.stats
     else:
         toks = cut_lineage(tokens(docs))
         stats = toks.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
-        tf = cut_lineage(toks.select("id", "dl", F.explode("tokens").alias("term")).join(wanted, "term", "left_semi").groupBy("term", "id", "dl").agg(F.count("*").alias("tf")))
+        tf = cut_lineage(toks.select("id", "dl", F.explode("tokens").alias("term")).where(may(F.col("term"))).join(wanted, "term", "left_semi").groupBy("term", "id", "dl").agg(F.count("*").alias("tf")))
     return tf, tf.groupBy("term").agg(F.count("*").alias("df")), stats
 
 
@@ -194,10 +212,11 @@ def _all_of_block(texts: pa.Table, asked: pa.Table) -> pa.Table:
 def _meet(packed: DataFrame, gains: DataFrame, run, scored: str, shard: int) -> DataFrame:
     """What ``run`` finds for blocks of materialised queries (query_id, often, seldom) in shards of materialised gains (term, id, gain).
 
-    Queries with the same frequent words are in one block. A word's list goes, packed, to the blocks that ask for it.
+    Queries with the same frequent words are in one block. A word's list goes, packed, to the blocks that ask for it,
+    so there are no more blocks than give all threads a share.
     """
-    blocks = max(2 * packed.sparkSession.sparkContext.defaultParallelism, packed.count() // BLOCK_QUERIES)
     shards = max(1, -(-gains.count() // shard))
+    blocks = max(-(-2 * packed.sparkSession.sparkContext.defaultParallelism // shards), packed.count() // BLOCK_QUERIES)
     asked = packed.withColumn("block", F.pmod(F.xxhash64(F.when(F.size("often") > 0, F.to_json("often")).otherwise(F.col("query_id").cast("string"))), F.lit(blocks)).cast("int"))
     needed = asked.select("block", F.explode(F.concat("often", "seldom")).alias("x")).select("block", "x.term").distinct()
     lists = gains.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")).groupBy("shard", "term")
@@ -282,10 +301,10 @@ def boolean_and(docs: DataFrame | Index, terms: DataFrame, known_only: bool = Fa
 def phrase_hits(docs: DataFrame, phrases: DataFrame) -> DataFrame:
     """(words, id, hits) of texts that hold the words of a phrase (words) in a row; hits counts the places.
 
-    Only places that hold a word of some phrase count; runs of such places are taken as wholes and compared with the phrases.
+    Only places that may hold a word of some phrase count; runs of such places are taken as wholes and compared with the phrases.
     """
     once = phrases.select("words").where(F.size("words") > 0).distinct()
-    places = positions(docs).join(once.select(F.explode("words").alias("term")).distinct(), "term", "left_semi")
+    places = positions(docs).where(_maybe(once.select(F.explode("words").alias("term")))(F.col("term")))
     each = places.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("pos", "term"))).alias("x")).crossJoin(F.broadcast(once.select(F.size("words").alias("n")).distinct()))
     each = each.where("size(x) >= n").select("id", "x", "n", F.explode(F.sequence(F.lit(1), F.size("x") - F.col("n") + 1)).alias("i"))
     runs = each.where(F.element_at("x", F.col("i") + F.col("n") - 1)["pos"] - F.element_at("x", F.col("i"))["pos"] == F.col("n") - 1)

@@ -28,7 +28,7 @@ def by_graph(asked: DataFrame, edges: DataFrame, k: int, depth: int = 2) -> Data
     """(query_id, id, hops, rank): the k nearest memories of entities within ``depth`` edges of the one asked about."""
     seeds = asked.where("q_subject IS NOT NULL").select("query_id", F.lower("q_subject").alias("seed"))
     found = graph.nearest_memories(edges.where("source IS NOT NULL AND target IS NOT NULL"), seeds.select("seed").distinct(), depth, k)
-    rows = seeds.join(found, "seed").groupBy("query_id", F.col("memory_id").alias("id")).agg(F.min("hops").alias("hops"))
+    rows = seeds.join(found, "seed").repartition("query_id").groupBy("query_id", F.col("memory_id").alias("id")).agg(F.min("hops").alias("hops"))
     w = Window.partitionBy("query_id").orderBy("hops", "id")
     return rows.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
@@ -46,7 +46,7 @@ def by_phrase(asked: DataFrame, docs: DataFrame, k: int = 100) -> DataFrame:
     found = lexical.phrase_hits(docs, each)
     # what is among the best of a question is among those of the phrase it holds most often; questions share phrases
     own = found.withColumn("n", F.row_number().over(Window.partitionBy("words").orderBy(F.desc("hits"), "id"))).where(F.col("n") <= k)
-    best = own.join(each, "words").groupBy("query_id", "id").agg(F.max("hits").alias("hits"))
+    best = own.join(each, "words").select("query_id", "id", "hits").repartition("query_id").groupBy("query_id", "id").agg(F.max("hits").alias("hits"))
     w = Window.partitionBy("query_id").orderBy(F.desc("hits"), "id")
     return best.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
@@ -63,11 +63,11 @@ def sources(
     docs = store.live(memories).select("id", "text")
     at_once = lambda rows: rows.select("query_id", "id", F.lit(0.0).alias("distance"))
     found = {
-        "vector": lambda: near.groupBy("query_id", "id").agg(F.min("distance").alias("distance")),
+        "vector": lambda: near.repartition("query_id").groupBy("query_id", "id").agg(F.min("distance").alias("distance")),
         "bm25": lambda: by_words(index or docs, terms, settings).select("query_id", "id", SC.bm25_distance(F.col("score")).alias("distance")),
         "graph": lambda: at_once(by_graph(asked, edges, settings.graph_k)),
         "phrase": lambda: at_once(by_phrase(asked, docs)),
-        "attribute": lambda: at_once(by_attribute(asked, memories)),
+        "attribute": lambda: at_once(by_attribute(asked, memories)).repartition("query_id"),
     }
     missing = {s for s, rows in (("vector", near), ("graph", edges)) if rows is None}
     return {s: f() for s, f in found.items() if s in only and s not in missing}
@@ -75,10 +75,12 @@ def sources(
 
 def union(found: dict[str, DataFrame], priority: tuple[str, ...] = SOURCES) -> DataFrame:
     """(query_id, id, distance, p, source): one row for each candidate, from the source that comes last in the priority; others count as first."""
-    place = {s: i for i, s in enumerate(priority)}
-    rows = [df.withColumns({"p": F.lit(place.get(s, -1)), "source": F.lit(s)}) for s, df in found.items()]
-    best = functools.reduce(DataFrame.unionByName, rows).groupBy("query_id", "id").agg(F.max_by(F.struct("distance", "source"), "p").alias("x"), F.max("p").alias("p"))
-    return best.select("query_id", "id", "x.distance", "p", "x.source")
+    order = [*(s for s in found if s not in priority), *priority]
+    rows = [df.select("query_id", "id", "distance", F.lit(order.index(s)).alias("n")) for s, df in found.items()]
+    # sources rank by query, so their rows meet where they are; only numbers are kept, which are merged without sorting
+    best = functools.reduce(DataFrame.unionByName, rows).groupBy("query_id", "id").agg(F.max_by("distance", "n").alias("distance"), F.max("n").alias("n"))
+    p = F.greatest(F.lit(-1), F.col("n") - (len(order) - len(priority)))
+    return best.select("query_id", "id", "distance", p.alias("p"), F.element_at(F.array(*map(F.lit, order)), F.col("n") + 1).alias("source"))
 
 
 def sequential(found: dict[str, DataFrame]) -> DataFrame:

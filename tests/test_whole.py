@@ -143,3 +143,23 @@ def test_nearest_memories_are_the_first_of_those_in_reach(spark, monkeypatch):
     for k in (3, 10, 50):
         got = [tuple(r) for r in graph.nearest_memories(edges, seeds, 2, k).collect()]
         assert sorted(got) == sorted((s, i, h) for s, found in every.items() for h, i in sorted(found)[:k])
+
+
+@tables
+def test_sources_meet_by_query_without_another_exchange(spark):
+    plan = R.union_sources(spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert "Union" in plan and "Exchange" not in plan.split("Union")[0]
+
+
+def test_union_of_known_and_other_sources(spark):
+    rows = lambda *x: spark.createDataFrame([(1, i, d) for i, d in x], "query_id long, id long, distance double")
+    found = {"vector": rows((1, 0.5), (2, 0.5)), "bm25": rows((2, 0.25), (3, 0.25)), "mine": rows((1, 0.1), (4, 0.1)), "attribute": rows((3, 0.0))}
+    got = {tuple(r) for r in retrieve.union(found).select("id", "distance", "p", "source").collect()}
+    assert got == {(1, 0.5, 0, "vector"), (2, 0.25, 1, "bm25"), (3, 0.0, 4, "attribute"), (4, 0.1, -1, "mine")}
+
+
+def test_few_words_that_nobody_asks_for_are_exchanged(spark):
+    words = spark.createDataFrame([(f"w{i}",) for i in range(500)], "term string")
+    every = spark.createDataFrame([(f"{x}{i}",) for x in "wv" for i in range(500)], "term string")
+    kept = {r.term for r in every.where(lexical._maybe(words)(F.col("term"))).collect()}
+    assert {f"w{i}" for i in range(500)} <= kept and len(kept) < 510
