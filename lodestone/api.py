@@ -150,9 +150,9 @@ class Engine:
             index = (self.index or lexical.Index.build(store.live(self.memories).select("id", "text"))).narrow(terms)
             found = cut_lineage(self.retrieve(questions, index))
             wanted = found.select("query_id", "id")
-            words = lexical.bm25(index, terms, self.settings.k1, self.settings.b).join(wanted, ["query_id", "id"], "left_semi")
+            words = cut_lineage(lexical.scores_of(wanted, index, terms, self.settings.k1, self.settings.b))
             given = found.join(words, ["query_id", "id"], "left").select("query_id", F.col("id").alias("memory_id"), "distance", F.col("score").alias("bm25_score"), (F.col("source") == "graph").alias("graph_hit"))
-            tfidf = lexical.tfidf(index, terms).join(wanted, ["query_id", "id"], "left_semi").withColumnRenamed("score", "tfidf")
+            tfidf = words.select("query_id", "id", "tfidf")
             feedback = None if self.events is None else self.feedback().select(F.col("mem_id").alias("id"), F.col("boost").alias("feedback"))
             asked = rank.understand(questions)
             near = rank.graph_signal(wanted, asked, self.memories, self.edges) if self.edges is not None and rank.wants("graph", self.signals) else None

@@ -282,6 +282,22 @@ def tfidf_best(docs: DataFrame | Index, terms: DataFrame, k: int, **sizes: int)
     return _best(*_tfidf_parts(docs, terms), k, **sizes)
 
 
+def scores_of(pairs: DataFrame, docs: DataFrame | Index, terms: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """(query_id, id, score, tfidf): ``bm25`` and ``tfidf`` of the given pairs (query_id, id) that share a word, without those of other pairs."""
+    tf, df, stats = _matched(docs, terms)
+    rarity = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    gain = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    own = F.struct("term", rarity.alias("idf"), gain.alias("gain"), (F.log((F.col("n_docs") + 1) / (F.col("df") + 1)) + 1).alias("rarity"), (F.col("tf") / F.col("dl")).alias("share"))
+    texts = tf.join(pairs.select("id").distinct(), "id", "left_semi").join(df, "term").crossJoin(F.broadcast(stats)).groupBy("id").agg(F.collect_list(own).alias("_own"))
+    asked = terms.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "qtf"))).alias("_asked"))
+    met = pairs.select("query_id", "id").join(asked, "query_id").join(texts, "id")
+    met = met.select("query_id", "id", F.size("_asked").alias("_n"), F.transform("_own", lambda x: F.struct(x.alias("x"), F.col("_asked")[x["term"]].alias("qtf"))).alias("_own"))
+    met = met.withColumn("_own", F.filter("_own", lambda y: y["qtf"].isNotNull())).where(F.size("_own") > 0)
+    total = lambda part: F.round(F.aggregate("_own", F.lit(0.0), lambda s, y: s + part(y["x"], y["qtf"])), 6)
+    score, tfidf = total(lambda x, qtf: qtf * x["idf"] * x["gain"]), total(lambda x, qtf: x["rarity"] / F.col("_n") * x["share"])
+    return met.select("query_id", "id", score.alias("score"), tfidf.alias("tfidf"))
+
+
 def boolean_or(docs: DataFrame | Index, terms: DataFrame) -> DataFrame:
     """(query_id, id): texts with any word of the query."""
     tf, _, _ = _matched(docs, terms)

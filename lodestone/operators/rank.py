@@ -32,6 +32,8 @@ def understand(questions: DataFrame, id_col: str = "question_id", text_col: str
 _DEFAULT = SignalRegistry()
 #: Least weight of a signal that is worth computing, and signals that some types of memories do without.
 LEAST_WEIGHT = 0.001
+#: Up to so many questions are sent to all tasks; more are exchanged, with the words of each candidate.
+BROADCAST_QUERIES = 150_000
 WITHOUT = {"tfidf": ("episodic",), "graph": ("semantic", "general")}
 
 
@@ -58,7 +60,8 @@ def signals(candidates: DataFrame, memories: DataFrame, queries: DataFrame, sett
     """Candidates of live memories with one column for each signal."""
     # words, size and metadata of a memory are worked out once, not for each of its candidate rows
     mem = store.decode(store.live(spread(memories))).select("id", T.words(F.col("text")).alias("m_tokens"), T.token_estimate(F.col("text")).alias("cost"), "memory_type", metadata_parts(F.col("metadata")).alias("m_parts"), F.col("entities").alias("m_entities"), F.col("importance").alias("importance_score"), F.col("subject").alias("m_subject"), F.col("attribute").alias("m_attribute"), "created_at")
-    joined = candidates.join(mem, "id").join(queries, "query_id")
+    few = queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
+    joined = candidates.join(mem, "id").join(F.broadcast(queries) if few else queries, "query_id")
     equal = lambda a, b: F.when(a == b, 1.0).otherwise(0.0)
     return joined.withColumns(
         {
@@ -205,6 +208,8 @@ def recall(
         memories = memories.withColumn("entities", plugins.entities(F.col("text"), F.coalesce("entities", F.array().cast("array<string>"))))
         queries = queries.withColumn("q_entities", plugins.entities(F.col("q"), F.col("q_entities")))
     rows = signals(candidate_rows(candidates), memories, queries, settings)
+    # before the joins, so that they need not carry the lists it is made of
+    rows = rows.withColumn("boost", attribute_boost(F.col("q_asked"), F.col("memory_type"), F.col("m_parts")))
     if kinds is not None:
         rows = rows.join(kinds.select("query_id", "kind"), "query_id", "left")
     if tfidf is not None:
@@ -217,7 +222,6 @@ def recall(
     rows = base_score(rows, "general" if kinds is None else F.coalesce("kind", F.lit("general")), extra, registry)
     if plugins is not None:
         rows = plugins.add_signals(rows)
-    rows = rows.withColumn("boost", attribute_boost(F.col("q_asked"), F.col("memory_type"), F.col("m_parts")))
     # statistics, context and answer all start from these narrow rows: compute the signals once
     rows = cut_lineage(rows.select("query_id", "id", "base", "importance", "recency", "boost", "bm25", "cost"))
     rows = finalize(zscore(rows), settings)

@@ -163,3 +163,14 @@ def test_few_words_that_nobody_asks_for_are_exchanged(spark):
     every = spark.createDataFrame([(f"{x}{i}",) for x in "wv" for i in range(500)], "term string")
     kept = {r.term for r in every.where(lexical._maybe(words)(F.col("term"))).collect()}
     assert {f"w{i}" for i in range(500)} <= kept and len(kept) < 510
+
+
+@tables
+def test_scores_of_pairs_are_those_of_all_texts(spark, monkeypatch):
+    docs, terms = R._docs(spark, FOLDER), R._terms(spark, FOLDER)
+    bm25, tfidf = lexical.bm25(docs, terms), lexical.tfidf(docs, terms).withColumnRenamed("score", "tfidf")
+    pairs = table(spark, FOLDER, "candidates").select("query_id", F.col("memory_id").alias("id")).distinct()
+    want = {(r.query_id, r.id): (r.score, r.tfidf) for r in bm25.join(tfidf, ["query_id", "id"]).join(pairs, ["query_id", "id"], "left_semi").collect()}
+    monkeypatch.setattr(lexical, "_summed", None)
+    got = {(r.query_id, r.id): (r.score, r.tfidf) for r in lexical.scores_of(pairs, docs, terms).collect()}
+    assert set(got) == set(want) and all(abs(x - y) < 2e-6 for k in got for x, y in zip(got[k], want[k], strict=True)) and got
