@@ -34,14 +34,21 @@ def rank_buckets(ranks: DataFrame) -> DataFrame:
     return ranks.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("questions"))
 
 
+def expected_ids(questions: DataFrame) -> DataFrame:
+    """(query_id, id) of the memories that questions expect."""
+    return questions.select(F.col("question_id").alias("query_id"), F.explode("expected_ids").alias("e")).select("query_id", F.expr("try_cast(e AS bigint)").alias("id")).distinct()
+
+
 def signal_deltas(scored: DataFrame, questions: DataFrame, signals: list[str], above: int = 3) -> DataFrame:
     """(signal, delta, n): over questions whose expected memory ranks below ``above``, the winner's mean lead in each signal.
 
-    ``scored`` has (query_id, id, rank) and a column for each signal.
+    ``scored`` has (query_id, id, rank) and a column for each signal. It is read once.
     """
-    ids = questions.select(F.col("question_id").alias("query_id"), F.explode("expected_ids").alias("e")).select("query_id", F.expr("try_cast(e AS bigint)").alias("id"))
-    expected = scored.join(ids.distinct(), ["query_id", "id"]).groupBy("query_id").agg(F.min_by(F.struct("rank", *signals), "rank").alias("e")).where(F.col("e.rank") > above)
-    winner = scored.where("rank = 1").select("query_id", F.struct(*signals).alias("w"))
-    pairs = winner.join(expected, "query_id")
+    ids = expected_ids(questions).groupBy("query_id").agg(F.collect_set("id").alias("_ids"))
+    hit = F.when(F.array_contains("_ids", F.col("id")), F.col("rank"))
+    # of each question only the winner and its expected memories are compared
+    rows = scored.join(ids, "query_id").withColumn("_hit", hit).where("rank = 1 OR _hit IS NOT NULL")
+    pairs = rows.groupBy("query_id").agg(F.max(F.when(F.col("rank") == 1, F.struct(*signals))).alias("w"), F.min_by(F.struct("rank", *signals), "_hit").alias("e"))
+    pairs = pairs.where(F.col("w").isNotNull() & (F.col("e.rank") > above))
     stacked = pairs.select(F.explode(F.array(*[F.struct(F.lit(s).alias("signal"), (F.col(f"w.{s}") - F.col(f"e.{s}")).alias("d")) for s in signals])).alias("x"))
     return stacked.groupBy("x.signal").agg(F.round(F.avg("x.d"), 6).alias("delta"), F.count("*").alias("n"))

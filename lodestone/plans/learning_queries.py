@@ -187,10 +187,15 @@ _OWN = f"{R._LEX}, {R._Q}, {R._UNION}, " + R._SIGNALS.replace("c AS (SELECT quer
 
 
 def _deltas(spark, sf):
-    found = R.union_sources(spark, sf).select("query_id", "id", "distance", F.lit(0.0).alias("bm25"))
-    rows = rank.base_score(rank.signals(found, table(spark, sf, "memories"), rank.understand(table(spark, sf, "questions"))))
+    # only questions with an expected memory among their candidates have a delta; the others are not ranked
+    questions = table(spark, sf, "questions").where(F.exists("expected_ids", lambda e: e.try_cast("bigint").isNotNull()))
+    ids = evaluate.expected_ids(questions).groupBy("query_id").agg(F.collect_set("id").alias("_ids"))
+    found = R.union_sources(spark, sf, questions=questions).select("query_id", "id", "distance", F.lit(0.0).alias("bm25")).join(ids, "query_id")
+    found = found.withColumn("_any", F.max(F.array_contains("_ids", F.col("id"))).over(Window.partitionBy("query_id"))).where("_any").drop("_any", "_ids")
+    rows = rank.base_score(rank.signals(found, table(spark, sf, "memories"), rank.understand(questions)))
+    rows = rows.select("query_id", "id", "base", *_NAMES)
     ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("base"), "id")))
-    return evaluate.signal_deltas(ranked.select("query_id", "id", "rank", *_NAMES), table(spark, sf, "questions"), _NAMES)
+    return evaluate.signal_deltas(ranked.select("query_id", "id", "rank", *_NAMES), questions, _NAMES)
 
 
 @register("failure_signal_delta", f"WITH {_OWN}, {_DELTAS} SELECT signal, CAST(delta AS DOUBLE) AS delta, n FROM dl WHERE n > 0")

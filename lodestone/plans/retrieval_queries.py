@@ -227,10 +227,17 @@ def phrase_retrieval(spark, sf):
     return retrieve.by_phrase(rank.understand(table(spark, sf, "questions")), _docs(spark, sf))
 
 
-def union_sources(spark, sf, sources: tuple[str, ...] = retrieve.SOURCES):
-    """(query_id, id, distance, p, source): the candidates of all sources; of several sources of one memory the last one wins."""
+def union_sources(spark, sf, sources: tuple[str, ...] = retrieve.SOURCES, questions=None):
+    """(query_id, id, distance, p, source): the candidates of all sources; of several sources of one memory the last one wins.
+
+    questions: those that are asked, if not all of the table.
+    """
     near = table(spark, sf, "candidates").select("query_id", F.col("memory_id").alias("id"), "distance")
-    found = retrieve.sources(rank.understand(table(spark, sf, "questions")), _terms(spark, sf), table(spark, sf, "memories"), table(spark, sf, "graph_edges"), near, settings=S, only=sources)
+    if questions is None:
+        questions = table(spark, sf, "questions")
+    else:
+        near = near.join(questions.select(F.col("question_id").alias("query_id")), "query_id", "left_semi")
+    found = retrieve.sources(rank.understand(questions), retrieve.terms_of(questions), table(spark, sf, "memories"), table(spark, sf, "graph_edges"), near, settings=S, only=sources)
     return retrieve.union({s: found[s] for s in sources})
 
 

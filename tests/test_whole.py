@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import vocab
 from lodestone.operators import graph, learn, lexical, rank, retrieve, routing, vector
+from lodestone.plans import learning_queries
 from lodestone.plans import retrieval_queries as R
 from lodestone.plugins import Registry
 from lodestone.session import table
@@ -174,3 +175,13 @@ def test_scores_of_pairs_are_those_of_all_texts(spark, monkeypatch):
     monkeypatch.setattr(lexical, "_summed", None)
     got = {(r.query_id, r.id): (r.score, r.tfidf) for r in lexical.scores_of(pairs, docs, terms).collect()}
     assert set(got) == set(want) and all(abs(x - y) < 2e-6 for k in got for x, y in zip(got[k], want[k], strict=True)) and got
+
+
+@tables
+def test_deltas_rank_only_questions_with_an_expected_candidate(spark, monkeypatch):
+    kept, signals = [], rank.signals
+    monkeypatch.setattr(rank, "signals", lambda rows, *rest: kept.append(keys(rows)) or signals(rows, *rest))
+    learning_queries.failure_signal_delta(spark, FOLDER)
+    want = {(r.question_id, int(e)) for r in table(spark, FOLDER, "questions").collect() for e in r.expected_ids or []}
+    asked = {q for q, _ in keys(R.union_sources(spark, FOLDER)) & want}
+    assert asked and {q for q, _ in kept[0]} == asked
