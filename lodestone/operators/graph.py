@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.operators.skew import join_spread
 from lodestone.session import cut_lineage
 
+#: Edges of a graph that every task may hold, about 20 bytes each; the driver collects and sends them.
+HELD_EDGES = 4_000_000
+#: Rows that a search gives out at a time.
+OUT_ROWS = 50_000
+
 
 def adjacency(edges: DataFrame) -> DataFrame:
     """(src, dst, relation, weight): one edge for each ordered pair, the last one stored; names in lower case."""
@@ -40,13 +48,9 @@ def hops(adj: DataFrame, seeds: DataFrame, depth: int | None = None) -> DataFram
     return seen
 
 
-def weighted_paths(adj: DataFrame, seeds: DataFrame, rounds: int | None = None) -> DataFrame:
-    """(seed, node, cost): the cheapest path from each seed, of at most ``rounds`` edges if given; negative weights count as 0.
-
-    A round starts only from nodes that became cheaper in the one before, until none does.
-    """
-    links = cut_lineage(adj.select("src", "dst", F.greatest(F.lit(0.0), "weight").alias("weight")))
-    best = cut_lineage(seeds.select(F.col("seed"), F.col("seed").alias("node"), F.lit(0.0).alias("cost")).distinct())
+def _paths_by_rounds(links: DataFrame, starts: DataFrame, rounds: int | None) -> DataFrame:
+    """``weighted_paths`` by joins, of materialised edges and starts (seed); every round writes what is known so far."""
+    best = cut_lineage(starts.select(F.col("seed"), F.col("seed").alias("node"), F.lit(0.0).alias("cost")))
     moved, d = best, 0
     while rounds is None or d < rounds:
         d += 1
@@ -58,6 +62,70 @@ def weighted_paths(adj: DataFrame, seeds: DataFrame, rounds: int | None = None)
     return best
 
 
+def _held(links: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """The names of the nodes, and by the node's place among them where its edges begin, to which place each leads, and its weight."""
+    ends = pa.chunked_array([*links["src"].chunks, *links["dst"].chunks], links.schema.field("src").type).combine_chunks().dictionary_encode()
+    src, dst = np.split(ends.indices.to_numpy(), 2)
+    weight = links["weight"].to_numpy() + 0.0
+    weight[np.isnan(weight)] = np.nan  # of one sign
+    order = np.argsort(src, kind="stable")
+    return ends.dictionary, np.searchsorted(src[order], np.arange(len(ends.dictionary) + 1)), dst[order], weight[order]
+
+
+def _cheapest(start: int, begin: np.ndarray, to: np.ndarray, weight: np.ndarray, rounds: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes that can be reached from one of them, by place, and their costs."""
+    # costs are compared by their bits, which order those above 0 as Spark does: infinity, then NaN, then what is not reached
+    none = np.iinfo(np.int64).max
+    best = np.full(len(begin) - 1, none)
+    best[start] = 0
+    moved, d = np.array([start]), 0
+    while len(moved) and (rounds is None or d < rounds):
+        d += 1
+        n = begin[moved + 1] - begin[moved]
+        ways = np.repeat(begin[moved] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        ends, new = to[ways], (np.repeat(best[moved].view(float), n) + weight[ways]).view(np.int64)
+        less = new < best[ends]
+        ends = ends[less]
+        np.minimum.at(best, ends, new[less])
+        changed = np.zeros(len(best), bool)
+        changed[ends] = True
+        moved = np.flatnonzero(changed)
+    found = np.flatnonzero(best != none)
+    return found, best[found].view(float)
+
+
+def _paths_in_tasks(links: DataFrame, starts: DataFrame, rounds: int | None) -> DataFrame:
+    """``weighted_paths`` with the whole graph in every task: each start is searched by itself, and its rows are written nowhere before they come out."""
+    sc = links.sparkSession.sparkContext
+    graph = sc.broadcast(_held(links.toArrow()))
+
+    def run(batches):
+        names, *edges = graph.value
+        for batch in batches:
+            seeds = batch.column(0)
+            for seed, at in zip(seeds, pc.index_in(seeds, names).to_pylist(), strict=True):
+                if at is None:
+                    yield pa.record_batch({"seed": pa.array([seed]), "node": pa.array([seed]), "cost": pa.array([0.0])})
+                    continue
+                found, cost = _cheapest(at, *edges, rounds)
+                for i in range(0, len(found), OUT_ROWS):
+                    node = names.take(pa.array(found[i : i + OUT_ROWS]))
+                    yield pa.record_batch({"seed": pa.repeat(seed, len(node)), "node": node, "cost": pa.array(cost[i : i + OUT_ROWS])})
+
+    return starts.repartition(4 * sc.defaultParallelism).mapInArrow(run, "seed string, node string, cost double")
+
+
+def weighted_paths(adj: DataFrame, seeds: DataFrame, rounds: int | None = None, held: int = HELD_EDGES) -> DataFrame:
+    """(seed, node, cost): the cheapest path from each seed, of at most ``rounds`` edges if given; negative weights count as 0.
+
+    A round starts only from nodes that became cheaper in the one before, until none does. A graph of at most ``held`` edges
+    is sent to all tasks, so that nothing but the result grows with seeds times nodes; a larger one is searched by joins.
+    """
+    links = cut_lineage(adj.select("src", "dst", F.greatest(F.lit(0.0), "weight").alias("weight")))
+    starts = cut_lineage(seeds.select("seed").distinct())
+    return (_paths_in_tasks if links.count() <= held else _paths_by_rounds)(links, starts, rounds)
+
+
 def neighbour_relations(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(seed, neighbour, relation, direction): the edges that touch each seed, seen from it; names in lower case."""
     ends = edges.select(F.lower(F.trim("source")).alias("a"), F.lower(F.trim("target")).alias("b"), "relation")

@@ -185,3 +185,27 @@ def test_deltas_rank_only_questions_with_an_expected_candidate(spark, monkeypatc
     want = {(r.question_id, int(e)) for r in table(spark, FOLDER, "questions").collect() for e in r.expected_ids or []}
     asked = {q for q, _ in keys(R.union_sources(spark, FOLDER)) & want}
     assert asked and {q for q, _ in kept[0]} == asked
+
+
+def test_weighted_paths_of_a_held_graph_write_no_rounds(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    name = lambda i: f"n{i:02}"
+    weights = [0.0, -1.0, 0.1, 0.2, 0.7, 1.0, 3.5, float("inf")]
+    edges = {(name(0 if rng.random() < 0.2 else rng.integers(0, 40)), name(rng.integers(0, 40))): float(rng.choice(weights)) for _ in range(110)}
+    edges["n50", "n51"] = float("nan")
+    adj = spark.createDataFrame([(*k, w) for k, w in edges.items()], "src string, dst string, weight double")
+    starts = ["n00", "n03", "n17", "n17", "n50", "nowhere"]
+    seeds = spark.createDataFrame([(s,) for s in starts], "seed string")
+    rows = lambda df: sorted((r.seed, r.node, repr(r.cost)) for r in df.collect())
+    by_joins = {d: rows(graph.weighted_paths(adj, seeds, d, held=0)) for d in (None, 2)}
+    monkeypatch.setattr(graph, "join_spread", None)
+    want = []
+    for s in set(starts):
+        cost = {s: 0.0}
+        for _ in range(60):
+            for (a, b), w in edges.items():
+                if a in cost and not cost[a] + max(0.0, w) >= cost.get(b, float("inf")) or a in cost and b not in cost:
+                    cost[b] = cost[a] + (w if w != w else max(0.0, w))
+        want += [(s, n, repr(c)) for n, c in cost.items()]
+    assert rows(graph.weighted_paths(adj, seeds)) == sorted(want) == by_joins[None]
+    assert rows(graph.weighted_paths(adj, seeds, 2)) == by_joins[2] != by_joins[None]
