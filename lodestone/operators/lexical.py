@@ -6,10 +6,11 @@ All searches take texts (id, text), which are analysed once, or an ``Index`` bui
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +24,9 @@ FREQUENT_SHARE = 1_000
 #: Postings that one task of a search holds, and queries that it answers.
 SHARD_POSTINGS = 4_000_000
 BLOCK_QUERIES = 50_000
+#: Texts that one task of ``boolean_or`` holds, and pairs that it gives out at a time.
+SHARD_TEXTS = 200_000
+OUT_ROWS = 100_000
 #: Bits of the table of hashes by which most words that nobody asks for are left out before an exchange.
 WANTED_BITS = 1 << 20
 
@@ -297,10 +301,58 @@ def scores_of(pairs: DataFrame, docs: DataFrame | Index, terms: DataFrame, k1: f
     return met.select("query_id", "id", score.alias("score"), tfidf.alias("tfidf"))
 
 
-def boolean_or(docs: DataFrame | Index, terms: DataFrame) -> DataFrame:
-    """(query_id, id): texts with any word of the query."""
-    tf, _, _ = _matched(docs, terms)
-    return join_spread(terms.select("query_id", "term"), tf, "term", "id").select("query_id", "id").distinct()
+def _any_of_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The texts with any word of each query, of one shard: its postings (id, term) come first, then the queries (query_id, words)."""
+    words, place = [], None
+    for batch in batches:
+        n = batch.num_rows - (pc.sum(batch["asks"]).as_py() or 0)
+        if n:
+            words.append(batch.slice(0, n).select(["id", "term"]))
+        asked = batch.slice(n)
+        if not words or not asked.num_rows:
+            continue
+        if place is None:
+            table = pa.Table.from_batches(words)
+            ids, terms = (table[c].combine_chunks().dictionary_encode("encode") for c in ("id", "term"))
+            known, seen = ids.dictionary, np.zeros(len(ids.dictionary), bool)
+            pairs = np.unique(terms.indices.to_numpy().astype(np.int64) * len(known) + ids.indices.to_numpy())
+            place = np.split(pairs % len(known), np.searchsorted(pairs, np.arange(1, len(terms.dictionary)) * len(known)))
+        codes = pc.fill_null(pc.index_in(asked["words"].flatten(), terms.dictionary), -1).to_numpy(zero_copy_only=False).tolist()
+        rows, found, size, end = [], [], 0, 0
+        for row, m in enumerate(asked["words"].value_lengths().to_pylist()):
+            end += m
+            lists = [place[c] for c in codes[end - m : end] if c >= 0]
+            if len(lists) > 1:
+                seen[:] = False
+                for o in lists:
+                    seen[o] = True
+                lists = [np.flatnonzero(seen)]
+            if lists:
+                rows.append(np.full(len(lists[0]), row))
+                found += lists
+                size += len(lists[0])
+            if found and (size >= OUT_ROWS or row == asked.num_rows - 1):
+                at = [pa.array(np.concatenate(x)) for x in (rows, found)]
+                yield pa.record_batch({"query_id": asked["query_id"].take(at[0]), "id": known.take(at[1])})
+                rows, found, size = [], [], 0
+
+
+def boolean_or(docs: DataFrame | Index, terms: DataFrame, shard: int = SHARD_TEXTS) -> DataFrame:
+    """(query_id, id): texts with any word of the query.
+
+    Every query goes to every shard of the texts, which gives its pairs once each; so pairs are written nowhere before they come out.
+    """
+    may = _maybe(terms.select("term").distinct())
+    if isinstance(docs, Index):
+        n, words = docs.stats.first()["n_docs"], docs.postings.select("id", "term")
+    else:
+        n, words = docs.count(), tokens(docs).select("id", F.explode(F.array_distinct("tokens")).alias("term"))
+    shards = max(2 * terms.sparkSession.sparkContext.defaultParallelism, -(-n // shard))
+    kinds = dict(terms.dtypes) | dict(words.dtypes)
+    asked = terms.groupBy("query_id").agg(F.collect_set("term").alias("words"))
+    given = words.where(may(F.col("term"))).select(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), F.lit(False).alias("asks"), "id", "term")
+    rows = given.unionByName(asked.select("query_id", "words", F.lit(True).alias("asks"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")), allowMissingColumns=True)
+    return rows.repartitionById(shards, "shard").sortWithinPartitions("asks").mapInArrow(_any_of_shard, f"query_id {kinds['query_id']}, id {kinds['id']}")
 
 
 def boolean_and(docs: DataFrame | Index, terms: DataFrame, known_only: bool = False, shard: int = SHARD_POSTINGS) -> DataFrame:

@@ -209,3 +209,20 @@ def test_weighted_paths_of_a_held_graph_write_no_rounds(spark, monkeypatch):
         want += [(s, n, repr(c)) for n, c in cost.items()]
     assert rows(graph.weighted_paths(adj, seeds)) == sorted(want) == by_joins[None]
     assert rows(graph.weighted_paths(adj, seeds, 2)) == by_joins[2] != by_joins[None]
+
+
+def test_texts_with_any_word_are_given_out_without_an_exchange_of_pairs(spark, monkeypatch):
+    monkeypatch.setattr(lexical, "join_spread", None)
+    monkeypatch.setattr(lexical, "cut_lineage", None)
+    rng = np.random.default_rng(13)
+    texts = {f"t{i}": [f"w{x}" for x in rng.integers(0, 30, rng.integers(0, 6))] for i in range(300)}
+    texts[None] = ["w1", "w2"]
+    asks = {i: [f"w{x}" for x in rng.integers(0, 33, rng.integers(1, 5))] for i in range(80)}
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "id string, text string")
+    terms = lexical.query_terms(spark.createDataFrame([(i, " ".join(t)) for i, t in asks.items()], "question_id long, query_text string"), "question_id", "query_text", [])
+    want = {(q, i) for q, n in asks.items() for i, t in texts.items() if set(n) & set(t)}
+    words = [(w, i, len(t), t.count(w)) for i, t in texts.items() for w in set(t)]
+    index = lexical.Index(spark.createDataFrame(words, "term string, id string, dl int, tf long"), spark.createDataFrame([(len(texts), 3.0)], "n_docs long, avgdl double"))
+    for given, shard in ((docs, lexical.SHARD_TEXTS), (docs, 9), (docs.union(docs), 100), (index, 100)):
+        got = [tuple(r) for r in lexical.boolean_or(given, terms, shard).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
