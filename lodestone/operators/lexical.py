@@ -24,9 +24,13 @@ FREQUENT_SHARE = 1_000
 #: Postings that one task of a search holds, and queries that it answers.
 SHARD_POSTINGS = 4_000_000
 BLOCK_QUERIES = 50_000
-#: Texts that one task of ``boolean_or`` holds, and pairs that it gives out at a time.
-SHARD_TEXTS = 200_000
-OUT_ROWS = 100_000
+#: Texts that one task of ``boolean_or`` holds, few enough for a dictionary of their ids in a file, queries that it answers together, pairs that it gives out at a time.
+SHARD_TEXTS = 100_000
+ANY_QUERIES = 200_000
+OUT_ROWS = 25_000
+#: Values that go round while the other of a pair stays, few enough to recur many times in a page of a file; fewer texts than FEW stay themselves.
+CYCLE = 248
+FEW = 64
 #: Bits of the table of hashes by which most words that nobody asks for are left out before an exchange.
 WANTED_BITS = 1 << 20
 
@@ -301,53 +305,136 @@ def scores_of(pairs: DataFrame, docs: DataFrame | Index, terms: DataFrame, k1: f
     return met.select("query_id", "id", score.alias("score"), tfidf.alias("tfidf"))
 
 
+def _crossed(rows: np.ndarray, found: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of both, in pieces: one comes in runs while the other goes round in cycles of CYCLE at most, which files pack to little.
+
+    Files pack values by eights, so cycles are of whole eights; what is left over goes in runs instead.
+    """
+    turned = len(found) < min(FEW, len(rows))
+    runs, turns = (found, rows) if turned else (rows, found)
+    even = len(turns) // 8 * 8
+    for part in np.split(turns[:even], range(CYCLE, even, CYCLE)) if even else []:
+        step = max(1, OUT_ROWS // len(part))
+        for i in range(0, len(runs), step):
+            some = runs[i : i + step]
+            piece = np.repeat(some, len(part)), np.tile(part, len(some))
+            yield piece[::-1] if turned else piece
+    rest = turns[even:]
+    if len(rest) and len(runs) >= 8:
+        yield from _crossed(*((rest, runs) if turned else (runs, rest)))
+    elif len(rest):
+        piece = np.repeat(runs, len(rest)), np.tile(rest, len(runs))
+        yield piece[::-1] if turned else piece
+
+
+def _any_of_block(place: list[np.ndarray], n: int, asked: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs (query, text) that share a word, once each: queries as words, most frequent first, in a shard of n texts, words as the places of theirs.
+
+    Queries that begin with the same words share the texts of the last of these that have none of those before it.
+    """
+    order = sorted(range(len(asked)), key=[x.tolist() for x in asked].__getitem__)
+    seen, rows = np.zeros(n, bool), np.array(order, np.int32)
+    todo: list[tuple] = [(0, len(order), 0)]
+    while todo:
+        at, end, depth = todo.pop()
+        if at is None:  # the texts of a word are left
+            seen[end] = False
+            continue
+        while at < end and len(asked[order[at]]) == depth:
+            at += 1
+        if at == end:
+            continue
+        words = asked[order[at]]
+        if at + 1 == end:
+            new = np.unique(np.concatenate([place[w] for w in words[depth:]]))
+            if len(new := new[~seen[new]]):
+                yield from _crossed(rows[at:end], new)
+            continue
+        to = at + 1
+        while to < end and asked[order[to]][depth] == words[depth]:
+            to += 1
+        new = place[words[depth]]
+        new = new[~seen[new]]
+        todo.append((to, end, depth))
+        if len(new):
+            yield from _crossed(rows[at:to], new)
+            seen[new] = True
+            todo.append((None, new, depth))
+        todo.append((at, to, depth + 1))
+
+
 def _any_of_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The texts with any word of each query, of one shard: its postings (id, term) come first, then the queries (query_id, words)."""
-    words, place = [], None
+    words, held, place = [], [], None
+
+    def answers() -> Iterator[pa.RecordBatch]:
+        asked = pa.Table.from_batches(held).combine_chunks()
+        held.clear()
+        queries, lists = asked["query_id"].combine_chunks(), asked["words"].combine_chunks()
+        codes = pc.fill_null(pc.index_in(lists.flatten(), terms.dictionary), -1).to_numpy(zero_copy_only=False)
+        owner = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))[codes >= 0]
+        codes = rank[codes[codes >= 0]]
+        codes = codes[np.lexsort((codes, owner))]
+        asked = np.split(codes, np.searchsorted(owner, np.arange(1, len(lists))))
+
+        def given(pieces: list[tuple[np.ndarray, np.ndarray]], some: bool = False) -> pa.RecordBatch:
+            """The pieces, or of some of them whole eights of pairs; the others stay."""
+            at = [np.concatenate(x) for x in zip(*pieces, strict=True)]
+            pieces.clear()
+            if some:
+                n = len(at[0]) // 8 * 8
+                pieces.append(tuple(x[n:] for x in at))
+                at = [x[:n] for x in at]
+            return pa.record_batch({"query_id": queries.take(pa.array(at[0])), "id": known.take(pa.array(at[1]))})
+
+        # pieces of whole eights stay in step if others, gathered, come as eights too
+        even, odd = [[], 0], [[], 0]
+        for piece in _any_of_block(place, len(known), asked):
+            to = odd if len(piece[0]) % 8 else even
+            to[0].append(piece)
+            to[1] += len(piece[0])
+            if to[1] >= OUT_ROWS:
+                yield given(to[0], to is odd)
+                to[1] = 0
+        for pieces, _ in (even, odd):
+            if pieces:
+                yield given(pieces)
+
     for batch in batches:
         n = batch.num_rows - (pc.sum(batch["asks"]).as_py() or 0)
         if n:
             words.append(batch.slice(0, n).select(["id", "term"]))
-        asked = batch.slice(n)
+        asked = batch.slice(n).select(["query_id", "words"])
         if not words or not asked.num_rows:
             continue
         if place is None:
             table = pa.Table.from_batches(words)
             ids, terms = (table[c].combine_chunks().dictionary_encode("encode") for c in ("id", "term"))
-            known, seen = ids.dictionary, np.zeros(len(ids.dictionary), bool)
+            known = ids.dictionary
             pairs = np.unique(terms.indices.to_numpy().astype(np.int64) * len(known) + ids.indices.to_numpy())
-            place = np.split(pairs % len(known), np.searchsorted(pairs, np.arange(1, len(terms.dictionary)) * len(known)))
-        codes = pc.fill_null(pc.index_in(asked["words"].flatten(), terms.dictionary), -1).to_numpy(zero_copy_only=False).tolist()
-        rows, found, size, end = [], [], 0, 0
-        for row, m in enumerate(asked["words"].value_lengths().to_pylist()):
-            end += m
-            lists = [place[c] for c in codes[end - m : end] if c >= 0]
-            if len(lists) > 1:
-                seen[:] = False
-                for o in lists:
-                    seen[o] = True
-                lists = [np.flatnonzero(seen)]
-            if lists:
-                rows.append(np.full(len(lists[0]), row))
-                found += lists
-                size += len(lists[0])
-            if found and (size >= OUT_ROWS or row == asked.num_rows - 1):
-                at = [pa.array(np.concatenate(x)) for x in (rows, found)]
-                yield pa.record_batch({"query_id": asked["query_id"].take(at[0]), "id": known.take(at[1])})
-                rows, found, size = [], [], 0
+            place = np.split((pairs % len(known)).astype(np.int32), np.searchsorted(pairs, np.arange(1, len(terms.dictionary)) * len(known)))
+            often = np.argsort([-len(x) for x in place], kind="stable")
+            place, rank = [place[t] for t in often], np.argsort(often)
+        held.append(asked)
+        if sum(x.num_rows for x in held) >= ANY_QUERIES:
+            yield from answers()
+    if held:
+        yield from answers()
 
 
 def boolean_or(docs: DataFrame | Index, terms: DataFrame, shard: int = SHARD_TEXTS) -> DataFrame:
     """(query_id, id): texts with any word of the query.
 
     Every query goes to every shard of the texts, which gives its pairs once each; so pairs are written nowhere before they come out.
+    They come out so that files of them are small.
     """
     may = _maybe(terms.select("term").distinct())
     if isinstance(docs, Index):
         n, words = docs.stats.first()["n_docs"], docs.postings.select("id", "term")
     else:
         n, words = docs.count(), tokens(docs).select("id", F.explode(F.array_distinct("tokens")).alias("term"))
-    shards = max(2 * terms.sparkSession.sparkContext.defaultParallelism, -(-n // shard))
+    cores = terms.sparkSession.sparkContext.defaultParallelism
+    shards = cores * max(2, -(-n // (shard * cores)))
     kinds = dict(terms.dtypes) | dict(words.dtypes)
     asked = terms.groupBy("query_id").agg(F.collect_set("term").alias("words"))
     given = words.where(may(F.col("term"))).select(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), F.lit(False).alias("asks"), "id", "term")

@@ -226,3 +226,26 @@ def test_texts_with_any_word_are_given_out_without_an_exchange_of_pairs(spark, m
     for given, shard in ((docs, lexical.SHARD_TEXTS), (docs, 9), (docs.union(docs), 100), (index, 100)):
         got = [tuple(r) for r in lexical.boolean_or(given, terms, shard).collect()]
         assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_texts_with_any_word_take_little_room_in_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(lexical, "ANY_QUERIES", 150)
+    rng = np.random.default_rng(14)
+    has = rng.random((7000, 40)) < [0.5, *[0.05] * 39]
+    asked = np.zeros((400, 40), bool)
+    asked[:, 0] = asked[np.arange(400), rng.integers(1, 40, 400)] = True
+    docs, queries = ([(i, " ".join(f"w{w}" for w in np.flatnonzero(x))) for i, x in enumerate(m)] for m in (has, asked))
+    terms = lexical.query_terms(spark.createDataFrame(queries, "question_id long, query_text string"), "question_id", "query_text", [])
+    lexical.boolean_or(spark.createDataFrame(docs, "id long, text string"), terms).write.parquet(str(tmp_path / "pairs"))
+    got = spark.read.parquet(str(tmp_path / "pairs")).toPandas()
+    want = np.flatnonzero(asked.astype(int) @ has.T.astype(int))
+    assert np.array_equal(np.sort(got["query_id"] * len(has) + got["id"]), want)
+    size = sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet"))
+    assert size < 0.3 * len(want)
+
+
+def test_crossed_pairs_come_once_each():
+    for q, n in ((1, 1), (1, 9), (3, 7), (9, 1), (8, 8), (13, 7), (70, 65), (5, 1000), (1000, 5), (300, 601), (601, 63)):
+        rows, found = (np.concatenate(x) for x in zip(*lexical._crossed(np.arange(q, dtype=np.int32), np.arange(n, dtype=np.int32)), strict=True))
+        assert len(rows) == q * n == len(set(zip(rows.tolist(), found.tolist(), strict=True)))
+        assert rows.max() == q - 1 and found.max() == n - 1
